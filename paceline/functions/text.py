@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from paceline import fixed_values as V
 
 # Blank characters: Java's \s and trim() miss the non-breaking and wide ones.
-BLANKS = r"\t\n\x0B\f\r    -     　﻿"
+BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WS = f"[{BLANKS}]"
 NOT_WS = f"[^{BLANKS}]"
 _WORD = "[A-Za-z0-9_]"
@@ -57,11 +57,11 @@ def _fold_map() -> tuple[str, str, str]:
     source, target = [], []
     for code in range(0x80, 0x10000):
         char = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFD", char) if not "̀" <= c <= "ͯ")
+        plain = "".join(c for c in unicodedata.normalize("NFD", char) if not "\u0300" <= c <= "\u036f")
         if plain != char and len(plain) == 1 and plain.isascii():
             source.append(char)
             target.append(plain)
-    return "".join(source), "".join(target), r"[̀-ͯ]"
+    return "".join(source), "".join(target), r"[\u0300-\u036f]"
 
 
 def normalize_text(col: Column) -> Column:
