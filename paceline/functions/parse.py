@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline import fixed_values as V
 from paceline.functions.text import (
-    BLANKS, NOT_WS, WS, is_blank, like, null_if_empty, pattern, replace_first, trim_blanks,
+    BLANKS, NOT_WS, WS, is_blank, let, like, null_if_empty, pattern, replace_first, trim_blanks,
 )
 
 DISTANCES = "array<struct<label:string,km:double>>"
@@ -25,33 +25,38 @@ def _month_number(name: Column) -> Column:
 
 def _dotted_date(text: Column) -> Column:
     """ISO form of D.M.YYYY, blanks anywhere; NULL otherwise."""
-    dense = F.regexp_replace(text, WS, "")
     shape = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-    padded = F.regexp_replace(dense, shape, "$3-0$2-0$1")
-    return F.when(dense.rlike(shape), F.regexp_replace(padded, r"-0(\d\d)", "-$1"))
+
+    def iso(dense):
+        padded = F.regexp_replace(dense, shape, "$3-0$2-0$1")
+        return F.when(dense.rlike(shape), F.regexp_replace(padded, r"-0(\d\d)", "-$1"))
+
+    return let(F.regexp_replace(text, WS, ""), iso)
 
 
 def _worded_date(text: Column, shape: str) -> Column:
     """ISO form of a day, month word and year; NULL when the word is no month."""
-    month = _month_number(F.regexp_extract(text, shape, 2))
-    day = F.lpad(F.regexp_extract(text, shape, 1), 2, "0")
-    return F.when(month.isNotNull(), F.concat_ws("-", F.regexp_extract(text, shape, 3), month, day))
+    def iso(month):
+        day = F.lpad(F.regexp_extract(text, shape, 1), 2, "0")
+        return F.when(month.isNotNull(), F.concat_ws("-", F.regexp_extract(text, shape, 3), month, day))
+
+    return let(_month_number(F.regexp_extract(text, shape, 2)), iso)
 
 
 def normalize_date(raw: Column) -> Column:
     """ISO start date of a listing, as text: an ISO input is not checked against the calendar."""
     start = trim_blanks(F.get(F.split(trim_blanks(raw), rf"{WS}*[–—]{WS}*(?=\d)"), F.lit(0)))
-    return F.coalesce(
-        F.when(start.rlike(r"^\d{4}-\d{2}-\d{2}$"), start),
-        _dotted_date(start),
-        _worded_date(start, rf"^(\d{{1,2}})\.{WS}*({NOT_WS}+){WS}+(\d{{4}})$"),
-    )
+    return let(start, lambda s: F.coalesce(
+        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s),
+        _dotted_date(s),
+        _worded_date(s, rf"^(\d{{1,2}})\.{WS}*({NOT_WS}+){WS}+(\d{{4}})$"),
+    ))
 
 
 def extractor_date(raw: Column, site: Column) -> Column:
     """Date as the site's own collector leaves it; text it cannot read passes through."""
     words = trim_blanks(F.get(F.split(raw, "–"), F.lit(0)))
-    worded = _worded_date(words, rf"(\d{{1,2}})\.{WS}*(\w+){WS}+(\d{{4}})")
+    worded = let(words, lambda w: _worded_date(w, rf"(\d{{1,2}})\.{WS}*(\w+){WS}+(\d{{4}})"))
     return F.coalesce(F.when(site == "ceskybeh", worded).otherwise(_dotted_date(raw)), raw)
 
 
@@ -84,7 +89,7 @@ def parse_distances(raw: Column) -> Column:
     def entry(seg):
         number = F.regexp_replace(F.regexp_extract(seg, value_shape, 1), ",", ".").try_cast("double")
         miles = F.lower(F.regexp_extract(seg, value_shape, 2)).isin("míle", "mil")
-        km = F.when(miles, round_half_up(number * V.KM_PER_MILE, 1)).otherwise(number)
+        km = let(number, lambda n: F.when(miles, round_half_up(n * V.KM_PER_MILE, 1)).otherwise(n))
         label = trim_blanks(F.regexp_replace(seg, rf"{WS}*\+?{WS}*$", ""))
         return F.struct(label.alias("label"), km.alias("raw_km"))
 
@@ -113,18 +118,20 @@ def surface_to_terrain(raw: Column) -> Column:
 def normalize_time(raw: Column) -> Column:
     """First clock time as HH:MM; midnight and impossible times are NULL."""
     colons = replace_first(raw, r"(\d{1,2})\.(\d{2})(?!\d)", "$2:$3")
-    clock = F.regexp_extract(colons, r"\d{1,2}:\d{2}", 0)
-    padded = F.lpad(clock, 5, "0")
-    return F.when(padded.rlike(r"^([01]\d|2[0-3]):[0-5]\d$") & (padded != "00:00"), padded)
+    clock = F.lpad(F.regexp_extract(colons, r"\d{1,2}:\d{2}", 0), 5, "0")
+    return let(clock, lambda c: F.when(c.rlike(r"^([01]\d|2[0-3]):[0-5]\d$") & (c != "00:00"), c))
 
 
 def normalize_city(raw: Column) -> Column:
-    city = trim_blanks(F.regexp_replace(trim_blanks(raw), rf"{WS}*\([^)]*\){WS}*", " "))
-    city = trim_blanks(F.regexp_replace(city, pattern(V.VENUE_PREFIX, ignore_case=True), ""))
-    stops = F.split(city, rf"{WS}*-{WS}*")
-    route = (F.size(stops) >= 3) & F.forall(stops, lambda p: F.length(p) < 20)
-    city = F.when(route, F.get(stops, F.lit(0))).otherwise(city)
-    return trim_blanks(F.regexp_replace(city, pattern(V.NUMBERED_CITY, ignore_case=True), "$1"))
+    bare = trim_blanks(F.regexp_replace(trim_blanks(raw), rf"{WS}*\([^)]*\){WS}*", " "))
+    place = trim_blanks(F.regexp_replace(bare, pattern(V.VENUE_PREFIX, ignore_case=True), ""))
+
+    def start(stops, city):
+        route = (F.size(stops) >= 3) & F.forall(stops, lambda p: F.length(p) < 20)
+        return F.when(route, F.get(stops, F.lit(0))).otherwise(city)
+
+    first = let(place, lambda c: let(F.split(c, rf"{WS}*-{WS}*"), lambda s: start(s, c)))
+    return trim_blanks(F.regexp_replace(first, pattern(V.NUMBERED_CITY, ignore_case=True), "$1"))
 
 
 def normalize_region(raw: Column) -> Column:
@@ -151,27 +158,38 @@ def normalize_website(raw: Column) -> Column:
     Host names stay as written (lower-cased): non-ASCII ones are not put in
     their ASCII form.
     """
-    text = trim_blanks(raw)
-    url = F.regexp_replace(F.when(text.startswith("http"), text).otherwise(F.concat(F.lit("https://"), text)), r"[\t\r\n]", "")
     shape = r"(?s)^([hH][tT][tT][pP][sS]?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-    scheme = F.lower(F.regexp_extract(url, shape, 1))
-    authority = F.regexp_extract(url, shape, 2)
-    login = F.regexp_extract(authority, r"^(.*@)?", 0)
-    host_port = F.regexp_replace(authority, r"^.*@", "")
-    host = F.lower(F.regexp_replace(host_port, r":\d*$", ""))
-    port = F.regexp_extract(host_port, r":(\d+)$", 1)
-    number = port.try_cast("int")
-    usual = F.when(scheme == "http", 80).otherwise(443)
-    shown_port = F.when((port == "") | (number == usual), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
-    path = F.replace(F.regexp_extract(url, shape, 3), F.lit("\\"), F.lit("/"))
-    path = F.when(path == "", "/").otherwise(path)
-    rest = F.concat(F.regexp_extract(url, shape, 4), F.regexp_extract(url, shape, 5))
-    valid = (
-        (scheme != "") & (host != "") & ~host.rlike(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]")
-        & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
-    )
-    built = F.concat(scheme, F.lit("://"), login, host, shown_port, _percent_encode(path), _percent_encode(rest))
-    return F.when(valid & ~is_blank(raw), F.regexp_replace(built, "/+$", ""))
+
+    def absolute(text):
+        return F.regexp_replace(F.when(text.startswith("http"), text).otherwise(F.concat(F.lit("https://"), text)), r"[\t\r\n]", "")
+
+    def split(url):
+        part = {n: F.regexp_extract(url, shape, i) for i, n in enumerate(("scheme", "authority", "path", "query", "mark"), 1)}
+        return let(F.struct(
+            F.lower(part["scheme"]).alias("scheme"),
+            F.regexp_extract(part["authority"], r"^(.*@)?", 0).alias("login"),
+            F.regexp_replace(part["authority"], r"^.*@", "").alias("host_port"),
+            F.replace(part["path"], F.lit("\\"), F.lit("/")).alias("path"),
+            F.concat(part["query"], part["mark"]).alias("rest"),
+        ), lambda u: let(F.struct(
+            F.lower(F.regexp_replace(u["host_port"], r":\d*$", "")).alias("host"),
+            F.regexp_extract(u["host_port"], r":(\d+)$", 1).alias("port"),
+        ), lambda h: build(u, h)))
+
+    def build(u, h):
+        number = h["port"].try_cast("int")
+        usual = F.when(u["scheme"] == "http", 80).otherwise(443)
+        port = F.when((h["port"] == "") | (number == usual), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+        valid = (
+            (u["scheme"] != "") & (h["host"] != "") & ~h["host"].rlike(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]")
+            & ((h["port"] == "") | F.coalesce(number <= 65535, F.lit(False)))
+        )
+        path = F.when(u["path"] == "", "/").otherwise(u["path"])
+        whole = F.concat(u["scheme"], F.lit("://"), u["login"], h["host"], port, _percent_encode(path), _percent_encode(u["rest"]))
+        return F.when(valid, F.regexp_replace(whole, "/+$", ""))
+
+    clean = let(trim_blanks(raw), lambda t: F.when(t != "", let(absolute(t), split)))
+    return F.when(raw.isNotNull(), clean)
 
 
 def url_dedup_key(url: Column) -> Column:
@@ -181,8 +199,7 @@ def url_dedup_key(url: Column) -> Column:
 
 def parse_fee(raw: Column) -> Column:
     """Whole amount; free and voluntary words are 0; blank or no number is NULL."""
-    low = F.lower(raw)
-    free = low.contains(V.FREE_WORDS[0]) | low.contains(V.FREE_WORDS[1]) | low.contains(V.FREE_WORDS[2])
+    free = F.lower(raw).rlike("|".join(V.FREE_WORDS))
     digits = F.regexp_extract(raw, rf"(\d[\d{BLANKS}]*\d|\d+)", 1)
     return F.when(free, F.lit(0).cast("bigint")).otherwise(
         F.regexp_replace(digits, WS, "").try_cast("bigint")
@@ -204,28 +221,28 @@ def split_parts(raw: Column) -> Column:
 
 def parse_location_named(raw: Column) -> Column:
     """``city, okres X, kraj Y`` -> struct(city, district, region)."""
-    parts = split_parts(raw)
-
-    def after(prefix):
+    def after(parts, prefix):
         hit = F.get(F.filter(parts, lambda p: p.startswith(prefix)), F.lit(0))
-        return F.coalesce(hit.substr(F.lit(len(prefix) + 1), F.length(hit)), F.lit(""))
+        return F.coalesce(F.regexp_replace(hit, f"^{prefix}", ""), F.lit(""))
 
-    return F.struct(
-        F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("city"),
-        after("okres ").alias("district"), after("kraj ").alias("region"),
-    )
+    return let(split_parts(raw), lambda p: F.struct(
+        F.coalesce(F.get(p, F.lit(0)), F.lit("")).alias("city"),
+        after(p, "okres ").alias("district"), after(p, "kraj ").alias("region"),
+    ))
 
 
 def parse_location_place(raw: Column) -> Column:
     """``city, place, Kraj: Y`` -> struct(city, start_place, region)."""
-    halves = F.split(raw, pattern(r",?\s*Kraj:\s*"))
-    parts = F.filter(split_parts(F.get(halves, F.lit(0))), lambda p: p != "")
-    place = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), ", ")
-    return F.struct(
-        F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("city"),
-        F.coalesce(place, F.lit("")).alias("start_place"),
-        F.coalesce(trim_blanks(F.get(halves, F.lit(1))), F.lit("")).alias("region"),
-    )
+    def fields(parts, halves):
+        place = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), ", ")
+        return F.struct(
+            F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("city"),
+            F.coalesce(place, F.lit("")).alias("start_place"),
+            F.coalesce(trim_blanks(F.get(halves, F.lit(1))), F.lit("")).alias("region"),
+        )
+
+    return let(F.split(raw, pattern(r",?\s*Kraj:\s*")), lambda h: let(
+        F.filter(split_parts(F.get(h, F.lit(0))), lambda p: p != ""), lambda p: fields(p, h)))
 
 
 def split_place_time(raw: Column) -> Column:

@@ -21,6 +21,15 @@ _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column used several times in one expression is copied into the tree at
+    each use; steps built on steps would grow it exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pattern(text: str, ignore_case: bool = False) -> str:
     r"""Spell out ``\b`` (ASCII) and ``\s`` (all blanks) of a fixed pattern."""
     text = text.replace(r"\b", _EDGE).replace(r"\s", WS)
@@ -89,7 +98,7 @@ def token_set(normalized: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Set similarity of two token arrays; two empty sets are equal."""
     shared = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - shared
+    total = F.size(F.array_union(a, b))
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / F.greatest(total, F.lit(1)))
 
 
@@ -108,7 +117,9 @@ def trigrams(col: Column) -> Column:
     words = F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def of_word(word):
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
+        return let(F.concat(F.lit("  "), word, F.lit(" ")), pieces)
+
+    def pieces(padded):
         starts = F.sequence(F.lit(1), F.length(padded) - 2)
         return F.transform(starts, lambda i: padded.substr(i, F.lit(3)))
 
@@ -121,25 +132,23 @@ def word_similarity(query: Column, text: Column) -> Column:
     A best run starts and ends at a trigram of the query, so only those
     positions are tried.  The result is single precision, as thresholds expect.
     """
-    wanted = F.array_distinct(trigrams(query))
-    grams = trigrams(text)
-    places = F.filter(
-        F.transform(grams, lambda g, i: F.when(F.array_contains(wanted, g), i + 1)),
-        lambda i: i.isNotNull(),
-    )
-
-    def run_score(start, end):
-        run = F.array_distinct(F.slice(grams, start, end - start + 1))
-        shared = F.size(F.array_intersect(run, wanted))
-        return shared / (F.size(wanted) + F.size(run) - shared)
-
-    best = F.array_max(
-        F.transform(
-            places,
-            lambda s: F.array_max(
-                F.transform(F.filter(places, lambda e: e >= s), lambda e: run_score(s, e))
-            ),
+    def score(wanted, grams):
+        places = F.filter(
+            F.transform(grams, lambda g, i: F.when(F.array_contains(wanted, g), i + 1)), lambda i: i.isNotNull()
         )
-    )
-    score = F.coalesce(best, F.lit(0.0)).cast("float").cast("double")
-    return F.when(query.isNotNull() & text.isNotNull(), score)
+
+        def of_run(run):
+            shared = F.size(F.array_intersect(run, wanted))
+            return shared / (F.size(wanted) + F.size(run) - shared)
+
+        def best_from(places, start):
+            return F.array_max(F.transform(
+                F.filter(places, lambda e: e >= start),
+                lambda e: let(F.array_distinct(F.slice(grams, start, e - start + 1)), of_run),
+            ))
+
+        return let(places, lambda p: F.array_max(F.transform(p, lambda s: best_from(p, s))))
+
+    best = let(F.array_distinct(trigrams(query)), lambda w: let(trigrams(text), lambda g: score(w, g)))
+    single = F.coalesce(best, F.lit(0.0)).cast("float").cast("double")
+    return F.when(query.isNotNull() & text.isNotNull(), single)

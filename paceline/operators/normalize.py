@@ -19,29 +19,31 @@ def normalize_items(raw: DataFrame) -> DataFrame:
 
     Blank-able texts become ``''``; ``website``, ``startTime`` and fees stay NULL.
     """
-    text = {c: F.coalesce(F.col(c), F.lit("")) for c in raw.columns if dict(raw.dtypes)[c] == "string"}
-    pre, on_site = P.parse_fee(text["feePreRegistration"]), P.parse_fee(text["feeOnSite"])
-    low, high = P.price_bounds(pre, on_site)
-    date = P.normalize_date(text["date"])
-    return raw.select(
+    def text(name):
+        return F.coalesce(F.col(name), F.lit(""))
+
+    fields = raw.select(
         "ord",
         "source",
         F.col("url").alias("sourceUrl"),
-        trim_blanks(text["title"]).alias("title"),
-        date.alias("date"),
-        P.normalize_city(text["city"]).alias("city"),
-        F.coalesce(P.normalize_region(text["region"]), F.lit("")).alias("region"),
-        P.parse_distances(text["distance"]).alias("distances"),
-        P.surface_to_terrain(text["surface"]).alias("terrain"),
-        P.normalize_time(text["startTime"]).alias("startTime"),
-        P.normalize_website(text["website"]).alias("website"),
-        low.alias("priceFrom"),
-        high.alias("priceTo"),
-        *[trim_blanks(text[c]).alias(c) for c in _TRIMMED],
-        F.when(date.isNull(), "bad_date")
-        .when(P.is_foreign_region(text["region"]), "foreign")
-        .alias("reject_reason"),
+        trim_blanks(text("title")).alias("title"),
+        P.normalize_date(text("date")).alias("date"),
+        P.normalize_city(text("city")).alias("city"),
+        F.coalesce(P.normalize_region(text("region")), F.lit("")).alias("region"),
+        P.is_foreign_region(text("region")).alias("_foreign"),
+        P.parse_distances(text("distance")).alias("distances"),
+        P.surface_to_terrain(text("surface")).alias("terrain"),
+        P.normalize_time(text("startTime")).alias("startTime"),
+        P.normalize_website(text("website")).alias("website"),
+        P.parse_fee(text("feePreRegistration")).alias("_pre"),
+        P.parse_fee(text("feeOnSite")).alias("_site"),
+        *[trim_blanks(text(c)).alias(c) for c in _TRIMMED],
     )
+    low, high = P.price_bounds(F.col("_pre"), F.col("_site"))
+    reason = F.when(F.col("date").isNull(), "bad_date").when(F.col("_foreign"), "foreign")
+    return fields.select(
+        "*", low.alias("priceFrom"), high.alias("priceTo"), reason.alias("reject_reason")
+    ).drop("_pre", "_site", "_foreign")
 
 
 def accepted(items: DataFrame) -> DataFrame:

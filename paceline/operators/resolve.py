@@ -237,7 +237,7 @@ def fuzzy_pairs(groups: DataFrame, threshold: float = V.NAME_JACCARD) -> DataFra
 
     The grouping itself does not use this list; see ``leader_links``.
     """
-    nodes = _with_prefix(fuzzy_nodes(groups), threshold)
+    nodes = cut(_with_prefix(fuzzy_nodes(groups), threshold))
     return matching_pairs(nodes, nodes, threshold)
 
 
