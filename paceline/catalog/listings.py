@@ -301,7 +301,7 @@ def sink_json(spark, sf):
     from paceline.session import scratch_path
 
     path = scratch_path(spark, "races-json")
-    races = M.assign_slugs(M.null_shared_urls(_merged(spark, sf))).select(*I.RACE_COLUMNS)
+    races = M.finish(_merged(spark, sf)).select(*I.RACE_COLUMNS)
     S.write_json(races, path)
     back = spark.read.schema(races.schema).json(path)
     return back.agg(

@@ -146,19 +146,19 @@ INTEREST = """
 SELECT event_id AS id, event_id % 20000 AS race_id,
   CASE WHEN event_type = 'view' THEN NULL ELSE user_id % 40 END AS user_id,
   CASE WHEN event_type = 'signup' THEN (user_id + 7) % 150 END AS referred_by,
-  ts AS created_at
+  CAST(ts AS TIMESTAMP) AS created_at
 FROM {events}
 """
 INTEREST_NARROW = INTEREST.replace("event_id % 20000 AS race_id", "event_id % 97 AS race_id")
 REFERRALS = """
-SELECT event_id AS id, (user_id + 7) % 150 AS referrer_id, user_id AS referred_id, event_id % 20000 AS race_id, ts AS created_at
+SELECT event_id AS id, (user_id + 7) % 150 AS referrer_id, user_id AS referred_id, event_id % 20000 AS race_id, CAST(ts AS TIMESTAMP) AS created_at
 FROM {events} WHERE event_type = 'signup'
 """
 REPORTS = """
 SELECT event_id AS id, user_id % 5 AS race_id,
   CASE WHEN event_id % 3 = 0 THEN 'datum,trať' WHEN event_id % 3 = 1 THEN '' ELSE 'jiné' END AS reasons,
   CASE WHEN event_id % 4 = 0 THEN 'zpráva' WHEN event_id % 4 = 1 THEN '' END AS message,
-  event_id % 5 = 0 AS resolved, ts AS created_at
+  event_id % 5 = 0 AS resolved, CAST(ts AS TIMESTAMP) AS created_at
 FROM {events}
 """
 

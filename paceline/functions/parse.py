@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline import fixed_values as V
 from paceline.functions.text import (
-    BLANKS, NOT_WS, WS, is_blank, let, like, null_if_empty, pattern, replace_first, trim_blanks,
+    BLANKS, NOT_WS, WS, drop_blanks, is_blank, let, like, null_if_empty, pattern, replace_first, trim_blanks,
 )
 
 DISTANCES = "array<struct<label:string,km:double>>"
@@ -25,13 +25,13 @@ def _month_number(name: Column) -> Column:
 
 def _dotted_date(text: Column) -> Column:
     """ISO form of D.M.YYYY, blanks anywhere; NULL otherwise."""
-    shape = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
+    shape = r"^\d{1,2}\.\d{1,2}\.\d{4}$"
 
     def iso(dense):
-        padded = F.regexp_replace(dense, shape, "$3-0$2-0$1")
-        return F.when(dense.rlike(shape), F.regexp_replace(padded, r"-0(\d\d)", "-$1"))
+        day, month, year = (F.get(F.split(dense, r"\."), F.lit(i)) for i in range(3))
+        return F.when(dense.rlike(shape), F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
 
-    return let(F.regexp_replace(text, WS, ""), iso)
+    return let(drop_blanks(text), iso)
 
 
 def _worded_date(text: Column, shape: str) -> Column:
@@ -45,8 +45,11 @@ def _worded_date(text: Column, shape: str) -> Column:
 
 def normalize_date(raw: Column) -> Column:
     """ISO start date of a listing, as text: an ISO input is not checked against the calendar."""
-    start = trim_blanks(F.get(F.split(trim_blanks(raw), rf"{WS}*[–—]{WS}*(?=\d)"), F.lit(0)))
-    return let(start, lambda s: F.coalesce(
+    def start_of(text):
+        first = F.get(F.split(text, rf"{WS}*[–—]{WS}*(?=\d)"), F.lit(0))
+        return F.when(text.contains("–") | text.contains("—"), trim_blanks(first)).otherwise(text)
+
+    return let(let(trim_blanks(raw), start_of), lambda s: F.coalesce(
         F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s),
         _dotted_date(s),
         _worded_date(s, rf"^(\d{{1,2}})\.{WS}*({NOT_WS}+){WS}+(\d{{4}})$"),
@@ -79,24 +82,18 @@ def round_half_up(value: Column, digits: int) -> Column:
 def parse_distances(raw: Column) -> Column:
     """Array of ``{label, km}`` read from one text, longest first, near repeats dropped."""
     parts = F.transform(F.split(raw, rf"{WS}*/{WS}*(?=\d)"), trim_blanks)
-    usable = F.filter(
-        parts,
-        lambda s: (s != "") & ~like(s, V.NOT_A_DISTANCE)
-        & (~like(s, V.RELAY) | like(s, "km")),
-    )
+    usable = F.filter(parts, lambda s: s.rlike(r"\d") & ~like(s, V.NOT_A_DISTANCE) & (~like(s, V.RELAY) | like(s, "km")))
     value_shape = pattern(V.KM_VALUE, ignore_case=True)
 
     def entry(seg):
         number = F.regexp_replace(F.regexp_extract(seg, value_shape, 1), ",", ".").try_cast("double")
         miles = F.lower(F.regexp_extract(seg, value_shape, 2)).isin("míle", "mil")
-        km = let(number, lambda n: F.when(miles, round_half_up(n * V.KM_PER_MILE, 1)).otherwise(n))
+        number = let(number, lambda n: F.when(miles, round_half_up(n * V.KM_PER_MILE, 1)).otherwise(n))
         label = trim_blanks(F.regexp_replace(seg, rf"{WS}*\+?{WS}*$", ""))
-        return F.struct(label.alias("label"), km.alias("raw_km"))
+        return F.struct(label.alias("label"), let(number, lambda n: F.when(n > 0, n)).alias("raw"))
 
-    read = F.filter(F.transform(usable, entry), lambda d: d["raw_km"] > 0)
-    rounded = F.transform(
-        read, lambda d: F.struct(d["label"].alias("label"), round_half_up(d["raw_km"], 2).alias("km"))
-    )
+    read = F.filter(F.transform(usable, entry), lambda d: d["raw"].isNotNull())
+    rounded = F.transform(read, lambda d: F.struct(d["label"].alias("label"), round_half_up(d["raw"], 2).alias("km")))
     kept = F.aggregate(
         rounded,
         F.array().cast(DISTANCES),
@@ -104,7 +101,8 @@ def parse_distances(raw: Column) -> Column:
             F.exists(acc, lambda e: F.abs(e["km"] - d["km"]) < V.ROW_TOLERANCE_KM), acc
         ).otherwise(F.concat(acc, F.array(d))),
     )
-    return F.coalesce(_by_km_desc(kept), F.array().cast(DISTANCES))
+    several = let(kept, lambda k: F.when(F.size(k) > 1, _by_km_desc(k)).otherwise(k))
+    return F.coalesce(F.when(raw.rlike(r"\d"), several), F.array().cast(DISTANCES))
 
 
 def surface_to_terrain(raw: Column) -> Column:
@@ -123,15 +121,22 @@ def normalize_time(raw: Column) -> Column:
 
 
 def normalize_city(raw: Column) -> Column:
-    bare = trim_blanks(F.regexp_replace(trim_blanks(raw), rf"{WS}*\([^)]*\){WS}*", " "))
-    place = trim_blanks(F.regexp_replace(bare, pattern(V.VENUE_PREFIX, ignore_case=True), ""))
+    def without_brackets(text):
+        cut = trim_blanks(F.regexp_replace(text, rf"{WS}*\([^)]*\){WS}*", " "))
+        return F.when(text.contains("("), cut).otherwise(text)
 
-    def start(stops, city):
-        route = (F.size(stops) >= 3) & F.forall(stops, lambda p: F.length(p) < 20)
-        return F.when(route, F.get(stops, F.lit(0))).otherwise(city)
+    def start(city):
+        stops = F.split(city, rf"{WS}*-{WS}*")
+        route = let(stops, lambda s: (F.size(s) >= 3) & F.forall(s, lambda p: F.length(p) < 20))
+        return F.when(city.contains("-") & route, F.get(stops, F.lit(0))).otherwise(city)
 
-    first = let(place, lambda c: let(F.split(c, rf"{WS}*-{WS}*"), lambda s: start(s, c)))
-    return trim_blanks(F.regexp_replace(first, pattern(V.NUMBERED_CITY, ignore_case=True), "$1"))
+    def unnumbered(city):
+        bare = F.regexp_replace(city, pattern(V.NUMBERED_CITY, ignore_case=True), "$1")
+        return trim_blanks(F.when(city.rlike(r"\d$"), bare).otherwise(city))
+
+    bare = let(trim_blanks(raw), without_brackets)
+    place = trim_blanks(F.regexp_replace(bare, pattern(V.VENUE_PREFIX, ignore_case=True), ""))
+    return let(let(place, start), unnumbered)
 
 
 def normalize_region(raw: Column) -> Column:
@@ -201,9 +206,7 @@ def parse_fee(raw: Column) -> Column:
     """Whole amount; free and voluntary words are 0; blank or no number is NULL."""
     free = F.lower(raw).rlike("|".join(V.FREE_WORDS))
     digits = F.regexp_extract(raw, rf"(\d[\d{BLANKS}]*\d|\d+)", 1)
-    return F.when(free, F.lit(0).cast("bigint")).otherwise(
-        F.regexp_replace(digits, WS, "").try_cast("bigint")
-    )
+    return F.when(free, F.lit(0).cast("bigint")).otherwise(drop_blanks(digits).try_cast("bigint"))
 
 
 def price_bounds(pre: Column, on_site: Column) -> tuple[Column, Column]:

@@ -16,6 +16,7 @@ from paceline import fixed_values as V
 # Blank characters: Java's \s and trim() miss the non-breaking and wide ones.
 BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WS = f"[{BLANKS}]"
+BLANK_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_WS = f"[^{BLANKS}]"
 _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -47,12 +48,16 @@ def replace_first(col: Column, text: str, by: str, ignore_case: bool = False) ->
 
 
 def trim_blanks(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    return F.btrim(col, F.lit(BLANK_CHARS))
+
+
+def drop_blanks(col: Column) -> Column:
+    return F.translate(col, BLANK_CHARS, "")
 
 
 def is_blank(col: Column) -> Column:
     """True for NULL and for text made of blanks only."""
-    return F.coalesce(~col.rlike(NOT_WS), F.lit(True))
+    return F.coalesce(trim_blanks(col) == "", F.lit(True))
 
 
 def null_if_empty(col: Column) -> Column:

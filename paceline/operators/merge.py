@@ -18,7 +18,7 @@ from paceline.functions import parse as P
 from paceline.functions.text import is_blank, null_if_empty
 from paceline.operators.ordering import numbered_within, spread_null_key
 from paceline.operators.resolve import exact_groups, group_ids, with_group_key
-from paceline.session import cut
+from paceline.session import cut, stage
 
 
 # --- Reducers: Column aggregates over an order column ------------------------
@@ -144,7 +144,7 @@ def combine(summaries: DataFrame, keys: list[str]) -> DataFrame:
 
 def resolve_items(items: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """Keyed rows, and ``(group_key, phase, date, first_ord, n_rows, group_id)``."""
-    keyed = with_group_key(items)
+    keyed = stage(with_group_key(items), "listings")
     return keyed, cut(group_ids(cut(exact_groups(keyed)), **limits))
 
 
@@ -201,13 +201,14 @@ def merge_groups(keyed: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def null_shared_urls(races: DataFrame, row_id: str = "group_id") -> DataFrame:
+def null_shared_urls(races: DataFrame, counted: DataFrame | None = None, row_id: str = "group_id") -> DataFrame:
     """Clear ``official_url`` where several races carry the same one.
 
-    Counts are pre-aggregated; the join splits NULLs over all partitions.
+    Counts, pre-aggregated, come from ``counted`` (the same races, stored) if
+    given; the join splits NULLs over all partitions.
     """
     shared = (
-        races.filter(F.col("official_url").isNotNull()).groupBy("official_url").count()
+        (counted or races).filter(F.col("official_url").isNotNull()).groupBy("official_url").count()
         .filter("count > 1").select(F.col("official_url").alias("_key"), F.lit(True).alias("_shared"))
     )
     keyed = races.withColumn("_key", spread_null_key(F.col("official_url"), F.col(row_id)))
@@ -221,3 +222,9 @@ def assign_slugs(races: DataFrame) -> DataFrame:
     ranked = numbered_within(based, ["_base"], "group_id", "_nth", lead=["phase"])
     slug = F.when(F.col("_nth") > 1, F.concat("_base", F.lit("-"), F.col("_nth").cast("string"))).otherwise(F.col("_base"))
     return ranked.withColumn("slug", slug).drop("_base", "_nth")
+
+
+def finish(merged: DataFrame) -> DataFrame:
+    """Slugs assigned and shared addresses cleared; the merged races are stored once before."""
+    stored = stage(merged, "merged")
+    return null_shared_urls(assign_slugs(stored), stored)

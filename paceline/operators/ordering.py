@@ -16,7 +16,9 @@ def numbered_within(
     Rows are cut into slices of the order column (approximate quantiles, read
     once as a scalar subquery), numbered inside ``(keys, slice)`` and shifted by
     the sizes of the key's earlier slices.  A key holding a third of all rows is
-    thus sorted by many tasks instead of one.
+    thus sorted by many tasks instead of one.  Only keys that reach over a slice
+    border need a shift, so that join side is small.  ``df`` is read three
+    times: give it a stored table.
     """
     lead = lead or []
     points = [i / slices for i in range(1, slices)]
@@ -27,12 +29,11 @@ def numbered_within(
     part = [*keys, *lead, "_slice"]
     sizes = sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*lead, "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shifts = sizes.select(*part, F.sum("_n").over(before).alias("_shift")).filter(F.col("_shift") > 0)
     local = Window.partitionBy(*part).orderBy(order)
-    numbered = sliced.withColumn("_rank", F.row_number().over(local))
-    return numbered.join(shifts, part).withColumn(name, (F.col("_rank") + F.col("_shift")).cast("bigint")).drop(
-        "_slice", "_rank", "_shift"
-    )
+    numbered = sliced.withColumn("_rank", F.row_number().over(local)).join(shifts, part, "left")
+    rank = F.col("_rank") + F.coalesce("_shift", F.lit(0))
+    return numbered.withColumn(name, rank.cast("bigint")).drop("_slice", "_rank", "_shift")
 
 
 def spread_null_key(key: Column, row_id: Column) -> Column:

@@ -23,8 +23,7 @@ def merged_races(raw: DataFrame, **limits) -> DataFrame:
 
 def integrate(raw: DataFrame, **limits) -> DataFrame:
     """Raw listings (22 texts, ``source``, ``ord``) to race rows ready to write."""
-    races = M.assign_slugs(M.null_shared_urls(merged_races(raw, **limits)))
-    return races.select(*RACE_COLUMNS)
+    return M.finish(merged_races(raw, **limits)).select(*RACE_COLUMNS)
 
 
 def stage_counters(raw: DataFrame, races: DataFrame) -> DataFrame:

@@ -53,3 +53,14 @@ def cut(df):
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df, label: str = "stage"):
+    """Write ``df`` once as a Parquet table in the shared folder and read it from there.
+
+    For rows that several later steps read: each then scans only its columns
+    instead of repeating the work, and a lost executor loses nothing.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
