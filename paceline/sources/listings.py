@@ -46,9 +46,12 @@ def read_listings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable rows, and unreadable ones for quarantine."""
+    """Readable rows, and unreadable ones for quarantine.
+
+    Both keep a data column: Spark refuses a read of the corrupt text alone.
+    """
     bad = F.col(CORRUPT).isNotNull()
-    return df.filter(~bad).drop(CORRUPT), df.filter(bad).select("source", "file_name", CORRUPT)
+    return df.filter(~bad).drop(CORRUPT), df.filter(bad).select("source", "file_name", "title", CORRUPT)
 
 
 def require_fields(df: DataFrame, *names: str) -> DataFrame:
