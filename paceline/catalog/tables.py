@@ -143,13 +143,13 @@ FROM (SELECT o_orderkey AS k, o_custkey AS ck, c_nationkey AS nk FROM {{orders}}
 
 # Interest, referrals and reports from the event stream.
 INTEREST = """
-SELECT event_id AS id, event_id % 20000 AS race_id,
+SELECT event_id AS id, event_id * 2 AS race_id,
   CASE WHEN event_type = 'view' THEN NULL ELSE user_id % 40 END AS user_id,
   CASE WHEN event_type = 'signup' THEN (user_id + 7) % 150 END AS referred_by,
   CAST(ts AS TIMESTAMP) AS created_at
 FROM {events}
 """
-INTEREST_NARROW = INTEREST.replace("event_id % 20000 AS race_id", "event_id % 97 AS race_id")
+INTEREST_NARROW = INTEREST.replace("event_id * 2 AS race_id", "event_id % 97 AS race_id")
 REFERRALS = """
 SELECT event_id AS id, (user_id + 7) % 150 AS referrer_id, user_id AS referred_id, event_id % 20000 AS race_id, CAST(ts AS TIMESTAMP) AS created_at
 FROM {events} WHERE event_type = 'signup'

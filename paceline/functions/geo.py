@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paceline.functions.text import let
+
 EQUATOR_M = 6378137.0
 FLATTENING = 1 / 298.257223563
 KM_PER_DEGREE = 110.574  # shortest degree of latitude, so boxes are never too small
@@ -14,19 +14,25 @@ KM_PER_DEGREE = 110.574  # shortest degree of latitude, so boxes are never too s
 
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Metres between two points (Lambert's long-line formula)."""
-    squash = F.lit(1 - FLATTENING)
-    b1 = F.atan(squash * F.tan(F.radians(lat1)))
-    b2 = F.atan(squash * F.tan(F.radians(lat2)))
-    half_lat = F.pow(F.sin((b2 - b1) / 2), F.lit(2.0))
-    half_lng = F.pow(F.sin(F.radians(lng2 - lng1) / 2), F.lit(2.0))
-    h = F.least(half_lat + F.cos(b1) * F.cos(b2) * half_lng, F.lit(1.0))
-    angle = 2 * F.asin(F.sqrt(h))
-    mid, gap = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (angle - F.sin(angle)) * F.pow(F.sin(mid) * F.cos(gap), F.lit(2.0)) / F.pow(F.cos(angle / 2), F.lit(2.0))
-    y = (angle + F.sin(angle)) * F.pow(F.cos(mid) * F.sin(gap), F.lit(2.0)) / F.pow(F.sin(angle / 2), F.lit(2.0))
-    bent = EQUATOR_M * (angle - (FLATTENING / 2) * (x + y))
+    def reduced(lat):
+        return F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(lat)))
+
+    def square(x):
+        return x * x
+
+    def central(b):
+        h = square(F.sin((b["two"] - b["one"]) / 2)) + F.cos(b["one"]) * F.cos(b["two"]) * square(F.sin(F.radians(lng2 - lng1) / 2))
+        return 2 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+    def bent(b, angle):
+        mid, gap = (b["one"] + b["two"]) / 2, (b["two"] - b["one"]) / 2
+        x = (angle - F.sin(angle)) * square(F.sin(mid) * F.cos(gap)) / square(F.cos(angle / 2))
+        y = (angle + F.sin(angle)) * square(F.cos(mid) * F.sin(gap)) / square(F.sin(angle / 2))
+        return F.when(angle == 0, F.lit(0.0)).otherwise(EQUATOR_M * (angle - (FLATTENING / 2) * (x + y)))
+
     known = lat1.isNotNull() & lng1.isNotNull() & lat2.isNotNull() & lng2.isNotNull()
-    return F.when(known & (angle == 0), F.lit(0.0)).when(known, bent)
+    ends = F.struct(reduced(lat1).alias("one"), reduced(lat2).alias("two"))
+    return F.when(known, let(ends, lambda b: let(central(b), lambda angle: bent(b, angle))))
 
 
 def box_degrees(lat: Column, radius_m: float) -> tuple[Column, Column]:
@@ -34,8 +40,3 @@ def box_degrees(lat: Column, radius_m: float) -> tuple[Column, Column]:
     d_lat = radius_m / 1000 / KM_PER_DEGREE
     far_lat = F.least(F.abs(lat) + d_lat, F.lit(89.0))
     return F.lit(d_lat), F.lit(d_lat * 1.01) / F.cos(F.radians(far_lat))
-
-
-def box_literals(lat: float, radius_m: float) -> tuple[float, float]:
-    d_lat = radius_m / 1000 / KM_PER_DEGREE
-    return d_lat, d_lat * 1.01 / math.cos(math.radians(min(abs(lat) + d_lat, 89.0)))

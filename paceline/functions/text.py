@@ -41,10 +41,19 @@ def like(col: Column, text: str, ignore_case: bool = True) -> Column:
     return col.rlike(pattern(text, ignore_case))
 
 
-def replace_first(col: Column, text: str, by: str, ignore_case: bool = False) -> Column:
+def like_folded(normalized: Column, text: str) -> Column:
+    """``like`` for folded text: plain ASCII, where the engine's own word edge will do."""
+    return normalized.rlike(text)
+
+
+def replace_first(col: Column, text: str, by: str) -> Column:
     """Replace only the leftmost match; groups of ``text`` start at ``$2``."""
-    flags = "(?siu)" if ignore_case else "(?s)"
-    return F.regexp_replace(col, f"{flags}^(.*?)(?:{pattern(text)})", "$1" + by)
+    return F.regexp_replace(col, f"(?s)^(.*?)(?:{pattern(text)})", "$1" + by)
+
+
+def drop_first_folded(normalized: Column, text: str) -> Column:
+    """Blank out the leftmost match in folded text."""
+    return F.regexp_replace(normalized, f"^(.*?)(?:{text})", "$1 ")
 
 
 def trim_blanks(col: Column) -> Column:

@@ -43,7 +43,7 @@ def remove_interest(existing: DataFrame, deletes: DataFrame) -> DataFrame:
 
 def has_interest(asked: DataFrame, interest: DataFrame) -> DataFrame:
     """Asked (user, race) pairs that exist."""
-    return asked.join(_known(interest).select("user_id", "race_id"), ["user_id", "race_id"], "left_semi")
+    return asked.join(_known(interest).select("user_id", "race_id").distinct(), ["user_id", "race_id"], "left_semi")
 
 
 def referral_rows(interest: DataFrame) -> DataFrame:

@@ -49,15 +49,15 @@ def near_points(points: DataFrame, races: DataFrame, radius_m: float = V.RADIUS_
     touches; races stay in one cell, so the join is an equi-join and the large
     side is not multiplied.
     """
-    d_lat, d_lng = geo.box_degrees(F.col("lat"), radius_m)
-    spread = points.filter(F.col("lat").isNotNull()).select(
-        "*", _cells(F.col("lat") - d_lat, F.col("lat") + d_lat).alias("cy")
-    ).select("*", _cells(F.col("lng") - d_lng, F.col("lng") + d_lng).alias("cx"))
+    high, wide = geo.box_degrees(F.col("lat"), radius_m)
+    boxed = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("*", high.alias("d_lat"), wide.alias("d_lng"))
+    spread = boxed.select("*", _cells(F.col("lat") - F.col("d_lat"), F.col("lat") + F.col("d_lat")).alias("cy")).select(
+        "*", _cells(F.col("lng") - F.col("d_lng"), F.col("lng") + F.col("d_lng")).alias("cx"))
     placed = races.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
         "race_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"),
         F.floor(F.col("lat") / CELL).alias("cy"), F.floor(F.col("lng") / CELL).alias("cx"),
     )
-    joined = spread.join(placed, ["cy", "cx"]).withColumn(
-        "dist_m", geo.distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
-    )
-    return joined.filter(F.col("dist_m") <= radius_m).select(*points.columns, "race_id", "dist_m")
+    inside = (F.abs(F.col("r_lat") - F.col("lat")) <= F.col("d_lat")) & (F.abs(F.col("r_lng") - F.col("lng")) <= F.col("d_lng"))
+    distance = geo.distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
+    found = spread.join(placed, ["cy", "cx"]).filter(inside).select(*points.columns, "race_id", distance.alias("dist_m"))
+    return found.filter(F.col("dist_m") <= radius_m)

@@ -17,15 +17,15 @@ LLM_SCHEMA = "terrain string, city string, month double, km double, proximity bo
 
 # --- Query parsing -----------------------------------------------------------
 
-def _first_of(text: Column, patterns) -> Column:
+def _first_of(text: Column, patterns, matches=T.like) -> Column:
     """Value of the first pattern that matches; NULL if none does."""
-    return F.coalesce(*[F.when(T.like(text, p), F.lit(value)) for p, value in patterns])
+    return F.coalesce(*[F.when(matches(text, p), F.lit(value)) for p, value in patterns])
 
 
-def _strip_chosen(text: Column, chosen: Column, patterns) -> Column:
+def _strip_chosen(folded: Column, chosen: Column, patterns) -> Column:
     """Remove the first match of the pattern that gave ``chosen``."""
-    cut = [F.when(chosen == value, T.replace_first(text, p, " ", True)) for p, value in patterns]
-    return F.coalesce(*cut, text)
+    cut = [F.when(chosen == value, T.drop_first_folded(folded, p)) for p, value in patterns]
+    return F.coalesce(*cut, folded)
 
 
 def parse_terrain(text: Column) -> Column:
@@ -37,13 +37,13 @@ def parse_month(text: Column) -> Column:
 
 
 def parse_city(normalized: Column) -> Column:
-    return _first_of(normalized, V.QUERY_CITIES)
+    return _first_of(normalized, V.QUERY_CITIES, T.like_folded)
 
 
 def parse_km(normalized: Column) -> Column:
     """Distance by number or word; a word for ultra is handled by the caller."""
-    number = F.regexp_extract(normalized, T.pattern(V.QUERY_KM_NUMBER), 1)
-    return F.coalesce(number.try_cast("int"), *[F.when(T.like(normalized, p, False), F.lit(km)) for p, km in V.QUERY_KM_WORDS])
+    number = F.regexp_extract(normalized, V.QUERY_KM_NUMBER, 1)
+    return F.coalesce(number.try_cast("int"), _first_of(normalized, V.QUERY_KM_WORDS, T.like_folded))
 
 
 def parse_queries(queries: DataFrame, column: str = "q", fold_accents: bool = False) -> DataFrame:
@@ -63,8 +63,8 @@ def parse_queries(queries: DataFrame, column: str = "q", fold_accents: bool = Fa
         parse_month(typed).alias("month"),
         parse_city(F.col("_n")).alias("city"),
         parse_km(F.col("_n")).alias("_km"),
-        T.like(F.col("_n"), V.QUERY_KM_NUMBER).alias("_by_number"),
-        T.like(F.col("_n"), V.QUERY_PROXIMITY).alias("_near"),
+        T.like_folded(F.col("_n"), V.QUERY_KM_NUMBER).alias("_by_number"),
+        T.like_folded(F.col("_n"), V.QUERY_PROXIMITY).alias("_near"),
     )
     step = step.select(
         "*",
@@ -73,17 +73,17 @@ def parse_queries(queries: DataFrame, column: str = "q", fold_accents: bool = Fa
     )
     # Consumed words leave the text one kind at a time, first match only.
     step = step.withColumn("_t", _strip_chosen(F.col("_n"), F.col("terrain"), V.QUERY_TERRAINS))
-    step = step.withColumn("_t", F.when(F.col("_ultra"), T.replace_first(F.col("_t"), V.QUERY_ULTRA, " ", True)).otherwise(F.col("_t")))
+    step = step.withColumn("_t", F.when(F.col("_ultra"), T.drop_first_folded(F.col("_t"), V.QUERY_ULTRA)).otherwise(F.col("_t")))
     step = step.withColumn("_t", _strip_chosen(F.col("_t"), F.col("month"), V.QUERY_MONTHS))
     step = step.withColumn("_t", _strip_chosen(F.col("_t"), F.col("city"), V.QUERY_CITIES))
-    step = step.withColumn("_t", F.when(F.col("proximity"), T.replace_first(F.col("_t"), V.QUERY_PROXIMITY, " ", True)).otherwise(F.col("_t")))
+    step = step.withColumn("_t", F.when(F.col("proximity"), T.drop_first_folded(F.col("_t"), V.QUERY_PROXIMITY)).otherwise(F.col("_t")))
     number = V.QUERY_KM_NUMBER.replace("(", "(?:", 1)
     step = step.withColumn(
         "_t",
-        F.when(F.col("_by_number"), T.replace_first(F.col("_t"), number, " ", True)).otherwise(
+        F.when(F.col("_by_number"), T.drop_first_folded(F.col("_t"), number)).otherwise(
             _strip_chosen(F.col("_t"), F.col("_km"), V.QUERY_KM_WORDS)),
     )
-    left = F.regexp_replace(F.regexp_replace(F.col("_t"), T.pattern(V.QUERY_FILLERS, True), " "), " +", " ")
+    left = F.regexp_replace(F.regexp_replace(F.col("_t"), V.QUERY_FILLERS, " "), " +", " ")
     return step.withColumn("search_text", T.null_if_empty(F.trim(left))).select(
         *queries.columns, "display_query", "search_text", "terrain", "city", "month", "km", "proximity"
     )
@@ -125,8 +125,8 @@ def choose_parse(parsed: DataFrame, model: str) -> DataFrame:
 
 # --- Filtered search ---------------------------------------------------------
 
-def _near_city(races: DataFrame, city: str, dim: DataFrame) -> Column:
-    """Predicate for races around a city.
+def _near_city(found: DataFrame, races: DataFrame, city: str, dim: DataFrame) -> DataFrame:
+    """Rows of ``found`` around a city.
 
     Without a dimension entry the city's point and region come from the races
     themselves, as scalar subqueries: one row each, never collected.
@@ -138,19 +138,24 @@ def _near_city(races: DataFrame, city: str, dim: DataFrame) -> Column:
         return entry.select(F.min(name)).scalar()
 
     located = same.filter(F.col("lat").isNotNull())
-    lat = F.coalesce(known("lat"), located.select(F.avg("lat")).scalar())
-    lng = F.coalesce(known("lng"), located.select(F.avg("lng")).scalar())
-    region = F.coalesce(known("region"), same.select(F.min("region")).scalar())
-    d_lat, d_lng = geo.box_degrees(lat, V.RADIUS_M)
+    centre = found.select(
+        "*",
+        F.coalesce(known("lat"), located.select(F.avg("lat")).scalar()).alias("_lat"),
+        F.coalesce(known("lng"), located.select(F.avg("lng")).scalar()).alias("_lng"),
+        F.coalesce(known("region"), same.select(F.min("region")).scalar()).alias("_region"),
+    )
+    lat, lng = F.col("_lat"), F.col("_lng")
+    high, wide = geo.box_degrees(lat, V.RADIUS_M)
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    boxed = F.col("lat").between(lat - d_lat, lat + d_lat) & F.col("lng").between(lng - d_lng, lng + d_lng)
+    boxed = F.col("lat").between(lat - high, lat + high) & F.col("lng").between(lng - wide, lng + wide)
     close = boxed & (geo.distance_m(F.col("lat"), F.col("lng"), lat, lng) <= V.RADIUS_M)
-    same_region = F.coalesce(F.col("region") == region, F.lit(False))
-    return (
+    same_region = F.coalesce(F.col("region") == F.col("_region"), F.lit(False))
+    near = (
         F.when(lat.isNotNull(), F.when(placed, close).otherwise(same_region))
-        .when(region.isNotNull(), same_region)
+        .when(F.col("_region").isNotNull(), same_region)
         .otherwise(X.mentions(city, "city", "region"))
     )
+    return centre.filter(near).drop("_lat", "_lng", "_region")
 
 
 def search_races(
@@ -175,7 +180,7 @@ def search_races(
         tests.append(X.mentions(city, "name", "city", "region"))
     found = races.filter(reduce(lambda a, b: a & b, tests))
     if city is not None and proximity:
-        found = found.filter(_near_city(races, city, dim))
+        found = _near_city(found, races, city, dim)
     if search_text:
         found = found.withColumn("score", X.fuzzy_score(search_text)).filter(F.col("score") > V.FUZZY_THRESHOLD)
     else:
