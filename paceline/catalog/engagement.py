@@ -12,6 +12,7 @@ from paceline.operators import engage as E
 from paceline.operators import filters as P
 from paceline.operators import quality as Q
 from paceline.operators import upsert as U
+from paceline.operators.throttle import throttle
 from paceline.sources import listings as S
 from paceline.sources import pages as G
 from paceline.streaming import flows as W
@@ -336,15 +337,29 @@ def stream_ingest(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.size("distances")).alias("distances"), F.sum("priceFrom").alias("fees"))
 
 
-@query("stream_throttle", f"""WITH RECURSIVE {REPORTS},
+_THROTTLED = f"""WITH RECURSIVE {REPORTS},
 t AS (SELECT race_id, id, created_at FROM reports),
 w AS (SELECT race_id, min(created_at) AS t0 FROM t GROUP BY 1
   UNION ALL SELECT race_id, nxt FROM (SELECT w.race_id, (SELECT min(t.created_at) FROM t WHERE t.race_id = w.race_id AND t.created_at >= w.t0 + INTERVAL 60 SECONDS) AS nxt FROM w) q WHERE nxt IS NOT NULL)
-SELECT race_id AS key, count(*) AS accepted, CAST(sum(minute(t0) * 60 + second(t0)) AS BIGINT) AS checksum FROM w GROUP BY 1""")
+SELECT race_id AS key, count(*) AS accepted, CAST(sum(minute(t0) * 60 + second(t0)) AS BIGINT) AS checksum FROM w GROUP BY 1"""
+
+
+def _accepted(rows):
+    """Accepted reports per key, with a checksum of their times."""
+    return rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("accepted"), F.sum(F.minute("created_at") * 60 + F.second("created_at")).alias("checksum"))
+
+
+@query("throttle_reports", _THROTTLED)
+def throttle_reports(spark, sf):
+    return _accepted(throttle(reports(spark, sf)))
+
+
+@query("stream_throttle", _THROTTLED)
 def stream_throttle(spark, sf):
     out, checkpoint = W.stream_paths(spark, "throttle")
     accepted = W.drain(W.throttle_stream(_events_stream(spark, sf, T.REPORTS)), out, checkpoint)
-    return accepted.groupBy("key").agg(F.count(F.lit(1)).alias("accepted"), F.sum(F.minute("created_at") * 60 + F.second("created_at")).alias("checksum"))
+    return _accepted(accepted)
 
 
 @query("stream_interest_counts", f"WITH {INTEREST} SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, race_id, count(*) AS n FROM interest GROUP BY 1, 2")

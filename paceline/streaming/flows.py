@@ -120,7 +120,8 @@ def throttle_stream(reports: DataFrame, key: str = "race_id", watermark: str = "
     """At most one accepted report per key and minute; rejected ones do not extend the block.
 
     State is one time per key.  What a key brings in one micro-batch is bounded
-    by the source's ``maxFilesPerTrigger``.
+    by the source's ``maxFilesPerTrigger``; for a backlog use the batch form in
+    ``operators.throttle``.
     """
     slim = reports.select(F.col(key).alias("key"), "id", "created_at").withWatermark("created_at", watermark)
     return slim.groupBy("key").applyInPandasWithState(_accept, OUT, "last long", "append", GroupStateTimeout.NoTimeout)

@@ -82,6 +82,20 @@ def test_stream_throttle_over_batches(spark, tmp_path):
     assert {r["id"] for r in got.collect()} == throttle(rows)
 
 
+def test_batch_throttle_equals_row_at_a_time(spark):
+    import random
+
+    from paceline.operators.throttle import throttle as batch_throttle
+
+    rng = random.Random(6)
+    rows, clock = [], 0
+    for i in range(1500):
+        clock += rng.choice([0, 0, 1, 3, 20, 59, 60, 61, 130] if i % 300 else [4000])
+        rows.append((1 if i % 3 else rng.randint(1, 4), i, at(clock)))
+    df = spark.createDataFrame(rows, "race_id long, id long, created_at timestamp")
+    assert {r["id"] for r in batch_throttle(df).collect()} == throttle(rows)
+
+
 def test_anti_recent_equals_brute_force(spark):
     import random
 
