@@ -2,10 +2,10 @@
 
 The rule is sequential per key, but a stretch of time only needs to know when
 the key's last report before it was accepted, and that can matter only for its
-first minute.  So: each (key, hour) states which last acceptance follows from
+first minute.  So: each (key, stretch) states which last acceptance follows from
 which entry; a fold per key runs over these few statements, not over reports;
-then each (key, hour) picks its reports on its own.  A key holding a third of
-all reports is thus spread over its hours.
+then each (key, stretch) picks its reports on its own.  A key holding a third of
+all reports is thus spread over its stretches of time.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def _pick(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.iloc[keep][["key", "id", "at"]]
 
 
-def throttle(reports: DataFrame, key: str = "race_id", chunk_hours: int = 1) -> DataFrame:
+def throttle(reports: DataFrame, key: str = "race_id", chunk_hours: int = 6) -> DataFrame:
     """Accepted reports as ``key, id, created_at``; rejected ones do not extend the block."""
     width = chunk_hours * HOUR
     at = F.unix_micros("created_at")

@@ -132,18 +132,13 @@ def _near_city(found: DataFrame, races: DataFrame, city: str, dim: DataFrame) ->
     themselves, as scalar subqueries: one row each, never collected.
     """
     same = races.filter(T.normalize_czech(F.col("city")) == T.normalize_czech(F.lit(city)))
-    entry = dim.filter(F.col("name") == city)
-
-    def known(name):
-        return entry.select(F.min(name)).scalar()
-
-    located = same.filter(F.col("lat").isNotNull())
-    centre = found.select(
-        "*",
-        F.coalesce(known("lat"), located.select(F.avg("lat")).scalar()).alias("_lat"),
-        F.coalesce(known("lng"), located.select(F.avg("lng")).scalar()).alias("_lng"),
-        F.coalesce(known("region"), same.select(F.min("region")).scalar()).alias("_region"),
-    )
+    listed = dim.filter(F.col("name") == city).select(F.struct(
+        F.min("lat").alias("lat"), F.min("lng").alias("lng"), F.min("region").alias("region"))).scalar()
+    derived = same.select(F.struct(
+        F.avg("lat").alias("lat"), F.avg(F.when(F.col("lat").isNotNull(), F.col("lng"))).alias("lng"),
+        F.min("region").alias("region"))).scalar()
+    centre = found.select("*", listed.alias("_a"), derived.alias("_b")).select(
+        *found.columns, *[F.coalesce(f"_a.{n}", f"_b.{n}").alias(f"_{n}") for n in ("lat", "lng", "region")])
     lat, lng = F.col("_lat"), F.col("_lng")
     high, wide = geo.box_degrees(lat, V.RADIUS_M)
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()

@@ -68,7 +68,7 @@ def expected(items):
     {"pair_budget": 400, "local_edges": 5},
 ])
 def test_integrate_equals_row_at_a_time(spark, limits):
-    raw = spark.createDataFrame(raw_rows(260, 11), RAW)
+    raw = spark.createDataFrame(raw_rows(200, 11), RAW)
     groups, want = expected(N.accepted(N.normalize_items(raw)))
     got = {r["slug"]: r.asDict() for r in integrate(raw, **limits).collect()}
     assert len(got) == len(want)
