@@ -28,7 +28,7 @@ def show(distances):
 
 # --- Scans -------------------------------------------------------------------
 
-@query("scan_sources", f"WITH {D.RAW} SELECT source, count(*) AS n, sum(length(title) + length(date) + length(city)) AS chars FROM raw GROUP BY source")
+@query("scan_sources", f"WITH {D.RAW} SELECT source, count(*) AS n, CAST(sum(length(title) + length(date) + length(city)) AS BIGINT) AS chars FROM raw GROUP BY source")
 def scan_sources(spark, sf):
     """Listings written as one JSON text per row, read back with the fixed schema."""
     raw = T.raw_listings(spark, sf)
