@@ -96,6 +96,6 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 FROM sums JOIN jumps ON coalesce(doc_id, 0) = id"""
 
 
-@query("op8_jump_shards")
+@query("op8_jump_shards", SHARDING_SQL)
 def op8_jump_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), SHARDS)
