@@ -1,6 +1,6 @@
 """All queries of this folder and their SQL twins."""
 
-from paceline.llm import decontaminate, pseudonyms, secrets, sharding  # noqa: F401  (register queries)
+from paceline.llm import decontaminate, neardup, pseudonyms, secrets, sharding  # noqa: F401  (register queries)
 from paceline.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
