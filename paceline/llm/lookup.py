@@ -39,3 +39,28 @@ class Lookup:
             on = (got >= 0) & (self.keys[got] != keys[todo])
             todo, at = todo[on], at[on]
         return out
+
+
+class Memo:
+    """Grows by batches of new keys, each with a run of int32 values; a find looks through a few tables."""
+
+    def __init__(self, most: int):
+        self.most, self.tables, self.size = most, [], 0
+        self.first, self.pool = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 where it is new."""
+        out = np.full(len(keys), -1, np.int64)
+        for table, base in self.tables:
+            todo = np.flatnonzero(out < 0)
+            got = table.find(keys[todo])
+            out[todo] = np.where(got < 0, -1, got.astype(np.int64) + base)
+        return out
+
+    def add(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
+        self.tables.append((Lookup(keys), self.size))
+        self.size += len(keys)
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(v) for v in values])))
+        self.pool = np.concatenate((self.pool, *values))
+        if len(self.tables) > 4:
+            self.tables = [(Lookup(np.concatenate([t.keys for t, _ in self.tables])), 0)]

@@ -85,19 +85,24 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        i = 0
-        while i < len(out):
-            low = self.start[i]
-            j = max(int(np.searchsorted(self.stop, low + PIECE, "right")), i + 1)
-            high = self.stop[j - 1]
-            up, down = _tables(max(PIECE, int(high - low)) + 1)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-            a, b = self.start[i:j] - low, self.stop[i:j] - low
-            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            i = j
-        return out
+        return range_hashes(self.data, self.start, self.stop)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range [start, stop); ranges are in order and don't overlap."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(out):
+        low = start[i]
+        j = max(int(np.searchsorted(stop, low + PIECE, "right")), i + 1)
+        high = stop[j - 1]
+        up, down = _tables(max(PIECE, int(high - low)) + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+        a, b = start[i:j] - low, stop[i:j] - low
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
