@@ -1,6 +1,20 @@
 """All queries of this folder and their SQL twins."""
 
-from paceline.llm import decontaminate, neardup, pseudonyms, secrets, sharding  # noqa: F401  (register queries)
+import corpus_pipeline
+from paceline.llm import (  # noqa: F401  (register queries)
+    ctw,
+    decontaminate,
+    neardup,
+    pieces,
+    pseudonyms,
+    quality,
+    secrets,
+    sharding,
+    toolcalls,
+    topk,
+)
 from paceline.llm.common import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paceline.llm.common import Staged, keeping, query, table
 from paceline.llm.components import connected
@@ -18,12 +21,13 @@ from paceline.llm.words import Words, batches, mix, shingles, texts_of
 SKETCH = 64
 #: Chance, at most, that a pair at the very threshold shares fewer sketch values than asked for.
 MISS = 1e-9
-STAR_ROUNDS = 3
+#: Leaders that each node of an inverted list is held against.
+LEADERS = 3
 #: Members of one block when what is left of a list is compared block by block.
 BLOCK = 128
 
 SIGNS = "id long, n long, k1 long, k2 long, sketch array<long>"
-SETS = "id long, k1 long, k2 long, shingles array<long>"
+SETS = "node long, shingles array<long>"
 
 
 def sets_of(frame: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -55,13 +59,30 @@ def _sign(width: int, k: int):
 
 
 def _whole(width: int):
+    """The set of each text that has the wanted keys, once a task for each node."""
+
+    def run(frames):
+        seen = set()
+        for frame in batches(frames):
+            nodes, sets = [], []
+            for node, a, b, s in zip(*(frame.column(c).to_pylist() for c in ("node", "k1", "k2")), sets_of(frame, width), strict=True):
+                if node not in seen and (a, b) == _keys(s):
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], names=["node", "shingles"])
+
+    return run
+
+
+def _keyed(width: int):
     def run(frames):
         for frame in batches(frames):
             sets = list(sets_of(frame, width))
             keys = [_keys(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                frame.column("id"), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()),
-                _lists(sets)], names=["id", "k1", "k2", "shingles"])
+                pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), _lists(sets)],
+                names=["k1", "k2", "shingles"])
 
     return run
 
@@ -105,6 +126,11 @@ def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
     return both >= need
 
 
+def _node(key: str) -> Column:
+    """The id, or, for a NULL one, a number behind all usual ids that stands for the text's set."""
+    return F.coalesce(key, F.lit(1 << 62) + F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 61)))
+
+
 class NearDuplicates:
     """One run of the operator; see ``near_duplicates``."""
 
@@ -112,7 +138,7 @@ class NearDuplicates:
         self.docs, self.width, self.percent, self.k = docs, width, percent, k
         self.staged = Staged(docs.sparkSession, "neardup")
         self.signs = self.staged.put("signs", docs.mapInArrow(_sign(width, k), SIGNS).withColumn(
-            "node", F.coalesce("id", F.xxhash64("k1", "k2"))))
+            "node", _node("id")))
 
     def sketches(self) -> DataFrame:
         """One sketch for each distinct set; equal sets are one node, the smallest id among them."""
@@ -134,18 +160,23 @@ class NearDuplicates:
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """The full shingle sets of some nodes."""
-        texts = self.docs.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").unionByName(
-            self.docs.filter("id IS NULL"))
-        sets = texts.mapInArrow(_whole(self.width), SETS).withColumn("node", F.coalesce("id", F.xxhash64("k1", "k2")))
-        return sets.join(nodes, ["node", "k1", "k2"], "left_semi").select("node", "shingles").dropDuplicates(["node"])
+        texts = self.docs.join(nodes.withColumn("id", F.col("node")), "id").select("node", "k1", "k2", "text")
+        named = texts.mapInArrow(_whole(self.width), SETS)
+        unnamed = self.docs.filter("id IS NULL").mapInArrow(_keyed(self.width), f"k1 long, k2 long, {SETS.split(', ')[1]}").join(
+            nodes, ["k1", "k2"]).select("node", "shingles").dropDuplicates(["node"])
+        return named.unionByName(unnamed)
 
-    def confirm(self, pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    def confirm(self, pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that are linked: the union sketch allows for it and the full sets say so."""
         side = lambda df, key, col: df.select(F.col("node").alias(key), F.col(col).alias(f"s{key}"))
         near = pairs.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a").filter(
             _likely(F.col("sa"), F.col("sb"), self.k, self.percent)).select("a", "b")
-        return near.join(side(sets, "b", "shingles"), "b").join(side(sets, "a", "shingles"), "a").filter(
+        near = self.staged.put(f"{name}-near", near)
+        links = near.join(side(sets, "b", "shingles"), "b").join(side(sets, "a", "shingles"), "a").filter(
             _similar(F.col("sa"), F.col("sb"), self.percent)).select("a", "b")
+        links = self.staged.put(name, links)
+        self.staged.tidy()
+        return links
 
     def labels_after(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Labels (node, comp) after merging the components that links (a, b) of nodes join."""
@@ -155,20 +186,21 @@ class NearDuplicates:
         return self.staged.put(name, labels.join(roots, "comp", "left").select(
             "node", F.coalesce("root", "comp").alias("comp")))
 
-    def star_pairs(self, lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-        """One pair for each node that shares a list with a leader of another component.
+    def star_pairs(self, lists: DataFrame) -> DataFrame:
+        """A few pairs for each node: with leaders of the lists it is in.
 
-        Leaders are drawn anew each turn.  A large group of copies needs one
-        pair a member this way, not one for each two members.
+        Leaders are those first in a drawn order of all nodes, so that the
+        lists of one group mostly agree on them.  A large group of copies needs
+        a few pairs a member this way, not one for each two members.
         """
-        tagged = lists.select("value", "node").join(labels, "node")
-        draw = F.xxhash64("node", F.lit(turn))
-        leads = tagged.groupBy("value").agg(
-            F.min(F.struct(draw.alias("draw"), F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))).alias("l"),
-            F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("value", "l.*")
-        met = tagged.join(leads, "value").filter("comp <> lead_comp")
-        best = met.groupBy("node").agg(F.min(F.struct("draw", "lead")).alias("l"))
-        return best.select(F.col("node").alias("a"), F.col("l.lead").alias("b"))
+        pairs = []
+        for turn in range(LEADERS):
+            draw = F.xxhash64("node", F.lit(turn))
+            leads = lists.groupBy("value").agg(F.min(F.struct(draw.alias("draw"), F.col("node").alias("lead"))).alias("l"))
+            met = lists.join(leads, "value").filter("node <> l.lead")
+            best = met.groupBy("node").agg(F.min("l").alias("l"))
+            pairs.append(best.select(F.greatest("node", "l.lead").alias("a"), F.least("node", "l.lead").alias("b")))
+        return reduce(DataFrame.unionByName, pairs).distinct()
 
     def rest_pairs(self, lists: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs across components that lists still hold and whose sketches overlap enough.
@@ -191,20 +223,19 @@ class NearDuplicates:
 
     def run(self) -> DataFrame:
         sketches = self.staged.put("sketches", self.sketches())
-        lists = self.staged.put("lists", self.lists(sketches))
+        lists = self.staged.put("lists", self.lists(sketches).select("value", "node"))
         self.staged.drop("published")
+        self.staged.tidy()
         nodes = lists.select("node").distinct()
         sets = self.staged.put("sets", self.whole_sets(
             sketches.join(nodes, "node", "left_semi").select("node", "k1", "k2")))
-        labels = self.staged.put("labels0", nodes.select("node", F.col("node").alias("comp")))
-        for turn in range(STAR_ROUNDS):
-            links = self.staged.put(f"links{turn}", self.confirm(self.star_pairs(lists, labels, turn), sketches, sets))
-            if links.isEmpty():
-                continue
-            labels = self.labels_after(labels, links, f"labels{turn + 1}")
-        links = self.staged.put("links", self.confirm(self.rest_pairs(lists, labels, sketches), sketches, sets))
+        self.staged.tidy()
+        labels = self.staged.put("single", nodes.select("node", F.col("node").alias("comp")))
+        links = self.confirm(self.star_pairs(lists), sketches, sets, "star")
+        labels = self.labels_after(labels, links, "starred")
+        links = self.confirm(self.rest_pairs(lists, labels, sketches), sketches, sets, "rest")
         labels = self.labels_after(labels, links, "labels")
-        self.staged.drop("lists", "sets", "links")
+        self.staged.drop("lists", "sets", "single", "starred", "star", "star-near", "rest", "rest-near")
         return self.members(sketches, labels)
 
     def members(self, sketches: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,7 +244,7 @@ class NearDuplicates:
             "k1", "k2", "n", F.coalesce("comp", "node").alias("component"))
         return self.signs.select("id", "n", "k1", "k2", "node").join(classes, ["k1", "k2", "n"], "left").select(
             F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"),
-            "k1", "k2")
+            "node")
 
 
 def _block_pairs(k: int, percent: int):
@@ -271,7 +302,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     set holds its distinct ``words``-word shingles, or the whole sequence if it
     is shorter.  Documents are linked if 100 * intersection >= ``percent`` *
     union, on full sets.  Returns one row per input row: doc_id, n_shingles,
-    component_id (smallest id reachable), k1 and k2 (digest of the set).
+    component_id (smallest id reachable), node (the row's id, or what stands for
+    it).
 
     Equal sets collapse first.  Each remaining set keeps the ``sketch`` least
     hashes of its shingles; inverted lists of these values, rarest first, bring
@@ -289,6 +321,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return NearDuplicates(rows, words, percent, sketch).run()
 
 
+def _marked(width: int, arrow: pa.Schema):
+    def run(frames):
+        for f in batches(frames):
+            keys = [_keys(s) for s in sets_of(f, width)]
+            yield pa.RecordBatch.from_arrays([*f.columns, pa.array([a for a, _ in keys], pa.int64()),
+                                              pa.array([b for _, b in keys], pa.int64())], schema=arrow)
+
+    return run
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id, one row of it.
+
+    Documents without words are linked with nothing and all stay, one row an
+    id.  Documents with a NULL id stay if their component has no id.
+    """
+    found = near_duplicates(docs, doc_id, text, words, percent).filter("node = component_id").select(F.col("node").alias("_node")).distinct()
+    rest = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), F.col(text).alias("text"))
+    names = StructType([*packed.schema.fields, StructField("k1", LongType()), StructField("k2", LongType())])
+    unnamed = packed.filter(F.col("_rest").getField(doc_id).isNull()).mapInArrow(_marked(words, to_arrow_schema(names)), names)
+    named = packed.filter(F.col("_rest").getField(doc_id).isNotNull()).withColumn("_node", F.col("_rest").getField(doc_id).cast("long"))
+    both = named.unionByName(unnamed.withColumn("_node", _node("_rest." + doc_id).cast("long")).drop("k1", "k2"))
+    first = F.row_number().over(Window.partitionBy("_node").orderBy(F.xxhash64("text"), "text"))
+    kept = both.join(found, "_node").withColumn("_first", first).filter("_first = 1")
+    return kept.select(*[F.col("text").alias(text) if c == text else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 NEARDUP_WORDS, NEARDUP_PERCENT = 2, 80
 
 

@@ -145,14 +145,21 @@ def mask_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, rest))
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", **columns) -> DataFrame:
-    """``docs`` with base secrets masked in ``text``; rows and other columns stay as they are.
+def redact_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **scan) -> DataFrame:
+    """``docs`` with all base secrets and the added live tokens masked in ``text``; rows and other columns stay.
 
-    Whether a value looks live or copied doesn't matter here: an example that
-    everybody copies is masked too.  NULL texts stay NULL.
+    Base secrets are masked whether live or copied.  Added tokens are masked by
+    value where the corpus-wide count says live.  NULL texts stay NULL.
     """
+    live = scan_secrets(docs, doc_id, text, **scan).select(
+        F.col("doc_id").alias("_id"), F.explode(F.filter("spans", lambda s: s["kind"] == "token")).alias("s"))
+    live = live.groupBy("_id").agg(F.collect_set("s.hash").alias("_live"))
     t = F.col(text)
-    return docs.withColumn(text, F.when(t.isNull(), t).otherwise(mask_spans(t, base_spans(t))))
+    joined = docs.join(live, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn("_base", base_spans(no_nul(t)))
+    bare = F.filter(bare_tokens(no_nul(t), F.col("_base")), lambda s: F.array_contains("_live", F.sha2(s["value"], 256)))
+    spans = F.when(F.col("_live").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", bare)))
+    return joined.withColumn("_spans", spans).withColumn(
+        text, F.when(t.isNull(), t).otherwise(mask_spans(t, F.col("_spans")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql_kind(pattern: str, rank: int, group: int = 0) -> str:
