@@ -180,9 +180,10 @@ class Codec:
             tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
         decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
         want = self.own.encode(texts if given is None else given, num_threads=self.threads)
-        return ([np.array(i, np.int32) for i in ids],
-                np.array([a == b.replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)], bool),
-                np.array([i == w[head : len(w) - tail] for i, w in zip(ids, want, strict=True)], bool))
+        want = [w[head : len(w) - tail] for w in want]
+        same = np.array([i == w for i, w in zip(ids, want, strict=True)], bool)
+        return ([np.array(w, np.int32) for w in want],
+                np.array([a == b.replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)], bool), same)
 
     def _stretches(self, texts: list[str]):
         lead = b" " if self.model.dummy_prefix else b""
@@ -231,7 +232,7 @@ class Codec:
             else:
                 got = self._run(self.bare, parts, ["\n" + p for p in parts], self.line)
             for n, ids, back, same in zip(some, *got, strict=True):
-                values[n] = np.concatenate(([back, same], ids)).astype(np.int32)
+                values[n] = np.array([back, same, *ids], np.int32)
         self.memo.add(kinds, values)
         return self.memo.find(hashes)
 
@@ -249,7 +250,8 @@ def load_model(path: str) -> bytes:
 
 def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", threads: int = 1) -> DataFrame:
     """``docs`` with three columns more: ids, round_trip (they decode to the text, its marks read as spaces) and
-    parity (the model's own library gives the same ids).
+    parity (the rebuilt tokenizer and the model's own library give the same ids; where they differ, as for the
+    names of control or byte pieces typed into a text under a unigram model, ids are the own library's).
 
     The model file's pieces, scores, normaliser, space mark and byte fallback
     are rebuilt in the tokenizers library, whose batches run on ``threads``
