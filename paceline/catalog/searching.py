@@ -279,14 +279,22 @@ _part("parse_proximity", "proximity")
 _part("parse_km", "km")
 _part("leftover_text", "search_text")
 
-# A model's answer per query text, as JSON; every third query has none.
-_ANSWER = ("CASE WHEN query_id % 3 > 0 THEN '{\"terrain\": \"' || CASE query_id % 5 WHEN 0 THEN 'road' WHEN 1 THEN 'ultra' ELSE 'mixed' END || "
+# A model's answer per query text, as JSON; every third query has none, some are broken, not an object or of wrong kinds.
+_ANSWER = ("CASE WHEN query_id % 3 > 0 THEN CASE query_id % 11 WHEN 3 THEN 'not json' WHEN 4 THEN '[]' WHEN 5 THEN 'null' WHEN 6 THEN '' "
+           "WHEN 7 THEN '{\"terrain\": 1, \"city\": 55, \"month\": \"5\", \"km\": \"21\", \"proximity\": 1, \"searchText\": [1]}' "
+           "WHEN 8 THEN '{\"month\": 5.5, \"km\": 0, \"city\": null}' ELSE "
+           "'{\"terrain\": \"' || CASE query_id % 5 WHEN 0 THEN 'road' WHEN 1 THEN 'ultra' ELSE 'mixed' END || "
            "'\", \"city\": \"' || CASE WHEN query_id % 4 = 0 THEN 'B' ELSE 'Brno' END || '\", \"month\": ' || CAST(query_id % 14 AS STRING) || "
            "', \"km\": ' || CAST(query_id % 30 AS STRING) || '.5, \"proximity\": ' || CASE WHEN query_id % 2 = 0 THEN 'true' ELSE 'false' END || "
-           "', \"searchText\": \" text ' || CAST(query_id % 7 AS STRING) || ' \"}' END")
-_CHECKED = ("CASE WHEN query_id % 5 <> 1 THEN CASE query_id % 5 WHEN 0 THEN 'road' ELSE 'mixed' END END AS terrain, CASE WHEN query_id % 4 > 0 THEN 'Brno' END AS city, "
-            "CASE WHEN query_id % 14 BETWEEN 1 AND 12 THEN CAST(query_id % 14 AS INTEGER) END AS month, CAST(query_id % 30 AS DOUBLE) + 0.5 AS km, "
-            "CASE WHEN query_id % 2 = 0 THEN 1 END AS proximity, 'text ' || CAST(query_id % 7 AS STRING) AS search_text")
+           "', \"searchText\": \" text ' || CAST(query_id % 7 AS STRING) || ' \"}' END END")
+_ANSWERED = "(query_id % 3 > 0 AND query_id % 11 NOT IN (3, 4, 5, 6))"
+_FULL = "query_id % 11 NOT IN (7, 8)"
+_CHECKED = (f"CASE WHEN {_FULL} AND query_id % 5 <> 1 THEN CASE query_id % 5 WHEN 0 THEN 'road' ELSE 'mixed' END END AS terrain, "
+            f"CASE WHEN {_FULL} AND query_id % 4 > 0 THEN 'Brno' END AS city, "
+            f"CASE WHEN {_FULL} AND query_id % 14 BETWEEN 1 AND 12 THEN CAST(query_id % 14 AS INTEGER) END AS month, "
+            f"CASE WHEN {_FULL} THEN CAST(query_id % 30 AS DOUBLE) + 0.5 END AS km, "
+            f"CASE WHEN {_FULL} AND query_id % 2 = 0 THEN 1 END AS proximity, "
+            f"CASE WHEN {_FULL} THEN 'text ' || CAST(query_id % 7 AS STRING) ELSE '' END AS search_text")
 
 
 def _answers(spark, sf):
@@ -294,7 +302,7 @@ def _answers(spark, sf):
 
 
 @query("validate_filters", f"WITH q AS ({T.text(T.SEARCHES)}), m AS (SELECT query_id, {_CHECKED} FROM q) SELECT query_id, "
-       + ", ".join(f"CASE WHEN query_id % 3 > 0 THEN {c} END AS {c}" for c in ("terrain", "city", "month", "km", "proximity", "search_text")) + " FROM m")
+       + ", ".join(f"CASE WHEN {_ANSWERED} THEN {c} END AS {c}" for c in ("terrain", "city", "month", "km", "proximity", "search_text")) + " FROM m")
 def validate_filters(spark, sf):
     rows = T.searches(spark, sf).select("query_id", S.validate_filters(F.expr(_ANSWER)).alias("m"))
     return rows.select("query_id", "m.terrain", "m.city", "m.month", "m.km", F.col("m.proximity").cast("int").alias("proximity"), "m.search_text")
@@ -302,10 +310,10 @@ def validate_filters(spark, sf):
 
 @query("choose_parse", PARSED + f""", model AS (SELECT query_id, {_CHECKED} FROM q0)
 SELECT p.query_id, p.display_query, CASE WHEN a THEN m.terrain ELSE p.terrain END AS terrain, CASE WHEN a THEN m.city ELSE p.city END AS city,
-  CASE WHEN a THEN m.month ELSE p.month END AS month, CASE WHEN a THEN m.km ELSE CAST(p.km AS DOUBLE) END AS km,
+  CASE WHEN a THEN m.month ELSE p.month END AS month, CASE WHEN a THEN m.km ELSE CAST(NULLIF(p.km, 0) AS DOUBLE) END AS km,
   CASE WHEN a THEN m.proximity ELSE p.proximity END AS proximity,
-  CASE WHEN a THEN m.search_text WHEN p.terrain IS NOT NULL OR p.month IS NOT NULL OR p.km IS NOT NULL OR p.city IS NOT NULL THEN coalesce(p.search_text, '') ELSE p.display_query END AS search_text
-FROM (SELECT *, query_id % 3 > 0 AS a FROM parsed) p JOIN model m USING (query_id)""")
+  CASE WHEN a THEN m.search_text WHEN p.terrain IS NOT NULL OR p.month IS NOT NULL OR NULLIF(p.km, 0) IS NOT NULL OR p.city IS NOT NULL THEN coalesce(p.search_text, '') ELSE p.display_query END AS search_text
+FROM (SELECT *, {_ANSWERED} AS a FROM parsed) p JOIN model m USING (query_id)""")
 def choose_parse(spark, sf):
     return S.choose_parse(_answers(spark, sf).drop("q"), "model").withColumn("proximity", F.col("proximity").cast("int"))
 

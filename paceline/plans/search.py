@@ -12,8 +12,6 @@ from paceline.functions import geo
 from paceline.functions import text as T
 from paceline.operators import filters as X
 
-LLM_SCHEMA = "terrain string, city string, month double, km double, proximity boolean, searchText string"
-
 
 # --- Query parsing -----------------------------------------------------------
 
@@ -90,28 +88,40 @@ def parse_queries(queries: DataFrame, column: str = "q", fold_accents: bool = Fa
 
 
 def validate_filters(model_json: Column) -> Column:
-    """A model's JSON answer as a struct; values out of range become NULL."""
-    def check(raw):
+    """A model's JSON answer as a struct; NULL unless it is a JSON object.
+
+    A field of another JSON kind, or out of range, is absent (NULL): nothing is
+    turned into the wanted kind, so ``"5"`` is no month and 55 no city.  A month
+    that isn't whole is absent too.
+    """
+    def check(answer):
+        def field(name, kinds, kind):
+            part = F.try_variant_get(answer, f"$.{name}", "variant")
+            return F.when(F.schema_of_variant(part).rlike(f"^({kinds})"), F.try_variant_get(answer, f"$.{name}", kind))
+
+        number = "BIGINT|DECIMAL|DOUBLE|FLOAT"
+        terrain, city = field("terrain", "STRING", "string"), field("city", "STRING", "string")
+        month, km = field("month", number, "double"), field("km", number, "double")
         return F.struct(
-            F.when(raw["terrain"].isin(*V.TERRAIN_LABELS), raw["terrain"]).alias("terrain"),
-            F.when(F.length(raw["city"]) >= 2, raw["city"]).alias("city"),
-            F.when(raw["month"].between(1, 12), raw["month"]).cast("int").alias("month"),
-            F.when(raw["km"] > 0, raw["km"]).alias("km"),
-            F.when(raw["proximity"], True).alias("proximity"),
-            F.coalesce(T.trim_blanks(raw["searchText"]), F.lit("")).alias("search_text"),
+            F.when(terrain.isin(*V.TERRAIN_LABELS), terrain).alias("terrain"),
+            F.when(F.length(city) >= 2, city).alias("city"),
+            F.when(month.between(1, 12) & (month == F.floor(month)), month).cast("int").alias("month"),
+            F.when(km > 0, km).alias("km"),
+            F.when(field("proximity", "BOOLEAN", "boolean"), True).alias("proximity"),
+            F.coalesce(T.trim_blanks(field("searchText", "STRING", "string")), F.lit("")).alias("search_text"),
         )
 
-    raw = F.from_json(model_json, LLM_SCHEMA)
-    return T.let(raw, lambda r: F.when(model_json.isNotNull(), check(r)))
+    return T.let(F.try_parse_json(model_json), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), check(v)))
 
 
 def choose_parse(parsed: DataFrame, model: str) -> DataFrame:
     """Filters to run: the model's when it answered, else the pattern parser's.
 
     The text filter is the model's text as is; the parser's text only if it
-    recognised something, otherwise the whole query.
+    recognised something, otherwise the whole query.  Zero kilometres are none.
     """
     answered = F.col(model).isNotNull()
+    parsed = parsed.withColumn("km", F.nullif("km", F.lit(0)))
     structural = F.coalesce("terrain", F.col("month").cast("string"), F.col("km").cast("string"), "city").isNotNull()
 
     def pick(name, kind=None):
