@@ -188,10 +188,17 @@ def referred_retention(spark, sf):
 OLD = """SELECT 'stary-' || CAST(o_orderkey AS STRING) AS slug, 'stary' AS name, 'ponechat' AS cover_url, o_orderkey AS race_no, CAST(NULL AS STRING) AS city,
   CASE WHEN o_orderkey % 3 = 0 THEN 'https://zavod' || CAST(o_orderkey AS STRING) || '.cz' END AS official_url,
   TIMESTAMP '1998-01-01 00:00:00' AS created_at, TIMESTAMP '1998-01-01 00:00:00' AS updated_at FROM {orders}"""
-NEW = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'stary-' ELSE 'novy-' END || CAST(o_orderkey AS STRING) AS slug, 'novy' AS name,
+# The batch brings new races, known ones, addresses that move to another slug, slugs that another stored row holds, and repeats.
+_ROW = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'stary-' ELSE 'novy-' END || CAST(o_orderkey AS STRING) AS slug, 'novy' AS name,
   CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS city,
-  CASE WHEN o_orderkey % 6 < 2 THEN 'https://zavod' || CAST(o_orderkey AS STRING) || '.cz' END AS official_url FROM {orders}"""
-_UPSERT = f"""WITH old AS ({T.text(OLD)}), new AS ({T.text(NEW)}),
+  CASE WHEN o_orderkey % 6 < 2 OR o_orderkey % 30 = 3 THEN 'https://zavod' || CAST(o_orderkey AS STRING) || '.cz'
+    WHEN o_orderkey % 30 = 2 THEN 'https://jiny' || CAST(o_orderkey AS STRING) || '.cz' END AS official_url FROM {orders}"""
+NEW = f"{_ROW} UNION ALL {_ROW} WHERE o_orderkey % 70 = 4"
+_JUDGED = f"""old AS ({T.text(OLD)}), judged AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN 'slug repeated'
+  WHEN official_url IS NOT NULL AND count(*) OVER (PARTITION BY official_url) > 1 THEN 'address repeated'
+  WHEN official_url IS NOT NULL AND EXISTS (SELECT 1 FROM old o WHERE o.slug = n.slug AND o.official_url IS DISTINCT FROM n.official_url)
+  THEN 'slug taken' END AS reason FROM ({T.text(NEW)}) n)"""
+_UPSERT = f"""WITH {_JUDGED}, new AS (SELECT * FROM judged WHERE reason IS NULL),
 step1 AS (SELECT coalesce(n.slug, o.slug) AS slug, coalesce(n.name, o.name) AS name, o.cover_url, o.race_no, CASE WHEN n.slug IS NOT NULL THEN n.city ELSE o.city END AS city,
     coalesce(o.official_url, n.official_url) AS official_url, o.created_at, n.slug IS NOT NULL AS fresh FROM old o FULL OUTER JOIN (SELECT * FROM new WHERE official_url IS NOT NULL) n ON n.official_url = o.official_url),
 step2 AS (SELECT coalesce(n.slug, o.slug) AS slug, coalesce(n.name, o.name) AS name, o.cover_url, o.race_no, CASE WHEN n.slug IS NOT NULL THEN n.city ELSE o.city END AS city,
@@ -201,7 +208,7 @@ TIMES = "WHEN created_at IS NOT NULL THEN '1998-01-01 00:00:00' ELSE '1998-06-15
 
 
 def upserted(spark, sf):
-    return U.upsert_races(T.view(spark, sf, OLD), T.view(spark, sf, NEW), T.AS_OF)
+    return U.upsert_races(T.view(spark, sf, OLD), T.view(spark, sf, NEW), T.AS_OF)[0]
 
 
 @query("upsert_by_key", _UPSERT + " SELECT slug, name, cover_url, race_no, city, official_url FROM step2")
@@ -214,11 +221,14 @@ def upsert_audit(spark, sf):
     return upserted(spark, sf).select("slug", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"))
 
 
-@query("upsert_clashes", f"""WITH {RACES}, c AS (SELECT race_id, count(*) OVER (PARTITION BY official_url) AS u, official_url FROM races)
-SELECT race_id, CASE WHEN official_url IS NOT NULL AND u > 1 THEN 'rejected' ELSE 'written' END AS outcome FROM c""")
+@query("upsert_clashes", f"""WITH {_JUDGED}, {RACES}, c AS (SELECT race_id, official_url, slug, count(*) OVER (PARTITION BY official_url) AS u FROM races)
+SELECT 'batch' AS part, slug AS row_name, reason FROM judged UNION ALL
+SELECT 'races', CAST(race_id AS VARCHAR), CASE WHEN official_url IS NOT NULL AND u > 1 THEN 'address repeated' END FROM c""")
 def upsert_clashes(spark, sf):
-    good, bad = U.split_clashes(T.races(spark, sf))
-    return good.select("race_id", F.lit("written").alias("outcome")).unionByName(bad.select("race_id", F.lit("rejected").alias("outcome")))
+    batch = U.judge_batch(T.view(spark, sf, OLD), T.view(spark, sf, NEW)).select(F.lit("batch").alias("part"), F.col("slug").alias("row_name"), "reason")
+    races = T.races(spark, sf)
+    alone = U.judge_batch(races.limit(0), races).select(F.lit("races"), F.col("race_id").cast("string"), "reason")
+    return batch.union(alone)
 
 
 # --- Pages -------------------------------------------------------------------

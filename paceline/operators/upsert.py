@@ -14,26 +14,25 @@ def derive_location(races: DataFrame) -> DataFrame:
     return races.withColumn("location", F.when(both, F.struct("lat", "lng")))
 
 
-def race_id(slug: Column) -> Column:
-    """Repeatable row id."""
-    return F.sha2(slug, 256)
+def judge_batch(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """``batch`` with ``reason``: why a row can't be written, NULL if it can.
 
-
-def _clashes(batch: DataFrame, key: str, other: DataFrame | None = None) -> DataFrame:
-    return batch.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
-
-
-def split_clashes(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be written, and rows that repeat a unique key inside the batch."""
-    bad_slug = _clashes(batch, "slug").withColumn("_s", F.lit(True))
-    bad_url = _clashes(batch, "official_url").select(F.col("official_url").alias("_key"), F.lit(True).alias("_u"))
+    Slug and address are each unique in the table.  Rows that repeat one inside
+    the batch all fail; so does a row with an address whose slug another stored
+    row holds.
+    """
+    repeats = lambda key: batch.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
+    bad_slug = repeats("slug").select("slug", F.lit(True).alias("_s"))
+    bad_url = repeats("official_url").select(F.col("official_url").alias("_key"), F.lit(True).alias("_u"))
+    held = table.groupBy("slug").agg(F.max(F.struct(F.coalesce("official_url", F.lit("")).alias("by"))).alias("_held"))
     marked = (
-        batch.join(bad_slug, "slug", "left")
+        batch.join(bad_slug, "slug", "left").join(held, "slug", "left")
         .withColumn("_key", spread_null_key(F.col("official_url"), F.col("slug")))
-        .join(bad_url, "_key", "left").drop("_key")
+        .join(bad_url, "_key", "left")
     )
-    bad = F.coalesce("_s", "_u").isNotNull()
-    return marked.filter(~bad).drop("_s", "_u"), marked.filter(bad).drop("_s", "_u")
+    taken = F.col("official_url").isNotNull() & F.col("_held").isNotNull() & (F.col("_held.by") != F.col("official_url"))
+    reason = F.when(F.col("_s"), "slug repeated").when(F.col("_u"), "address repeated").when(taken, "slug taken")
+    return marked.select(*batch.columns, reason.alias("reason"))
 
 
 def _merge(table: DataFrame, batch: DataFrame, key: str, as_of: Column) -> DataFrame:
@@ -59,9 +58,14 @@ def _merge(table: DataFrame, batch: DataFrame, key: str, as_of: Column) -> DataF
     return both.select(*out)
 
 
-def upsert_races(table: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
-    """Table after the batch: matched by ``official_url`` where given, else by ``slug``."""
-    now = F.lit(as_of).cast("timestamp")
-    with_url = batch.filter(F.col("official_url").isNotNull())
-    without = batch.filter(F.col("official_url").isNull())
-    return _merge(_merge(table, with_url, "official_url", now), without, "slug", now)
+def upsert_races(table: DataFrame, batch: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Table after the batch, and the batch's rejected rows with their reason.
+
+    Rows are matched by ``official_url`` where given, else by ``slug``.
+    """
+    now, judged = F.lit(as_of).cast("timestamp"), judge_batch(table, batch)
+    good = judged.filter("reason IS NULL").drop("reason")
+    with_url = good.filter(F.col("official_url").isNotNull())
+    without = good.filter(F.col("official_url").isNull())
+    after = _merge(_merge(table, with_url, "official_url", now), without, "slug", now)
+    return after, judged.filter("reason IS NOT NULL")

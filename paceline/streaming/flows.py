@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from paceline import fixed_values as V
 from paceline.operators import normalize as N
 from paceline.operators.engage import append_interest
-from paceline.operators.upsert import split_clashes, upsert_races
+from paceline.operators.upsert import upsert_races
 from paceline.plans.integrate import integrate
 from paceline.session import scratch_path
 from paceline.sources.listings import RAW_SCHEMA, dataset_glob, require_fields, with_order, with_provenance
@@ -80,8 +80,10 @@ class RaceTable:
         return self.spark.read.schema(self.schema).parquet(self.version(number))
 
     def upsert(self, races: DataFrame, number: int, as_of: str) -> None:
-        good, _ = split_clashes(races)
-        upsert_races(self.read(number - 1), good, as_of).write.mode("overwrite").parquet(self.version(number))
+        """Write the next version; rows that can't be written go to ``rejected/batch=<number>`` with their reason."""
+        after, rejected = upsert_races(self.read(number - 1), races, as_of)
+        after.write.mode("overwrite").parquet(self.version(number))
+        rejected.write.mode("overwrite").parquet(os.path.join(self.path, "rejected", f"batch={number}"))
 
 
 def upsert_flow(table: RaceTable, as_of: str):

@@ -144,14 +144,28 @@ def test_upsert(spark):
         "slug string, name string, cover string, official_url string, created_at timestamp, updated_at timestamp")
     batch = spark.createDataFrame(
         [("a2", "new", "https://x.cz"), ("b", None, None), ("d", "new", None)], "slug string, name string, official_url string")
-    rows = {r["slug"]: r for r in U.upsert_races(table, batch, "2026-02-01").collect()}
+    after, rejected = U.upsert_races(table, batch, "2026-02-01")
+    rows = {r["slug"]: r for r in after.collect()}
+    assert rejected.count() == 0
     assert set(rows) == {"a2", "b", "c", "d"}
     assert (rows["a2"]["name"], rows["a2"]["cover"], rows["a2"]["created_at"]) == ("new", "keep", T0)
     assert rows["b"]["name"] is None and rows["b"]["updated_at"] > T0
     assert rows["c"]["updated_at"] == T0 and rows["d"]["cover"] is None
     twice = batch.unionByName(spark.createDataFrame([("d", "x", "https://y.cz")], batch.schema))
-    good, bad = U.split_clashes(twice)
-    assert {r["slug"] for r in good.collect()} == {"a2", "b"} and bad.count() == 2
+    assert sorted((r["slug"], r["reason"] or "") for r in U.judge_batch(table, twice).collect()) == [
+        ("a2", ""), ("b", ""), ("d", "slug repeated"), ("d", "slug repeated")]
+
+
+def test_upsert_never_doubles_a_slug(spark):
+    """A stored race without address gains one: its slug is taken, so the row fails as a unique key would make it."""
+    table = spark.createDataFrame([("s", "old", None, T0, T0), ("t", "old", "https://t.cz", T0, T0)],
+                                  "slug string, name string, official_url string, created_at timestamp, updated_at timestamp")
+    batch = spark.createDataFrame([("s", "new", "https://s.cz"), ("t", "new", "https://u.cz"), ("u", "x", "https://v.cz"), ("w", "x", "https://v.cz")],
+                                  "slug string, name string, official_url string")
+    after, rejected = U.upsert_races(table, batch, "2026-02-01")
+    assert sorted((r["slug"], r["name"]) for r in after.collect()) == [("s", "old"), ("t", "old")]
+    assert {(r["slug"], r["reason"]) for r in rejected.collect()} == {
+        ("s", "slug taken"), ("t", "slug taken"), ("u", "address repeated"), ("w", "address repeated")}
 
 
 def test_small_predicates(spark, evaluate):
