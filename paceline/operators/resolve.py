@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from paceline import fixed_values as V
 from paceline.functions import text as T
 from paceline.functions.parse import url_dedup_key
-from paceline.session import cut
+from paceline.session import stage
 
 PAIR_BUDGET = 50_000_000
 LOCAL_EDGES = 200_000
@@ -127,33 +127,23 @@ def matching_pairs(left: DataFrame, right: DataFrame, threshold: float = V.NAME_
     )
 
 
-def _pair_costs(nodes: DataFrame, limits: list[int | None]) -> list[float]:
-    """Candidate comparisons among nodes up to each order limit."""
-    def upto(limit):
-        return F.lit(True) if limit is None else F.col("ord") <= limit
+def _dense_dates(nodes: DataFrame, budget: float) -> DataFrame:
+    """Dates whose nodes have more than ``budget`` candidate comparisons, and the order value that ends their head.
 
+    A head of sqrt(2 * budget) nodes has at most ``budget`` pairs.
+    """
     blocks = _blocks(nodes.select("date", "ord", "prefix", "cities"))
-    inside = [F.count_if(upto(x)).cast("double").alias(f"n{i}") for i, x in enumerate(limits)]
-    unset = [F.count_if(upto(x) & (F.size("cities") == 0)).cast("double").alias(f"e{i}") for i, x in enumerate(limits)]
-    closed = _with_city(blocks).groupBy("date", "tok", "ctok").agg(*inside)
-    loose = blocks.groupBy("date", "tok").agg(*inside, *unset)
-    idx = range(len(limits))
-    one = closed.agg(*[F.sum(F.col(f"n{i}") * F.col(f"n{i}") / 2).alias(f"c{i}") for i in idx])
-    two = loose.agg(*[F.sum(F.col(f"n{i}") * F.col(f"e{i}")).alias(f"c{i}") for i in idx])
-    rows = one.unionAll(two).collect()  # two rows of sums
-    return [sum((r[f"c{i}"] or 0.0) for r in rows) for i in idx]
-
-
-def _head_limit(nodes: DataFrame, budget: float) -> int | None:
-    """Order value up to which all-against-all comparison fits the budget; None for no limit."""
-    if _pair_costs(nodes, [None])[0] <= budget:
-        return None
-    shares = [2.0 ** -k for k in range(1, 31)]
-    cuts = nodes.select(F.percentile_approx("ord", shares, 1_000_000)).first()[0]
-    limits = sorted(set(cuts), reverse=True)
-    costs = _pair_costs(nodes, limits)
-    fitting = [x for x, c in zip(limits, costs) if c <= budget]
-    return fitting[0] if fitting else limits[-1]
+    one, n, unset = F.count(F.lit(1)), F.col("n"), F.count_if(F.size("cities") == 0)
+    closed = _with_city(blocks).groupBy("date", "tok", "ctok").agg(one.cast("double").alias("n")).select("date", (n * (n - 1) / 2).alias("c"))
+    loose = blocks.groupBy("date", "tok").agg(one.cast("double").alias("n"), unset.cast("double").alias("e")).select(
+        "date", (F.col("e") * (n - 1)).alias("c"))
+    dense = closed.unionAll(loose).groupBy("date").agg(F.sum("c").alias("c")).filter(F.col("c") > budget).select("date")
+    head = max(1.0, math.sqrt(2 * budget))
+    shares = [2.0 ** -k for k in range(31)]
+    sizes = nodes.join(dense, "date", "left_semi").groupBy("date").agg(
+        F.min("ord").alias("first"), F.percentile_approx("ord", shares, 100_000).alias("cuts"), one.alias("n"))
+    at = F.greatest(F.lit(1), F.least(F.lit(31), F.ceil(F.log2(n / F.lit(head))) + 1)).cast("int")
+    return sizes.select("date", F.greatest("first", F.element_at("cuts", at)).alias("head_end"))
 
 
 def _greedy_by_date(edges: pd.DataFrame) -> pd.DataFrame:
@@ -174,25 +164,35 @@ def _anti(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 def solve_edges(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Absorbed nodes and their leaders ``(b, a)`` from materialised match edges.
 
-    While a date holds more than ``local_edges`` open edges, rounds run over
-    all dates at once: nodes without an open earlier neighbour lead, their
-    neighbours drop out.  What is left fits one task per date.
+    A date with at most ``local_edges`` edges is one task's work.  Only larger
+    dates go by rounds, all of them at once: nodes without an open earlier
+    neighbour lead, their neighbours drop out, until what is left is small.
     """
-    open_edges, dropped = edges, []
+    def large(df):
+        return stage(df.groupBy("date").count().filter(F.col("count") > local_edges).select("date"), "large-dates")
+
+    def alone(df):
+        return df.groupBy("date").applyInPandas(_greedy_by_date, "b long, a long")
+
+    big = large(edges)
+    small = alone(edges.join(big, "date", "left_anti"))
+    if big.isEmpty():
+        return small
+    hard = stage(edges.join(big, "date", "left_semi"), "hard-edges")
+    open_edges, solved = hard, []
     while True:
-        largest = open_edges.groupBy("date").count().agg(F.max("count")).first()[0] or 0
-        if largest <= local_edges:
+        big = large(open_edges)
+        solved.append(alone(open_edges.join(big, "date", "left_anti")).select("b"))
+        if big.isEmpty():
             break
+        open_edges = open_edges.join(big, "date", "left_semi")
         later = open_edges.select("b").distinct()
         roots = open_edges.select("a").distinct().join(later.select(F.col("b").alias("a")), "a", "left_anti")
-        hit = cut(open_edges.join(roots, "a", "left_semi").select("b").distinct())
-        dropped.append(hit)
-        open_edges = cut(_anti(_anti(open_edges, hit, "a"), hit, "b"))
-    rest = open_edges.groupBy("date").applyInPandas(_greedy_by_date, "b long, a long")
-    if not dropped:
-        return rest
-    gone = cut(reduce(DataFrame.unionAll, [*dropped, rest.select("b")]))
-    return _anti(edges.select("a", "b"), gone, "a").groupBy("b").agg(F.min("a").alias("a"))
+        hit = stage(open_edges.join(roots, "a", "left_semi").select("b").distinct(), "hit")
+        solved.append(hit)
+        open_edges = stage(_anti(_anti(open_edges, hit, "a"), hit, "b"), "open-edges")
+    gone = stage(reduce(DataFrame.unionAll, solved), "gone")
+    return small.unionByName(_anti(hard.select("a", "b"), gone, "a").groupBy("b").agg(F.min("a").alias("a")))
 
 
 def leader_links(
@@ -201,26 +201,26 @@ def leader_links(
 ) -> DataFrame:
     """``(b, a)``: order of each absorbed node and of its leader.
 
-    Nodes are taken in order, a head at a time.  The head is as long as its own
-    comparisons fit the budget, so a dense crowd of near copies is never paired
-    with itself: its leader is found in a short head and absorbs the rest in one
-    leader-against-rest join.
+    Dates are independent.  Those within ``pair_budget`` comparisons are solved
+    at once.  A denser date takes its nodes in order, a head at a time, so that
+    a crowd of near copies is never paired with itself: its leader is found in
+    the head and absorbs the rest in one leader-against-rest join.  All dense
+    dates share a round; the number of rounds is that of the densest date.
     """
     links = []
-    waiting = cut(_with_prefix(nodes, threshold))
+    waiting = stage(_with_prefix(nodes, threshold), "nodes")
     while True:
-        limit = _head_limit(waiting, pair_budget)
-        head = waiting if limit is None else waiting.filter(F.col("ord") <= limit)
-        inside = solve_edges(cut(matching_pairs(head, head, threshold)), local_edges)
-        if limit is None:
-            links.append(inside)
+        dense = stage(_dense_dates(waiting, pair_budget), "dense")
+        sparse = waiting.join(dense, "date", "left_anti")
+        links.append(solve_edges(stage(matching_pairs(sparse, sparse, threshold), "edges"), local_edges))
+        if dense.isEmpty():
             break
-        inside = cut(inside)
-        leaders = _anti(head, inside, "ord")
-        rest = waiting.filter(F.col("ord") > limit)
-        taken = cut(matching_pairs(leaders, rest, threshold).groupBy("b").agg(F.min("a").alias("a")))
+        many = waiting.join(dense, "date")
+        head, rest = (many.filter(c).drop("head_end") for c in ("ord <= head_end", "ord > head_end"))
+        inside = stage(solve_edges(stage(matching_pairs(head, head, threshold), "edges"), local_edges), "inside")
+        taken = stage(matching_pairs(_anti(head, inside, "ord"), rest, threshold).groupBy("b").agg(F.min("a").alias("a")), "taken")
         links += [inside, taken]
-        waiting = cut(_anti(rest, taken, "ord"))
+        waiting = stage(_anti(rest, taken, "ord"), "nodes")
     return reduce(DataFrame.unionByName, [x.select("b", "a") for x in links])
 
 
@@ -237,13 +237,13 @@ def fuzzy_pairs(groups: DataFrame, threshold: float = V.NAME_JACCARD) -> DataFra
 
     The grouping itself does not use this list; see ``leader_links``.
     """
-    nodes = cut(_with_prefix(fuzzy_nodes(groups), threshold))
+    nodes = stage(_with_prefix(fuzzy_nodes(groups), threshold), "nodes")
     return matching_pairs(nodes, nodes, threshold)
 
 
 def group_ids(groups: DataFrame, **limits) -> DataFrame:
     """Exact groups with their final ``group_id``: the first row's order of the leading group."""
-    nodes = cut(fuzzy_nodes(groups))
+    nodes = stage(fuzzy_nodes(groups), "nodes")
     links = leader_links(nodes, **limits)
     led = nodes.join(links.select(F.col("b").alias("ord"), F.col("a").alias("leader")), "ord", "left").select(
         "date", "names", "cities", F.coalesce("leader", "ord").alias("group_id")
