@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -164,14 +163,8 @@ def _items(spark, sf):
     return N.accepted(N.normalize_items(T.raw_listings(spark, sf)))
 
 
-@lru_cache(maxsize=4)
-def _resolved(app_id, spark, sf):
-    return M.resolve_items(_items(spark, sf))
-
-
 def _groups(spark, sf):
-    """Group ids of one data folder, computed once per application."""
-    return _resolved(spark.sparkContext.applicationId, spark, sf)
+    return M.resolve_items(_items(spark, sf))
 
 
 @query("dedup_url_date", D.from_groups("SELECT date, first_ord, n_rows FROM exact WHERE phase = 1"))
@@ -327,10 +320,14 @@ def stats_coverage(spark, sf):
     return Q.stats_coverage(M.null_shared_urls(_merged(spark, sf)))
 
 
-@query("stage_counters", D.from_merged("""SELECT 'raw' AS stage, count(*) AS n FROM raw
+_COUNTERS = D.from_merged("""SELECT 'raw' AS stage, count(*) AS n FROM raw
   UNION ALL SELECT coalesce(reject_reason, 'normalized'), count(*) FROM items0 GROUP BY 1
   UNION ALL SELECT 'merged', count(*) FROM merged
-  UNION ALL SELECT 'nullified_urls', CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM merged WHERE website IS NOT NULL GROUP BY website HAVING count(*) > 1)"""))
+  UNION ALL SELECT 'nullified_urls', CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM merged WHERE website IS NOT NULL GROUP BY website HAVING count(*) > 1)""")
+
+
+@query("pipeline_counters", _COUNTERS)
+@query("stage_counters", _COUNTERS)
 def stage_counters(spark, sf):
     return I.stage_counters(T.raw_listings(spark, sf), _merged(spark, sf))
 

@@ -23,13 +23,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table.  Input split into fewer parts than there are cores (a small
-    file in a test) is spread; on real data this changes nothing."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-SPREAD = ("orders", "documents", "pages")
+    """One table."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

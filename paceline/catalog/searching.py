@@ -145,7 +145,7 @@ def city_resolve(spark, sf):
   SELECT p.city AS point_id, r.race_id, {_lambert('p.lat', 'p.lng', 'r.lat', 'r.lng')} AS dist FROM resolved p JOIN races r ON r.lat IS NOT NULL) WHERE dist <= 40000""")
 def proximity_join(spark, sf):
     races = T.races(spark, sf)
-    points = places.resolve_cities(races.select(F.col("city").alias("point_id")).distinct(), city_dim(spark).withColumnRenamed("name", "name"), races, "point_id")
+    points = places.resolve_cities(races.select(F.col("city").alias("point_id")).distinct(), city_dim(spark), races, "point_id")
     near = places.near_points(points.select("point_id", "lat", "lng"), races)
     return near.select("point_id", "race_id", F.round(F.col("dist_m") / 1000, 3).alias("dist_km"))
 

@@ -36,7 +36,8 @@ def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column
 
 
 def box_degrees(lat: Column, radius_m: float) -> tuple[Column, Column]:
-    """Half height and half width, in degrees, of a box that covers the circle."""
+    """Half height and half width, in degrees, of a box that covers the circle; next to a pole it goes all around."""
     d_lat = radius_m / 1000 / KM_PER_DEGREE
-    far_lat = F.least(F.abs(lat) + d_lat, F.lit(89.0))
-    return F.lit(d_lat), F.lit(d_lat * 1.01) / F.cos(F.radians(far_lat))
+    far_lat = F.abs(lat) + d_lat
+    wide = F.lit(d_lat * 1.01) / F.cos(F.radians(F.least(far_lat, F.lit(89.0))))
+    return F.lit(d_lat), F.when(far_lat >= 89, F.lit(180.0)).otherwise(wide)

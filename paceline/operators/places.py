@@ -10,6 +10,7 @@ from paceline.functions import geo
 from paceline.functions import text as T
 
 CELL = 0.5  # degrees
+COLUMNS = 720  # cells around the globe
 
 
 def _city_stats(races: DataFrame) -> DataFrame:
@@ -38,10 +39,17 @@ def resolve_cities(wanted: DataFrame, dim: DataFrame, races: DataFrame, column:
     )
 
 
-def _cells(low: Column, high: Column) -> Column:
+def _rows(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
 
 
+def _columns(low: Column, high: Column) -> Column:
+    """Cells of a stretch of longitude, each once, counted on across the date line."""
+    first = F.floor(low / CELL)
+    last = F.least(F.floor(high / CELL), first + COLUMNS - 1)
+    return F.explode(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.lit(COLUMNS))))
+
+
 def near_points(points: DataFrame, races: DataFrame, radius_m: float = V.RADIUS_M) -> DataFrame:
     """Races within the radius of each point: ``points`` columns, ``race_id``, ``dist_m``.
 
@@ -51,13 +59,14 @@ def near_points(points: DataFrame, races: DataFrame, radius_m: float = V.RADIUS_
     """
     high, wide = geo.box_degrees(F.col("lat"), radius_m)
     boxed = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("*", high.alias("d_lat"), wide.alias("d_lng"))
-    spread = boxed.select("*", _cells(F.col("lat") - F.col("d_lat"), F.col("lat") + F.col("d_lat")).alias("cy")).select(
-        "*", _cells(F.col("lng") - F.col("d_lng"), F.col("lng") + F.col("d_lng")).alias("cx"))
+    spread = boxed.select("*", _rows(F.col("lat") - F.col("d_lat"), F.col("lat") + F.col("d_lat")).alias("cy")).select(
+        "*", _columns(F.col("lng") - F.col("d_lng"), F.col("lng") + F.col("d_lng")).alias("cx"))
     placed = races.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
         "race_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"),
-        F.floor(F.col("lat") / CELL).alias("cy"), F.floor(F.col("lng") / CELL).alias("cx"),
+        F.floor(F.col("lat") / CELL).alias("cy"), F.pmod(F.floor(F.col("lng") / CELL), F.lit(COLUMNS)).alias("cx"),
     )
-    inside = (F.abs(F.col("r_lat") - F.col("lat")) <= F.col("d_lat")) & (F.abs(F.col("r_lng") - F.col("lng")) <= F.col("d_lng"))
+    around = F.pmod(F.col("r_lng") - F.col("lng") + 180, F.lit(360.0)) - 180
+    inside = (F.abs(F.col("r_lat") - F.col("lat")) <= F.col("d_lat")) & (F.abs(around) <= F.col("d_lng"))
     distance = geo.distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
     found = spread.join(placed, ["cy", "cx"]).filter(inside).select(*points.columns, "race_id", distance.alias("dist_m"))
     return found.filter(F.col("dist_m") <= radius_m)

@@ -130,3 +130,21 @@ def test_stage_counters(spark):
 
     got = {r["stage"]: r["n"] for r in stage_counters(raw, merged_races(raw)).collect()}
     assert (got["raw"], got["normalized"], got["bad_date"], got["foreign"]) == (62, 60, 1, 1)
+
+
+def test_rounds_do_not_grow_with_sparse_dates(spark, monkeypatch):
+    """2,000 nodes on 200 dates without a match take one round; a dense crowd beside them as many as alone."""
+    rounds = []
+    dense = R._dense_dates
+    monkeypatch.setattr(R, "_dense_dates", lambda *a: rounds.append(1) or dense(*a))
+    sparse = [(f"d{i % 200}", [f"n{i}", f"m{i}"], [], i) for i in range(2000)]
+    crowd = [("crowd", ["beh", f"x{i % 40}", f"y{i % 40}"], [], 5000 + i) for i in range(120)]
+    schema = "date string, names array<string>, cities array<string>, ord long"
+
+    def solved(rows):
+        rounds.clear()
+        return R.leader_links(spark.createDataFrame(rows, schema), pair_budget=60).count(), len(rounds)
+
+    assert solved(sparse) == (0, 1)
+    links, alone = solved(crowd)
+    assert alone > 1 and solved(sparse + crowd) == (links, alone)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators import filters as X
+from paceline.operators.places import near_points
 from paceline.plans import search as S
 from paceline.sources.cities import city_dim
 
@@ -164,3 +165,11 @@ def test_validate_filters(spark):
     assert tuple(got[0]) == (None, None, None, None, None, "a")
     assert tuple(got[1]) == ("road", "Brno", 5, 10.5, True, "")
     assert got[2] is None
+
+
+def test_near_points_meet_across_the_date_line(spark):
+    points = spark.createDataFrame([(1, 10.0, 179.95), (2, 10.0, -179.95), (3, 88.9, 0.0)], "point_id int, lat double, lng double")
+    races = spark.createDataFrame([(7, 10.0, -179.95), (8, 10.0, 179.95), (9, 10.0, 0.0), (6, 88.9, 179.0)], "race_id int, lat double, lng double")
+    got = {(r.point_id, r.race_id): r.dist_m for r in near_points(points, races).collect()}
+    assert set(got) == {(1, 7), (1, 8), (2, 7), (2, 8)} and 10_000 < got[1, 7] < 12_000
+    assert {(r.point_id, r.race_id) for r in near_points(points, races, 300_000).collect()} == {*got, (3, 6)}
