@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from paceline import fixed_values as V
@@ -18,6 +17,7 @@ from paceline.operators import quality as Q
 from paceline.operators import resolve as R
 from paceline.operators.ordering import numbered_within
 from paceline.plans import integrate as I
+from paceline.session import scratch_path
 from paceline.sources import listings as S
 
 
@@ -27,28 +27,36 @@ def show(distances):
 
 # --- Scans -------------------------------------------------------------------
 
-@query("scan_sources", f"WITH {D.RAW} SELECT source, count(*) AS n, CAST(sum(length(title) + length(date) + length(city)) AS BIGINT) AS chars FROM raw GROUP BY source")
+_PRINT = "concat_ws('|', " + ", ".join(f"coalesce({c}, '~')" for c in V.RAW_FIELDS) + ")"
+
+
+def _dataset(spark, sf, line=None):
+    """The listings as JSON lines in the dataset folders of their sources; as changed text, if ``line`` changes it."""
+    root, raw = scratch_path(spark, "datasets"), T.raw_listings(spark, sf)
+    for folder, source in V.SOURCE_DIRS.items():
+        rows, path = raw.filter(F.col("source") == source), f"{root}/{folder}/{V.DATASET_SUBDIR}"
+        if line is None:
+            rows.select(*V.RAW_FIELDS).write.json(path)
+        else:
+            rows.select(line(F.to_json(F.struct(*V.RAW_FIELDS)))).write.text(path)
+    return root
+
+
+@query("scan_sources", f"WITH {D.RAW} SELECT source, md5({_PRINT}) AS print, count(*) AS n FROM raw GROUP BY ALL")
 def scan_sources(spark, sf):
-    """Listings written as one JSON text per row, read back with the fixed schema."""
-    raw = T.raw_listings(spark, sf)
-    texts = raw.select("source", F.to_json(F.struct(*V.RAW_FIELDS)).alias("j"))
-    read = texts.select("source", F.from_json("j", S.RAW_SCHEMA).alias("r")).select("source", "r.*")
-    chars = sum((F.length(c) for c in ("title", "date", "city")), F.lit(0))
-    return read.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(chars).cast("bigint").alias("chars"))
+    """Listings written to the dataset folders and loaded from there; all fields of every row count."""
+    loaded = S.load_sources(spark, _dataset(spark, sf), multi_line=False)
+    return loaded.groupBy("source", F.md5(F.expr(_PRINT)).alias("print")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_corrupt_rows", f"WITH {D.RAW} SELECT CASE WHEN ord % 11 = 0 THEN 'quarantine' ELSE 'good' END AS kind, count(*) AS n FROM raw GROUP BY 1")
+@query("scan_corrupt_rows", f"WITH {D.RAW} SELECT source, CASE WHEN length(title) % 5 = 0 THEN 'quarantine' ELSE 'good' END AS kind, count(*) AS n FROM raw GROUP BY ALL")
 def scan_corrupt_rows(spark, sf):
-    """Every eleventh record is cut short; it is set aside, not fatal."""
-    raw = T.raw_listings(spark, sf)
-    text = F.to_json(F.struct(*V.RAW_FIELDS))
-    broken = raw.withColumn("t", text).select(
-        F.when(F.col("ord") % 11 == 0, F.col("t").substr(F.lit(1), F.length("t") - 5)).otherwise(F.col("t")).alias("j")
-    )
-    schema = f"{', '.join(f'{c} string' for c in V.RAW_FIELDS)}, {S.CORRUPT} string"
-    read = broken.select(F.from_json("j", schema, {"columnNameOfCorruptRecord": S.CORRUPT}).alias("r")).select("r.*")
-    kind = F.when(F.col(S.CORRUPT).isNotNull(), "quarantine").otherwise("good")
-    return read.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Some records are cut short in their file; they are set aside, not fatal."""
+    cut = lambda t: F.when(F.length("title") % 5 == 0, F.substr(t, F.lit(1), F.length(t) - 5)).otherwise(t)
+    good, bad = S.split_corrupt(S.read_listings(spark, _dataset(spark, sf, cut), multi_line=False, names="*.txt"))
+    both = good.select("source", F.lit("good").alias("kind"), "title").unionByName(bad.select("source", F.lit("quarantine").alias("kind"), "title"))
+    # The count looks at a data column, as Spark refuses a read of the corrupt text alone.
+    return both.groupBy("source", "kind").agg(F.count_if(F.coalesce(F.length("title"), F.lit(0)) >= 0).alias("n"))
 
 
 @query("scan_required_fields", f"WITH {D.RAW} SELECT ord, startPlace FROM raw WHERE NOT {D.blank('startPlace')} AND NOT {D.blank('title')}")
@@ -291,8 +299,6 @@ def integrate_listings(spark, sf):
 @query("sink_json", D.from_races("SELECT count(*) AS n, count(DISTINCT slug) AS slugs, count(official_url) AS urls, CAST(sum(len(distances)) AS BIGINT) AS distances FROM races"))
 def sink_json(spark, sf):
     """Write merged races as JSON lines and count what is read back."""
-    from paceline.session import scratch_path
-
     path = scratch_path(spark, "races-json")
     races = M.finish(_merged(spark, sf)).select(*I.RACE_COLUMNS)
     S.write_json(races, path)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from paceline import fixed_values as V
 from paceline.functions.parse import lookup
 from paceline.functions.text import is_blank
+from paceline.session import stage
 
 RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in V.RAW_FIELDS])
 CORRUPT = "_corrupt"
@@ -31,18 +32,22 @@ def with_provenance(df: DataFrame) -> DataFrame:
     )
 
 
-def read_listings(spark: SparkSession, root: str) -> DataFrame:
-    """Every JSON file under the dataset folders, unreadable ones kept in ``_corrupt``."""
+def read_listings(spark: SparkSession, root: str, multi_line: bool = True, names: str = "*.json") -> DataFrame:
+    """Every file called ``names`` under the dataset folders, unreadable rows kept in ``_corrupt``.
+
+    Files hold one object or array each, or, without ``multi_line``, an object a
+    line.  ``position`` orders the rows of a file.
+    """
     schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
     df = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", names)
         .json(dataset_glob(root))
     )
-    return with_provenance(df)
+    return with_provenance(df).withColumn("position", F.monotonically_increasing_id())
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,13 +76,14 @@ def union_sources(*batches: DataFrame) -> DataFrame:
 
 def with_order(df: DataFrame, *columns: str) -> DataFrame:
     """Number rows by a total order: a range-partitioned sort, then partition-wise ids."""
-    return df.orderBy(*(columns or ("source_rank", "file_name"))).withColumn("ord", F.monotonically_increasing_id())
+    columns = columns or tuple(c for c in ("source_rank", "file_name", "position") if c in df.columns)
+    return df.orderBy(*columns).withColumn("ord", F.monotonically_increasing_id()).drop("position")
 
 
-def load_sources(spark: SparkSession, root: str) -> DataFrame:
-    """Readable, complete listings of all sources in load order."""
-    good, _ = split_corrupt(read_listings(spark, root))
-    return with_order(require_fields(good))
+def load_sources(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+    """Readable, complete listings of all sources in load order, stored once so that every reader sees the same order."""
+    good, _ = split_corrupt(read_listings(spark, root, multi_line))
+    return stage(with_order(require_fields(good)), "listings")
 
 
 def write_json(df: DataFrame, path: str) -> None:
