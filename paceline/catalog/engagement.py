@@ -372,6 +372,22 @@ def stream_throttle(spark, sf):
     return _accepted(accepted)
 
 
+# Reports of missing races, throttled by the sender's address.
+MISSING = "SELECT event_id AS id, concat('10.0.0.', CAST(user_id % 7 AS STRING)) AS address, CAST(ts AS TIMESTAMP) AS created_at FROM {events}"
+_THROTTLED_MISSING = _THROTTLED.replace(REPORTS, f"reports AS ({T.text(MISSING)})").replace("race_id", "address")
+
+
+@query("throttle_missing_reports", _THROTTLED_MISSING)
+def throttle_missing_reports(spark, sf):
+    return _accepted(throttle(T.view(spark, sf, MISSING), "address"))
+
+
+@query("stream_throttle_missing", _THROTTLED_MISSING)
+def stream_throttle_missing(spark, sf):
+    out, checkpoint = W.stream_paths(spark, "throttle-missing")
+    return _accepted(W.drain(W.throttle_stream(_events_stream(spark, sf, MISSING), "address"), out, checkpoint))
+
+
 @query("stream_interest_counts", f"WITH {INTEREST} SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, race_id, count(*) AS n FROM interest GROUP BY 1, 2")
 def stream_interest_counts(spark, sf):
     out, checkpoint = W.stream_paths(spark, "counts")

@@ -64,11 +64,14 @@ def _pick(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def throttle(reports: DataFrame, key: str = "race_id", chunk_hours: int = 6) -> DataFrame:
-    """Accepted reports as ``key, id, created_at``; rejected ones do not extend the block."""
-    width = chunk_hours * HOUR
+    """Accepted reports as ``key, id, created_at``; rejected ones do not extend the block.
+
+    The key may be of any type, an address as well as a number.
+    """
+    width, kind = chunk_hours * HOUR, reports.schema[key].dataType.simpleString()
     at = F.unix_micros("created_at")
-    slim = reports.select(F.col(key).cast("bigint").alias("key"), "id", at.alias("at"), F.floor(at / width).cast("bigint").alias("chunk"))
-    said = slim.groupBy("key", "chunk").applyInPandas(_statements(width), "key long, chunk long, upto long, exit long")
-    entries = said.groupBy("key").applyInPandas(_entries, "key long, chunk long, before long")
-    picked = slim.join(entries, ["key", "chunk"]).groupBy("key", "chunk").applyInPandas(_pick, "key long, id long, at long")
+    slim = reports.select(F.col(key).alias("key"), "id", at.alias("at"), F.floor(at / width).cast("bigint").alias("chunk"))
+    said = slim.groupBy("key", "chunk").applyInPandas(_statements(width), f"key {kind}, chunk long, upto long, exit long")
+    entries = said.groupBy("key").applyInPandas(_entries, f"key {kind}, chunk long, before long")
+    picked = slim.join(entries, ["key", "chunk"]).groupBy("key", "chunk").applyInPandas(_pick, f"key {kind}, id long, at long")
     return picked.select("key", "id", F.timestamp_micros("at").alias("created_at"))

@@ -97,11 +97,15 @@ def upsert_flow(table: RaceTable, as_of: str):
 
 # --- Throttle ----------------------------------------------------------------
 
-OUT = "key long, id long, created_at timestamp"
-
-
 def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows at least a minute after the key's last accepted one, in time order."""
+    """Rows at least a minute after the key's last accepted one, in time order.
+
+    The state goes when the watermark has passed that minute: no row that still
+    counts can then fall into it.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
     gap = V.REPORT_GAP_SECONDS * 1_000_000
     rows = pd.concat([b for b in batches if len(b)]).sort_values(["created_at", "id"])
     micros = rows["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -113,6 +117,7 @@ def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             last = int(at)
     if last is not None:
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
     chosen = rows.iloc[keep]
     if len(chosen):
         yield chosen.assign(key=key[0])[["key", "id", "created_at"]]
@@ -121,12 +126,14 @@ def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def throttle_stream(reports: DataFrame, key: str = "race_id", watermark: str = "10 minutes") -> DataFrame:
     """At most one accepted report per key and minute; rejected ones do not extend the block.
 
-    State is one time per key.  What a key brings in one micro-batch is bounded
+    The key may be of any type.  State is one time per key, kept until the
+    watermark passes the minute it blocks.  What a key brings in one micro-batch is bounded
     by the source's ``maxFilesPerTrigger``; for a backlog use the batch form in
     ``operators.throttle``.
     """
     slim = reports.select(F.col(key).alias("key"), "id", "created_at").withWatermark("created_at", watermark)
-    return slim.groupBy("key").applyInPandasWithState(_accept, OUT, "last long", "append", GroupStateTimeout.NoTimeout)
+    out = f"key {reports.schema[key].dataType.simpleString()}, id long, created_at timestamp"
+    return slim.groupBy("key").applyInPandasWithState(_accept, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- Interest ----------------------------------------------------------------

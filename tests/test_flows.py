@@ -193,3 +193,14 @@ def test_growth(spark):
                                    "user_id long, event_type string, ts timestamp")
     got = {r["name"]: (r["users"], r["rate"]) for r in E.funnel_rates(events).collect()}
     assert got == {"view": (2, None), "signup": (1, 0.5), "click": (0, 0.0), "purchase": (0, None)}
+
+
+def test_throttle_state_ends_behind_the_watermark(spark, tmp_path):
+    """Address keys; an old key's state goes once time has moved on, and its next report is accepted."""
+    rows = [("a", 1, at(0)), ("a", 2, at(30)), ("b", 3, at(40)), ("b", 4, at(7200)), ("a", 5, at(7201)), ("a", 6, at(7230)), ("b", 7, at(14400))]
+    schema = "address string, id long, created_at timestamp"
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = W.folder_stream(spark, spark.createDataFrame([], schema).schema, str(tmp_path / "in"), maxFilesPerTrigger=1)
+    got = W.drain(W.throttle_stream(stream, "address", "1 minute"), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert {(r["key"], r["id"]) for r in got.collect()} == {("a", 1), ("b", 3), ("b", 4), ("a", 5), ("b", 7)}
