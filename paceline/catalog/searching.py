@@ -85,7 +85,7 @@ def word_similarity(spark, sf):
 
 @query("filter_fuzzy", _sim_sql("race_id, round(score, 5) AS score", "score > 0.15", "jizerska 50"))
 def filter_fuzzy(spark, sf):
-    races = T.races(spark, sf).withColumn("score", P.fuzzy_score("Jizerská 50"))
+    races = T.races(spark, sf).filter(P.fuzzy_possible("Jizerská 50")).withColumn("score", P.fuzzy_score("Jizerská 50"))
     return races.filter(F.col("score") > V.FUZZY_THRESHOLD).select("race_id", F.round("score", 5).alias("score"))
 
 

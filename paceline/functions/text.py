@@ -166,3 +166,15 @@ def word_similarity(query: Column, text: Column) -> Column:
     best = let(F.array_distinct(trigrams(query)), lambda w: let(trigrams(text), lambda g: score(w, g)))
     single = F.coalesce(best, F.lit(0.0)).cast("float").cast("double")
     return F.when(query.isNotNull() & text.isNotNull(), single)
+
+
+def may_be_similar(query: Column, text: Column, least: float) -> Column:
+    """False only where ``word_similarity`` can't be above ``least``.
+
+    No run scores more than the share of the query's trigrams that the whole
+    text has; that is one set operation instead of a look at every run.
+    """
+    def enough(wanted):
+        return F.size(F.array_intersect(wanted, trigrams(text))) >= F.size(wanted) * least - 1e-6
+
+    return F.coalesce(let(F.array_distinct(trigrams(query)), enough), F.lit(False))

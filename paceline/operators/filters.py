@@ -83,6 +83,13 @@ def fuzzy_score(search_text: str) -> Column:
     )
 
 
+def fuzzy_possible(search_text: str, least: float = V.FUZZY_THRESHOLD) -> Column:
+    """A cheap test that every row with ``fuzzy_score`` above ``least`` passes."""
+    wanted = T.normalize_czech(F.lit(search_text))
+    name, city = (T.may_be_similar(wanted, T.normalize_czech(F.col(c)), least) for c in ("name", "city"))
+    return name | city
+
+
 def report_valid() -> Column:
     """At least one reason or a message."""
     return (F.size("reasons") > 0) | F.coalesce(F.length("message") > 0, F.lit(False))

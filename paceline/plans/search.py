@@ -187,7 +187,7 @@ def search_races(
     if city is not None and proximity:
         found = _near_city(found, races, city, dim)
     if search_text:
-        found = found.withColumn("score", X.fuzzy_score(search_text)).filter(F.col("score") > V.FUZZY_THRESHOLD)
+        found = found.filter(X.fuzzy_possible(search_text)).withColumn("score", X.fuzzy_score(search_text)).filter(F.col("score") > V.FUZZY_THRESHOLD)
     else:
         found = found.withColumn("score", F.lit(0.0))
     if limit is None:
