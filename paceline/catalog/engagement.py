@@ -253,6 +253,17 @@ def link_extract(spark, sf):
     return G.link_extract(load(spark, sf, "pages"), "https://*/*", "https://*/the**")
 
 
+# List entries with a target of their own, written from the pages' addresses.
+ENTRIES = """SELECT page_id, url, '<div class="row race-single" data-location="' || url || '?"></div><pre class="race-single">x</pre>' ||
+  '<div data-location="/zavod/' || CAST(page_id % 9 AS STRING) || '" class="race-single"></div><div class="race" data-location="/no"></div>' || html AS html FROM {pages}"""
+
+
+@query("location_links", """SELECT DISTINCT page_id, t AS target FROM (SELECT page_id, unnest([url,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || '/zavod/' || CAST(page_id % 9 AS VARCHAR)]) AS t FROM pages)""")
+def location_links(spark, sf):
+    return G.location_links(T.view(spark, sf, ENTRIES))
+
+
 # The number in a page's own address stands for the highest one its pager links to.
 PAGER = "SELECT page_id, url, '<a href=\"/strana/' || CAST(page_id % 7 + 1 AS STRING) || '/\">x</a><a href=\"/strana/' || CAST(page_id % 23 AS STRING) || '/\">y</a>' || html AS html FROM {pages}"
 

@@ -29,9 +29,16 @@ def _element(html: Column, tag: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
 
 
-def page_title(html: Column, heading: str = "h1") -> Column:
-    """First heading's text, else the page title."""
-    return F.coalesce(null_if_empty(inner_text(_element(html, heading))), inner_text(_element(html, "title")))
+def page_title(html: Column, heading: str = "h1", empty_counts: bool = False) -> Column:
+    """First heading's text, else the page title.
+
+    A heading without text is passed over too, unless ``empty_counts``, as in
+    the table layout.
+    """
+    text, title = inner_text(_element(html, heading)), inner_text(_element(html, "title"))
+    if empty_counts:
+        return F.when(html.rlike(rf"(?is)<{heading}(?:\s[^>]*)?>.*?</{heading}\s*>"), text).otherwise(title)
+    return F.coalesce(null_if_empty(text), title)
 
 
 def absolute_url(base: Column, href: Column) -> Column:
@@ -99,7 +106,7 @@ def icon_pairs(html: Column) -> Column:
             chain = F.when(icon.contains(mark), name).otherwise(chain)
         return F.coalesce(chain, F.lit(""))
 
-    shape = r'(?is)<p[^>]*>\s*<i\s[^>]*class="([^"]*)"[^>]*>(.*?)</p>'
+    shape = r'(?is)<p(?:\s[^>]*)?>\s*<i\s[^>]*class="([^"]*)"[^>]*>(.*?)</p>'
     zipped = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(shape), F.lit(1)).alias("icon"),
         F.regexp_extract_all(html, F.lit(shape), F.lit(2)).alias("body"),
@@ -146,6 +153,14 @@ def link_extract(pages: DataFrame, include: str, exclude: str | None = None) ->
     return target.distinct()
 
 
+def location_links(pages: DataFrame, entry: str = "race-single") -> DataFrame:
+    """Distinct targets that list entries hold in ``data-location``, without a trailing question mark."""
+    tags = F.explode(F.regexp_extract_all("html", F.lit(rf'(?is)<\w+\s[^>]*class="[^"]*\b{entry}\b[^"]*"[^>]*>'), F.lit(0)))
+    held = pages.select("page_id", "url", tags.alias("tag")).select(
+        "page_id", "url", F.regexp_replace(F.regexp_extract("tag", r'(?i)\sdata-location="([^"]*)"', 1), r"\?$", "").alias("href"))
+    return held.filter("href <> ''").select("page_id", absolute_url(F.col("url"), F.col("href")).alias("target")).distinct()
+
+
 def glob_regex(glob: str) -> str:
     out = ""
     for part in glob.replace("**", "\0").split("*"):
@@ -179,7 +194,7 @@ def listings_from_table_pages(pages: DataFrame) -> DataFrame:
     step = step.withColumn("loc", P.parse_location_named(F.col("f_location")))
     values = {n: F.col(f"f_{n}") for n in found if n != "location"}
     values |= {
-        "url": F.col("url"), "title": page_title(F.col("html")), "date": P.extractor_date(F.col("f_date"), F.lit("behej")),
+        "url": F.col("url"), "title": page_title(F.col("html"), empty_counts=True), "date": P.extractor_date(F.col("f_date"), F.lit("behej")),
         "city": F.col("loc.city"), "district": F.col("loc.district"), "region": F.col("loc.region"),
     }
     return _finish(step, "behej", values)
@@ -191,7 +206,7 @@ def listings_from_icon_pages(pages: DataFrame) -> DataFrame:
     found = pick_labels(F.col("pairs"), names)
     step = step.select("*", *[c.alias(f"f_{n}") for n, c in found.items()])
     step = step.withColumn("loc", P.parse_location_place(F.col("f_location")))
-    lead = F.regexp_extract("html", r'(?is)<p[^>]*class="[^"]*\blead\b[^"]*"[^>]*>(.*?)</p>', 1)
+    lead = F.regexp_extract("html", r'(?is)<p\s[^>]*?class="[^"]*\blead\b[^"]*"[^>]*>(.*?)</p>', 1)
     return _finish(step, "ceskybeh", {
         "url": F.col("url"), "title": page_title(F.col("html"), "h3"),
         "date": P.extractor_date(F.col("f_date"), F.lit("ceskybeh")),
@@ -213,7 +228,7 @@ def listings_from_term_pages(pages: DataFrame) -> DataFrame:
         tag = F.regexp_extract("html", rf'(?is)<a\s[^>]*race-social-links__item--{kind}[^>]*>', 0)
         return F.regexp_extract(tag, r'(?i)href="([^"]*)"', 1)
 
-    about = F.regexp_extract("html", r'(?is)class="[^"]*w-lg-75[^"]*"[^>]*>.*?<p[^>]*>(.*?)</p>', 1)
+    about = F.regexp_extract("html", r'(?is)class="[^"]*w-lg-75[^"]*"[^>]*>.*?<p(?:\s[^>]*)?>(.*?)</p>', 1)
     values = {n: F.col(f"f_{n}") for n in ("region", "distance", "surface", "cup", "edition", "rewards", "contact", "feePreRegistration", "feeOnSite")}
     values |= {
         "url": F.col("url"), "title": page_title(F.col("html")), "date": P.extractor_date(F.col("f_date"), F.lit("svetbehu")),

@@ -180,6 +180,7 @@ def test_pages(spark, evaluate):
     assert evaluate(G.absolute_url, ("https://a.cz/x/y?q#f", "z"), ("https://a.cz", "/r"), ("https://a.cz/x", "//b.cz"),
                     ("https://a.cz/x", "mailto:a"), ("https://a.cz/x?y", "#t")) == [
         "https://a.cz/x/z", "https://a.cz/r", "https://b.cz", "mailto:a", "https://a.cz/x#t"]
+    assert evaluate(lambda h: G.page_title(h, empty_counts=True), html, "<title>t</title>") == ["", "t"]
     page = spark.createDataFrame([(1, "https://a.cz/list/", '<a href="/list/beh/">1</a><a href="/list/strana/3/">3</a><a href="/list/a/b/">n</a>')],
                                  "page_id long, url string, html string")
     links = G.link_extract(page, "https://a.cz/list/*/", "https://a.cz/list/strana/**")
