@@ -187,16 +187,15 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
     parts = max(1, -(-int(count) // block))
     numbered = rows.repartitionByRange(parts, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
     packed = staged.put("blocks", numbered.select(F.spark_partition_id().alias("part"), "id", "v").mapInArrow(_pack(width, block), PACKED))
-    tops = np.zeros(parts)
-    for r in packed.groupBy("part").agg(F.max("top").alias("top")).toLocalIterator():
-        tops[r["part"]] = r["top"]
+    longest = {r["part"]: r["top"] for r in packed.groupBy("part").agg(F.max("top").alias("top")).toLocalIterator()}
+    tops = np.array([longest.get(p, 0.0) for p in range(max(longest, default=-1) + 1)])
 
     asking = rows.filter("ask").withColumn("part", F.spark_partition_id()).select("part", "id", "v")
     queries = staged.put("queries", asking.mapInArrow(_pack(width, query_block), PACKED).select(
         F.monotonically_increasing_id().alias("q"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata")))
-    longest = packed.orderBy(F.desc("top"), "part").limit(1).select("n", "ids", "data")
+    block_one = packed.orderBy(F.desc("top"), "part").limit(1).select("n", "ids", "data")
     seeds = queries.withColumn("one", F.lit(1)).join(
-        F.broadcast(longest.withColumn("one", F.lit(1))), "one")
+        F.broadcast(block_one.withColumn("one", F.lit(1))), "one")
     seeds = seeds.mapInArrow(_seed(turn, k, tops), "q long, last int, least binary")
     visits = queries.join(seeds.filter("last >= 0"), "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
     met = visits.drop("last").join(packed.select("part", "n", "ids", "data"), "part").mapInArrow(
