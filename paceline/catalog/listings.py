@@ -19,6 +19,7 @@ from paceline.operators.ordering import numbered_within
 from paceline.plans import integrate as I
 from paceline.session import scratch_path
 from paceline.sources import listings as S
+from paceline.streaming import flows as W
 
 
 def show(distances):
@@ -59,6 +60,22 @@ def scan_corrupt_rows(spark, sf):
     return both.groupBy("source", "kind").agg(F.count_if(F.coalesce(F.length("title"), F.lit(0)) >= 0).alias("n"))
 
 
+_FATE = f"CASE WHEN length(r.title) % 5 = 0 THEN 'unreadable' WHEN {D.blank('r.title')} OR {D.blank('r.date')} THEN 'incomplete' ELSE coalesce(i.reject_reason, 'accepted') END"
+
+
+@query("stream_quarantine", D.from_items(f"SELECT r.source, {_FATE} AS outcome, count(*) AS n FROM raw r JOIN items0 i ON r.ord = i.ord GROUP BY ALL"))
+def stream_quarantine(spark, sf):
+    """Listings, some cut short, taken in by micro-batches: what is accepted and what is set aside, and why."""
+    cut = lambda t: F.when(F.length("title") % 5 == 0, F.substr(t, F.lit(1), F.length(t) - 5)).otherwise(t)
+    root, (out, checkpoint) = _dataset(spark, sf, cut), W.stream_paths(spark, "ingest")
+    aside = scratch_path(spark, "quarantine")
+    stream = W.raw_stream(spark, root, multi_line=False, names="*.txt", maxFilesPerTrigger=3)
+    W.drain_batches(stream, W.ingest_flow(out, aside), checkpoint)
+    good, bad = spark.read.parquet(out), spark.read.parquet(aside)
+    both = good.select("source", F.lit("accepted").alias("outcome")).unionByName(bad.select("source", F.col("reason").alias("outcome")))
+    return both.groupBy("source", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scan_required_fields", f"WITH {D.RAW} SELECT ord, startPlace FROM raw WHERE NOT {D.blank('startPlace')} AND NOT {D.blank('title')}")
 def scan_required_fields(spark, sf):
     return S.require_fields(T.raw_listings(spark, sf), "startPlace", "title").select("ord", "startPlace")

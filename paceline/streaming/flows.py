@@ -14,14 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paceline import fixed_values as V
+from paceline.functions.text import is_blank
 from paceline.operators import normalize as N
 from paceline.operators.engage import append_interest
 from paceline.operators.upsert import upsert_races
 from paceline.plans.integrate import integrate
 from paceline.session import scratch_path
-from paceline.sources.listings import RAW_SCHEMA, dataset_glob, require_fields, with_order, with_provenance
+from paceline.sources.listings import CORRUPT, RAW_SCHEMA, dataset_glob, require_fields, with_order, with_provenance
 
 
 def folder_stream(spark: SparkSession, schema, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -50,7 +52,7 @@ def drain_batches(stream: DataFrame, handle, checkpoint: str, mode: str = "appen
 # --- Ingest ------------------------------------------------------------------
 
 def listing_stream(spark: SparkSession, root: str, multi_line: bool = True, **options) -> DataFrame:
-    """New JSON files under the dataset folders, complete rows only."""
+    """New JSON files under the dataset folders, complete rows only; ``ingest_flow`` keeps the others too."""
     raw = folder_stream(spark, RAW_SCHEMA, dataset_glob(root), "json", multiLine=multi_line, pathGlobFilter="*.json", **options)
     return require_fields(with_provenance(raw))
 
@@ -61,6 +63,33 @@ def ingest_stream(spark: SparkSession, root: str, **options) -> DataFrame:
     return N.accepted(N.normalize_items(raw)).drop("ord")
 
 
+def raw_stream(spark: SparkSession, root: str, multi_line: bool = True, names: str = "*.json", **options) -> DataFrame:
+    """New files under the dataset folders, unreadable rows kept in the corrupt column."""
+    schema = StructType([*RAW_SCHEMA.fields, StructField(CORRUPT, StringType())])
+    return with_provenance(folder_stream(
+        spark, schema, dataset_glob(root), "json", multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+        pathGlobFilter=names, **options))
+
+
+def ingest_flow(out: str, quarantine: str):
+    """Micro-batch handler: accepted rows to ``out``, all others with their reason to ``quarantine``.
+
+    Every row of the input is in one of the two.  A repeated micro-batch writes
+    its own folders again.
+    """
+    def handle(batch: DataFrame, number: int) -> None:
+        lacks = is_blank(F.col("title")) | is_blank(F.col("date"))
+        judged = batch.withColumn("reason", F.when(F.col(CORRUPT).isNotNull(), "unreadable").when(lacks, "incomplete"))
+        items = N.normalize_items(judged.filter("reason IS NULL").withColumn("ord", F.lit(None).cast("bigint")))
+        N.accepted(items).drop("ord").write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
+        early = judged.filter("reason IS NOT NULL").select("source", "url", "title", "reason", F.col(CORRUPT).alias("raw"))
+        late = N.rejected(items).select("source", F.col("sourceUrl").alias("url"), "title", F.col("reject_reason").alias("reason"),
+                                        F.lit(None).cast("string").alias("raw"))
+        early.unionByName(late).write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={number}"))
+
+    return handle
+
+
 class RaceTable:
     """Race table kept as one Parquet folder per version.
 

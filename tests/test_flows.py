@@ -46,6 +46,15 @@ def test_read_sources(spark, dataset):
     assert [(r["source"], r["title"]) for r in rows] == [("behej", "Běh A"), ("behej", "Běh B"), ("svetbehu", "Běh C")]
 
 
+def test_ingest_flow_loses_no_row(spark, dataset, tmp_path):
+    out, aside = str(tmp_path / "o"), str(tmp_path / "q")
+    W.drain_batches(W.raw_stream(spark, dataset, maxFilesPerTrigger=2), W.ingest_flow(out, aside), str(tmp_path / "c"))
+    assert {r["title"] for r in spark.read.parquet(out).collect()} == {"Běh A", "Běh B", "Běh C"}
+    rows = {r["reason"]: r for r in spark.read.parquet(aside).collect()}
+    assert set(rows) == {"unreadable", "incomplete"} and rows["unreadable"]["raw"].startswith('{"title": "rozbit')
+    assert len({r["batch"] for r in spark.read.parquet(out).select("batch").collect()}) >= 1
+
+
 def test_stream_ingest_and_upsert(spark, dataset, tmp_path):
     out = W.drain(W.ingest_stream(spark, dataset), str(tmp_path / "o"), str(tmp_path / "c"))
     assert {r["title"] for r in out.collect()} == {"Běh A", "Běh B", "Běh C"}
