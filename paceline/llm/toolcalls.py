@@ -178,7 +178,26 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-@query("op6_tool_calls")
+TOOL_CALLS_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'call_' || conv_id || '_' || turn AS call_id,
+       CASE WHEN turn > 1 THEN 'answer' ELSE 'greet' END AS name, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS words,
+       turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role = 'assistant'),
+l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1)::INTEGER AS level,
+       CASE WHEN name = 'greet' AND length(text) > 400 THEN 'length:text' WHEN name = 'answer' AND words NOT BETWEEN 1 AND 120
+       THEN 'range:words' ELSE '' END AS errors FROM c),
+r AS (SELECT conv_id, turn, text AS content, 'call_' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'user' AND turn > 0),
+j AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, level, coalesce(l.turn, r.turn) AS seq, coalesce(l.call_id, r.call_id) AS call_id,
+       name, content, l.text, words, coalesce(errors, '') AS errors, (r.turn IS NOT NULL)::BIGINT AS n_results,
+       CASE WHEN l.turn IS NULL THEN 'orphan' WHEN level = 0 AND l.turn > 1 THEN 'unknown_parent'
+            WHEN r.turn IS NOT NULL THEN 'linked' ELSE 'unanswered' END AS status
+     FROM l FULL OUTER JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id)
+SELECT conv_id, level, seq, call_id, name, status, n_results, errors, '{"arguments":' ||
+  CASE WHEN name IS NULL THEN 'null' ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || seq || ',"words":' || words || '}' END ||
+  ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') ||
+  ',"status":"' || status || '","valid":' || CASE WHEN name IS NOT NULL AND errors = '' THEN 'true' ELSE 'false' END || '}' AS json FROM j"""
+
+
+@query("op6_tool_calls", TOOL_CALLS_SQL)
 def op6_tool_calls(spark, sf_dir):
     out = link_tool_calls(*calls_of_turns(table(spark, sf_dir, "conversations")), SCHEMAS)
     return out.withColumn("errors", F.array_join("errors", ","))
