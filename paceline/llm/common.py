@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,10 @@ class Staged:
 
     def tidy(self) -> None:
         """Let Spark delete the shuffle files of finished steps now; it does so when the driver's garbage is collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees holds references itself
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -21,10 +20,10 @@ from paceline.llm.words import Words, batches, mix, shingles, texts_of
 SKETCH = 64
 #: Chance, at most, that a pair at the very threshold shares fewer sketch values than asked for.
 MISS = 1e-9
-#: Leaders that each node of an inverted list is held against.
-LEADERS = 3
-#: Members of one block when what is left of a list is compared block by block.
-BLOCK = 128
+#: Members of one block where the rest of a group is compared block by block.
+BLOCK = 1024
+#: Columns of a block's incidence matrix that are multiplied at once.
+COLUMNS = 4096
 
 SIGNS = "id long, n long, k1 long, k2 long, sketch array<long>"
 SETS = "node long, shingles array<long>"
@@ -153,7 +152,7 @@ class NearDuplicates:
         own = Window.partitionBy("node")
         shared = values.join(often, "value").withColumns({
             "alone": F.col("m") - F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("df", "value"))})
-        published = shared.filter("alone + place <= prefix").select("value", "node")
+        published = shared.filter("alone + place <= prefix").select("value", "node", "alone")
         published = self.staged.put("published", published)
         several = published.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         return published.join(several, "value")
@@ -166,17 +165,19 @@ class NearDuplicates:
             nodes, ["k1", "k2"]).select("node", "shingles").dropDuplicates(["node"])
         return named.unionByName(unnamed)
 
-    def confirm(self, pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b) that are linked: the union sketch allows for it and the full sets say so."""
-        side = lambda df, key, col: df.select(F.col("node").alias(key), F.col(col).alias(f"s{key}"))
-        near = pairs.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a").filter(
+    @staticmethod
+    def side(df: DataFrame, key: str, column: str) -> DataFrame:
+        return df.select(F.col("node").alias(key), F.col(column).alias(f"s{key}"))
+
+    def near_pairs(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) for which the sketch of the union still allows a link."""
+        return pairs.join(self.side(sketches, "b", "sketch"), "b").join(self.side(sketches, "a", "sketch"), "a").filter(
             _likely(F.col("sa"), F.col("sb"), self.k, self.percent)).select("a", "b")
-        near = self.staged.put(f"{name}-near", near)
-        links = near.join(side(sets, "b", "shingles"), "b").join(side(sets, "a", "shingles"), "a").filter(
+
+    def linked_pairs(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose full sets are similar."""
+        return pairs.join(self.side(sets, "b", "shingles"), "b").join(self.side(sets, "a", "shingles"), "a").filter(
             _similar(F.col("sa"), F.col("sb"), self.percent)).select("a", "b")
-        links = self.staged.put(name, links)
-        self.staged.tidy()
-        return links
 
     def labels_after(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Labels (node, comp) after merging the components that links (a, b) of nodes join."""
@@ -186,56 +187,69 @@ class NearDuplicates:
         return self.staged.put(name, labels.join(roots, "comp", "left").select(
             "node", F.coalesce("root", "comp").alias("comp")))
 
-    def star_pairs(self, lists: DataFrame) -> DataFrame:
-        """A few pairs for each node: with leaders of the lists it is in.
+    def groups(self, lists: DataFrame) -> DataFrame:
+        """(lead, node): all nodes that share an inverted list with the same leader, itself included.
 
-        Leaders are those first in a drawn order of all nodes, so that the
-        lists of one group mostly agree on them.  A large group of copies needs
-        a few pairs a member this way, not one for each two members.
+        A list's leader is the member with the fewest values of its own, so
+        that the lists of one group of copies agree on the text the others were
+        made from, and a pair of nodes meets once, not once for each list.
         """
-        pairs = []
-        for turn in range(LEADERS):
-            draw = F.xxhash64("node", F.lit(turn))
-            leads = lists.groupBy("value").agg(F.min(F.struct(draw.alias("draw"), F.col("node").alias("lead"))).alias("l"))
-            met = lists.join(leads, "value").filter("node <> l.lead")
-            best = met.groupBy("node").agg(F.min("l").alias("l"))
-            pairs.append(best.select(F.greatest("node", "l.lead").alias("a"), F.least("node", "l.lead").alias("b")))
-        return reduce(DataFrame.unionByName, pairs).distinct()
-
-    def rest_pairs(self, lists: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs across components that lists still hold and whose sketches overlap enough.
-
-        A list is cut into blocks of some ``BLOCK`` members; blocks meet in
-        twos in one task, and only pairs that can be links leave it.
-        """
-        tagged = lists.select("value", "node").join(labels, "node")
-        open_lists = tagged.groupBy("value").agg(
-            F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        member = tagged.join(open_lists.select("value", blocks.alias("blocks")), "value").join(
-            sketches.select("node", "n", "sketch"), "node")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        member = member.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                               (F.col("own") > F.col("other")).alias("late"), "node", "comp", "n", "sketch")
-        dealt = member.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-        return dealt.mapInArrow(_block_pairs(self.k, self.percent), "a long, b long").distinct()
+        leads = lists.groupBy("value").agg(F.min(F.struct("alone", F.xxhash64("node").alias("draw"), F.col("node").alias("lead"))).alias("l"))
+        return lists.join(leads, "value").select(F.col("l.lead").alias("lead"), "node").distinct()
+
+    def dealt(self, groups: DataFrame, columns: list[str]) -> DataFrame:
+        """Members of groups, dealt to pairs of blocks of some ``BLOCK`` members each; a group's pairs are separate tasks' work."""
+        sizes = groups.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        member = groups.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        member = member.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                               (F.col("own") > F.col("other")).alias("late"), *columns)
+        return member.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+    def open_members(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """Groups that hold more than one component, with the component of each member."""
+        tagged = groups.join(labels, "node")
+        open_ = tagged.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("lead")
+        return tagged.join(open_, "lead", "left_semi")
+
+    def likely_members(self, groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Members (lead, node) of groups that by their sketch may be linked across components."""
+        tagged = self.open_members(groups, labels)
+        members = self.dealt(tagged.join(sketches.select("node", "n", F.col("sketch").alias("items")), "node"), ["node", "comp", "n", "items"])
+        return members.mapInArrow(_blocks(_likely_members(self.k, self.percent), ["lead", "node"]), "lead long, node long").distinct()
+
+    def rest_links(self, groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) across components by the members' full sets; at most as many as join a block's components."""
+        tagged = self.open_members(groups, labels)
+        full = self.dealt(tagged.join(sets.select("node", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("items")), "node"),
+                          ["node", "comp", "n", "items"])
+        return full.mapInArrow(_blocks(_links(self.percent), ["a", "b"]), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
-        sketches = self.staged.put("sketches", self.sketches())
-        lists = self.staged.put("lists", self.lists(sketches).select("value", "node"))
+        put = self.staged.put
+        sketches = put("sketches", self.sketches())
+        groups = put("groups", self.groups(self.lists(sketches)))
         self.staged.drop("published")
         self.staged.tidy()
-        nodes = lists.select("node").distinct()
-        sets = self.staged.put("sets", self.whole_sets(
-            sketches.join(nodes, "node", "left_semi").select("node", "k1", "k2")))
+        single = put("single", groups.select("node", F.col("node").alias("comp")).distinct())
+
+        # What sketches allow: pairs with a leader, and members of what is left when these pairs are taken for links.
+        star = groups.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        near = put("near", self.near_pairs(star, sketches))
+        likely = put("likely", self.likely_members(groups, self.labels_after(single, near, "assumed"), sketches))
+        self.staged.tidy()
+
+        # Only these need their full sets.  A pair is in one assumed component, then both are in near pairs, or both are likely members.
+        met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        active = put("active", groups.join(met, "node", "left_semi").select("lead", "node").unionByName(likely).distinct())
+        keys = sketches.join(active.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2")
+        sets = put("sets", self.whole_sets(keys))
+        self.staged.tidy()
+        labels = self.labels_after(single, put("star", self.linked_pairs(near, sets)), "starred")
+        self.staged.tidy()
+        labels = self.labels_after(labels, put("rest", self.rest_links(active, labels, sets)), "labels")
+        self.staged.drop("groups", "single", "near", "assumed", "likely", "active", "sets", "star", "starred", "rest")
         self.staged.tidy()
-        labels = self.staged.put("single", nodes.select("node", F.col("node").alias("comp")))
-        links = self.confirm(self.star_pairs(lists), sketches, sets, "star")
-        labels = self.labels_after(labels, links, "starred")
-        links = self.confirm(self.rest_pairs(lists, labels, sketches), sketches, sets, "rest")
-        labels = self.labels_after(labels, links, "labels")
-        self.staged.drop("lists", "sets", "single", "starred", "star", "star-near", "rest", "rest-near")
         return self.members(sketches, labels)
 
     def members(self, sketches: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,39 +261,79 @@ class NearDuplicates:
             "node")
 
 
-def _block_pairs(k: int, percent: int):
-    least = min(least_shared(k, percent / 100), k)
-
-    def pairs(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(group)
-        node, comp, n, late = (t.column(c).to_numpy() for c in ("node", "comp", "n", "late"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sketch = t.column("sketch").combine_chunks()
-        size = np.diff(sketch.offsets.to_numpy())
-        kinds, code = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-        has = np.zeros((len(node), len(kinds)), np.float32)
-        has[np.repeat(np.arange(len(node)), size), code] = 1
-        a = np.flatnonzero(~late.astype(bool))
-        b = a if i == j else np.flatnonzero(late.astype(bool))
-        shared = has[a] @ has[b].T
+def _overlaps(items: pa.ListArray, rows: list[np.ndarray]) -> np.ndarray:
+    """Numbers of items that each member of rows[0] has in common with each of rows[1]."""
+    size = np.diff(items.offsets.to_numpy())
+    kinds, code, often = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    several = often[code] > 1
+    owner, code = owner[several], (np.cumsum(often > 1) - 1)[code[several]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    shared = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+    for low in range(0, int(often[often > 1].size), COLUMNS):
+        b, e = np.searchsorted(code, (low, low + COLUMNS))
+        has = np.zeros((len(size), COLUMNS), np.float32)
+        has[owner[b:e], code[b:e] - low] = 1
+        shared += has[rows[0]] @ has[rows[1]].T
+    return shared
+
+
+def _likely_members(k: int, percent: int):
+    least = least_shared(k, percent / 100)
+
+    def judge(t, a, b, node, comp, n, same):
+        shared = _overlaps(t.column("items").combine_chunks(), [a, b])
         low, high = np.minimum(n[a][:, None], n[b][None]), np.maximum(n[a][:, None], n[b][None])
-        need = np.minimum(np.where(high <= k, np.ceil(high * percent / 100), least), np.minimum(size[a][:, None], size[b][None]))
+        # Two whole sets are compared in full; a sketch of a larger set may lack some of the common values.
+        need = np.where(high <= k, np.ceil(high * percent / 100), np.minimum(least, k - np.floor(low * (100 - percent) / percent)))
+        need = np.where((high > k) & (low > k), least, need)
         good = (shared >= need) & (100 * low >= percent * high) & (comp[a][:, None] != comp[b][None])
-        if i == j:
-            good &= node[a][:, None] < node[b][None]
-        x, y = np.nonzero(good)
-        return node[a][x], node[b][y]
+        members = np.unique(np.concatenate((a[good.any(1)], b[good.any(0)])))
+        return np.full(len(members), t.column("lead")[0].as_py()), node[members]
+
+    return judge
+
+
+def _links(percent: int):
+    def judge(t, a, b, node, comp, n, same):
+        shared = _overlaps(t.column("items").combine_chunks(), [a, b])
+        x, y = np.nonzero(100 * shared >= percent * (n[a][:, None] + n[b][None] - shared))
+        root = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out = []
+        for p, q in zip(a[x].tolist(), b[y].tolist(), strict=True):
+            u, v = find(comp[p]), find(comp[q])
+            if u != v:
+                root[u] = v
+                out.append((node[p], node[q]))
+        return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+    return judge
+
+
+def _blocks(judge, names: list[str]):
+    """Runs ``judge`` on each pair of blocks; a task's rows come sorted by pair."""
 
     def emit(group):
-        x, y = pairs(group)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        t = pa.Table.from_batches(group)
+        node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
+        late, same = t.column("late").to_numpy().astype(bool), t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        a = np.flatnonzero(~late)
+        x, y = judge(t, a, a if same else np.flatnonzero(late), node, comp, n, same)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=names)
 
     def run(frames):
         held, key = [], None
         for frame in frames:
-            ids = [frame.column(c).to_numpy() for c in ("value", "i", "j")]
-            new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
-            for b, e in zip([0, *new.tolist()], [*new.tolist(), frame.num_rows], strict=True):
+            ids = [frame.column(c).to_numpy() for c in ("lead", "i", "j")]
+            new = (np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1).tolist()
+            for b, e in zip([0, *new], [*new, frame.num_rows], strict=True):
                 if e == b:
                     continue
                 at = tuple(int(x[b]) for x in ids)
@@ -308,8 +362,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Equal sets collapse first.  Each remaining set keeps the ``sketch`` least
     hashes of its shingles; inverted lists of these values, rarest first, bring
     candidates together; the sketch of the union and then the full sets judge
-    them.  Large groups are linked through drawn leaders, what their lists then
-    still hold across components is compared block by block.  A pair at the
+    them.  Each group is linked through its leader first; what it then still
+    holds across components is compared block by block.  A pair at the
     threshold is overlooked with a chance below 1e-9.
 
     NULL and empty texts have an empty set and are linked with nothing.  Rows

@@ -124,8 +124,8 @@ def test_near_duplicates(spark, width):
 
 def test_blocks_find_what_leaders_miss(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 5)
-    confirm = neardup.NearDuplicates.confirm
-    monkeypatch.setattr(neardup.NearDuplicates, "confirm", lambda self, pairs, *more: confirm(self, pairs.limit(0), *more))
+    near_pairs = neardup.NearDuplicates.near_pairs
+    monkeypatch.setattr(neardup.NearDuplicates, "near_pairs", lambda self, pairs, *more: near_pairs(self, pairs.limit(0), *more))
     rows = list(enumerate(copies(5)))
     want = brute.components(rows, 2)
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
