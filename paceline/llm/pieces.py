@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 import struct
@@ -17,12 +16,12 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField,
 
 from paceline.llm.common import query, table
 from paceline.llm.lookup import Memo
-from paceline.llm.words import batches, range_hashes, texts_of
+from paceline.llm.words import batches, give_back, range_hashes, texts_of
 
 #: A model larger than this is refused, as it is sent to every executor.
 MOST_MODEL_BYTES = 64 << 20
-#: Distinct stretches a worker remembers (some 50 bytes each); it then begins anew.
-REMEMBERED = 2_000_000
+#: Distinct stretches a task remembers (some 50 bytes each); it then begins anew.
+REMEMBERED = 1_000_000
 MARK = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -140,40 +139,36 @@ class Model:
 class Codec:
     """Encodes and decodes batches with the rebuilt tokenizer, and holds it against the model's own library."""
 
-    _made: dict = {}
-
     def __init__(self, data: bytes, threads: int = 1):
         import sentencepiece
 
+        os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
         self.model, self.threads = Model.parse(data), threads
-        self.whole, self.bare = self.model.tokenizer(), self.model.tokenizer(prefix=False)
+        self.splits = self.model.splits()
+        self.whole, self.bare = None, self.model.tokenizer(prefix=False) if self.splits else None
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.memo = Memo(REMEMBERED)
         self.line = len(self.own.encode("\n"))
 
-    @classmethod
-    def of(cls, data: bytes, threads: int) -> Codec:
-        """One for each worker process and model."""
-        key = hashlib.sha256(data).digest()
-        if key not in cls._made:
-            os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
-            cls._made.clear()
-            cls._made[key] = cls(data, threads)
-        return cls._made[key]
-
     def run(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Ids of each text, whether they decode to it, and whether the own library gives the same."""
         texts = [t or "" for t in texts]
-        if not self.model.splits():
-            return self._run(self.whole, texts)
+        if not self.splits:
+            return self._run(self._whole(), texts)
         ids, back, same = self._stretches(texts)
         odd = [i for i, t in enumerate(texts) if MARK in t]  # their marks can't be told from spaces
         if odd:
             some = [texts[i] for i in odd]
-            for i, *got in zip(odd, *self._run(self.whole, some), strict=True):
+            for i, *got in zip(odd, *self._run(self._whole(), some), strict=True):
                 ids[i], back[i], same[i] = got
         return ids, back, same
 
+    def _whole(self):
+        """The tokenizer for whole texts, made when a text needs it."""
+        if self.whole is None:
+            self.whole = self.model.tokenizer()
+        return self.whole
+
     def _run(self, tokenizer, texts: list[str], given: list[str] | None = None, head: int = 0, tail: int = 0):
         """Ids and checks.  ``given`` is what the own library gets; its first ``head`` and last ``tail`` ids don't count."""
         ids = [e.ids if t else [] for e, t in zip(
@@ -222,22 +217,23 @@ class Codec:
             kinds, where = np.unique(hashes, return_index=True)
         values: list = [None] * len(kinds)
         for with_space in (True, False):
-            some = np.flatnonzero(spaced[where] == with_space).tolist()
-            if not some:
-                continue
-            parts = [part(where[n]) for n in some]
-            # The own library sets a mark before a text: so one leading space less, or a line end before that doesn't count.
-            if with_space and self.model.dummy_prefix:
-                got = self._run(self.bare, parts, [p[1:] + "\n" for p in parts], 0, self.line - 1)
-            else:
-                got = self._run(self.bare, parts, ["\n" + p for p in parts], self.line)
-            for n, ids, back, same in zip(some, *got, strict=True):
-                values[n] = np.array([back, same, *ids], np.int32)
+            every = np.flatnonzero(spaced[where] == with_space).tolist()
+            for low in range(0, len(every), AT_ONCE):
+                some = every[low : low + AT_ONCE]
+                parts = [part(where[n]) for n in some]
+                # The own library sets a mark before a text: so one leading space less, or a line end before that doesn't count.
+                if with_space and self.model.dummy_prefix:
+                    got = self._run(self.bare, parts, [p[1:] + "\n" for p in parts], 0, self.line - 1)
+                else:
+                    got = self._run(self.bare, parts, ["\n" + p for p in parts], self.line)
+                for n, ids, back, same in zip(some, *got, strict=True):
+                    values[n] = np.array([back, same, *ids], np.int32)
         self.memo.add(kinds, values)
         return self.memo.find(hashes)
 
 
-BATCH = 8 << 20
+#: Bytes of text in a batch, and new stretches that are encoded at once.
+BATCH, AT_ONCE = 4 << 20, 16_384
 
 
 def load_model(path: str) -> bytes:
@@ -269,13 +265,15 @@ def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", threads: in
     arrow, sent = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
-        codec = Codec.of(sent.value, threads)
+        codec = Codec(sent.value, threads)  # one a task, so that its memory doesn't outlive it
         for f in batches(frames, most=BATCH):
             ids, back, same = codec.run(texts_of(f))
             offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([*f.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
                                               pa.array(back), pa.array(same)], schema=arrow)
+        del codec
+        give_back()
 
     names = [c for c in docs.columns if c not in ("ids", "round_trip", "parity")]
     return packed.mapInArrow(run, schema).select(

@@ -7,6 +7,7 @@ its length; no Python code runs for a single word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -118,7 +119,15 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def batches(frames: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def batches(frames: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that one holds few texts beyond ``most`` bytes; a longer text comes alone."""
     for frame in frames:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(frame.column(text)), 0))
@@ -128,6 +137,7 @@ def batches(frames: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")), i + 1)
             yield frame.slice(i, j - i)
             i = j
+    give_back()
 
 
 def texts_of(frame: pa.RecordBatch, text: str = "text") -> list:
