@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def least_shared(k: int, share: float) -> int:
     """The largest t such that k draws with chance ``share`` give fewer than t with a chance below MISS."""
     below, t = 0.0, 0
-    while (below := below + comb(k, t) * share**t * (1 - share) ** (k - t)) < MISS:
+    while (below := below + math.comb(k, t) * share**t * (1 - share) ** (k - t)) < MISS:
         t += 1
     return t
 
@@ -145,17 +145,25 @@ class NearDuplicates:
         return some.groupBy("k1", "k2", "n").agg(F.min("node").alias("node"), F.min_by("sketch", "node").alias("sketch"))
 
     def lists(self, sketches: DataFrame) -> DataFrame:
-        """Inverted lists (value, node) of the published values that two nodes or more publish."""
+        """Inverted lists (value, size, node) of the published values that two nodes or more publish.
+
+        Similar sets differ in size by the factor of the threshold at most, so
+        they are in one size class or in neighbouring ones.  A node publishes
+        under its class and the next, and a value that only sets of other sizes
+        share brings nobody together.
+        """
+        step = max(math.log(100 / self.percent), 1e-6) * (1 + 1e-9)
         values = sketches.select("node", F.explode("sketch").alias("value"), F.size("sketch").alias("m"),
-                                 _prefix(self.k, self.percent).alias("prefix"))
+                                 _prefix(self.k, self.percent).alias("prefix"), F.floor(F.log("n") / step).alias("class"))
         often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         own = Window.partitionBy("node")
         shared = values.join(often, "value").withColumns({
             "alone": F.col("m") - F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("df", "value"))})
-        published = shared.filter("alone + place <= prefix").select("value", "node", "alone")
+        published = shared.filter("alone + place <= prefix").select(
+            "value", "node", "alone", F.explode(F.array("class", F.col("class") + 1)).alias("size"))
         published = self.staged.put("published", published)
-        several = published.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        return published.join(several, "value")
+        several = published.groupBy("value", "size").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        return published.join(several, ["value", "size"])
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """The full shingle sets of some nodes."""
@@ -194,8 +202,8 @@ class NearDuplicates:
         that the lists of one group of copies agree on the text the others were
         made from, and a pair of nodes meets once, not once for each list.
         """
-        leads = lists.groupBy("value").agg(F.min(F.struct("alone", F.xxhash64("node").alias("draw"), F.col("node").alias("lead"))).alias("l"))
-        return lists.join(leads, "value").select(F.col("l.lead").alias("lead"), "node").distinct()
+        leads = lists.groupBy("value", "size").agg(F.min(F.struct("alone", F.xxhash64("node").alias("draw"), F.col("node").alias("lead"))).alias("l"))
+        return lists.join(leads, ["value", "size"]).select(F.col("l.lead").alias("lead"), "node").distinct()
 
     def dealt(self, groups: DataFrame, columns: list[str]) -> DataFrame:
         """Members of groups, dealt to pairs of blocks of some ``BLOCK`` members each; a group's pairs are separate tasks' work."""
