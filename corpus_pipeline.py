@@ -32,8 +32,8 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages cut out; documents that are mostly such passages go."""
-    return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    """Benchmark passages cut out, whole items of any length too; documents that are mostly such passages go."""
+    return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark"), max_words=1))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

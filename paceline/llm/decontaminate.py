@@ -239,6 +239,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
 
     A shared span of ``max_words`` words or more is cut out of its text; a
     document of which more than ``max_cover`` is such spans goes as a whole.
+    Spans of fewer than ``window`` words are whole items that short: with
+    ``max_words=1`` they are cut and count as the others do.
     Other documents stay as they are, with all their columns.
     """
     rest = [c for c in docs.columns if c != text]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paceline.llm import ctw, decontaminate, neardup, quality, secrets
 from paceline.llm.lookup import Lookup, Memo
 from paceline.llm.words import PLAIN, SPACED, Words
@@ -205,6 +206,17 @@ def test_cutting(spark):
     assert out[0].text is None and out[2].text == texts[2]
 
 
+def test_pipeline_cuts_short_items(spark, tmp_path):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["short item", "Solo", "solo short item more", "solo, short item: one two three four", "an item that is short", None,
+             "one two three " + ITEMS[0][1] + ". SOLO four five six seven eight nine ten eleven twelve thirteen", "a a a a"]
+    out = {r.doc_id: r for r in corpus_pipeline.no_benchmark(spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert sorted(out) == [3, 4, 5, 6, 7]  # of text 2, three of four words are items
+    assert out[3].text == ": one two three four" and out[3].n_chars == len(out[3].text)
+    assert out[6].text == "one two three  four five six seven eight nine ten eleven twelve thirteen"
+    assert [out[i].text for i in (4, 5, 7)] == [texts[4], None, texts[7]]
+
+
 # -- quality ---------------------------------------------------------------
 
 def test_quality(spark):
