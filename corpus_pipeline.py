@@ -21,8 +21,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, does not reject."""
+    """Documents that the classifier, fitted on the labels, does not reject; without a label of any document it rejects none."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda i: F.lit(True))
+    if not model.learned:
+        return docs
     return model.score(docs, name="_score").filter(F.col("_score") >= KEEP).drop("_score")
 
 

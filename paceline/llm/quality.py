@@ -161,6 +161,8 @@ def fit_network(x: np.ndarray, y: np.ndarray) -> Network:
 class QualityModel:
     vectors: np.ndarray
     network: Network
+    #: Labelled rows it was fitted on.
+    learned: int = 0
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with a score between 0 and 1 of each whole text."""
@@ -213,7 +215,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id
     found = found.orderBy(F.xxhash64("id")).limit(fit_rows).select("x", "y").toArrow()
     x = found.column("x").combine_chunks()
     x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, 3 * DIM + 1).astype(np.float64)
-    return QualityModel(vectors, fit_network(x, found.column("y").to_numpy().astype(np.float64)))
+    return QualityModel(vectors, fit_network(x, found.column("y").to_numpy().astype(np.float64)), found.num_rows)
 
 
 def held_out(doc_id: Column) -> Column:

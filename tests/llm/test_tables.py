@@ -195,6 +195,17 @@ def test_model_parsing():
 
 # -- pipeline --------------------------------------------------------------
 
+@pytest.mark.parametrize("labels", [[], [(-1, 1), (None, 0), (2, None)]], ids=["empty", "none joins"])
+def test_nothing_learned_rejects_nothing(spark, tmp_path, labels):
+    rows = [(1, "One short text.", 15), (2, "And another one!", 16), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("source", F.lit("s"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import sentencepiece
 
