@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from paceline.llm.common import query, table
 from paceline.llm.lookup import Memo
@@ -23,6 +23,8 @@ MOST_MODEL_BYTES = 64 << 20
 #: Distinct stretches a task remembers (some 50 bytes each); it then begins anew.
 REMEMBERED = 1_000_000
 MARK = "▁"
+#: What names of pieces that no text may match begin with: characters that Unicode keeps out of texts.
+HIDDEN = "\U0010ffff\ufdd0\U0010fffe\ufdd1" * 4
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -111,8 +113,14 @@ class Model:
         across = any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p, re.S) for p in text)
         return self.kind == BPE and self.escape_spaces and not (across or self.charsmap or self.trim_spaces)
 
-    def tokenizer(self, prefix: bool = True):
-        """The model in the tokenizers library; without ``prefix`` no mark is set before a text."""
+    def tokenizer(self, prefix: bool = True, typed: bool = True):
+        """The model in the tokenizers library; without ``prefix`` no mark is set before a text.
+
+        Under a unigram model, the names of control, byte and unused pieces
+        would match where they are typed into a text.  Without ``typed`` they
+        don't, and characters outside the model come as unknown tokens with
+        their text; see ``Unigram``.
+        """
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         if self.kind == BPE:
@@ -120,7 +128,9 @@ class Model:
             made = Tokenizer(models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True,
                                         byte_fallback=self.byte_fallback))
         elif self.kind == UNIGRAM:
-            made = Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback))
+            least = min((s for _, s, kind in self.pieces if kind == NORMAL), default=0.0)
+            named = [(p, s) if typed or kind in (NORMAL, USER) else (f"{HIDDEN}{i}", least) for i, (p, s, kind) in enumerate(self.pieces)]
+            made = Tokenizer(models.Unigram(named, self.unknown, self.byte_fallback and typed))
         else:
             raise ValueError("only unigram and BPE models are supported")
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
@@ -136,6 +146,24 @@ class Model:
         return made
 
 
+class Unigram:
+    """Encodes with a unigram model; characters outside it become byte pieces if it has them."""
+
+    def __init__(self, model: Model):
+        self.made, self.unknown = model.tokenizer(typed=False), model.unknown
+        places = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        self.bytes = [places.get(f"<0x{b:02X}>", model.unknown) for b in range(256)] if model.byte_fallback else None
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for e in self.made.encode_batch(texts, add_special_tokens=False):
+            ids = e.ids
+            if self.bytes and self.unknown in ids:
+                ids = [i for n, t in zip(ids, e.tokens, strict=True) for i in ([self.bytes[b] for b in t.encode()] if n == self.unknown else [n])]
+            out.append(ids)
+        return out
+
+
 class Codec:
     """Encodes and decodes batches with the rebuilt tokenizer, and holds it against the model's own library."""
 
@@ -145,6 +173,7 @@ class Codec:
         os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
         self.model, self.threads = Model.parse(data), threads
         self.splits = self.model.splits()
+        self.unigram = Unigram(self.model) if self.model.kind == UNIGRAM else None
         self.whole, self.bare = None, self.model.tokenizer(prefix=False) if self.splits else None
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.memo = Memo(REMEMBERED)
@@ -171,13 +200,14 @@ class Codec:
 
     def _run(self, tokenizer, texts: list[str], given: list[str] | None = None, head: int = 0, tail: int = 0):
         """Ids and checks.  ``given`` is what the own library gets; its first ``head`` and last ``tail`` ids don't count."""
-        ids = [e.ids if t else [] for e, t in zip(
-            tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+        got = self.unigram.encode(texts) if self.unigram else [
+            e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [i if t else [] for i, t in zip(got, texts, strict=True)]
         decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
         want = self.own.encode(texts if given is None else given, num_threads=self.threads)
         want = [w[head : len(w) - tail] for w in want]
         same = np.array([i == w for i, w in zip(ids, want, strict=True)], bool)
-        return ([np.array(w, np.int32) for w in want],
+        return ([np.array(i, np.int32) for i in ids],
                 np.array([a == b.replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)], bool), same)
 
     def _stretches(self, texts: list[str]):
@@ -244,14 +274,17 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", threads: int = 1) -> DataFrame:
+def _threads(docs: DataFrame, threads: int | None) -> int:
+    return threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+
+
+def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", threads: int | None = None) -> DataFrame:
     """``docs`` with three columns more: ids, round_trip (they decode to the text, its marks read as spaces) and
-    parity (the rebuilt tokenizer and the model's own library give the same ids; where they differ, as for the
-    names of control or byte pieces typed into a text under a unigram model, ids are the own library's).
+    parity (the model's own library gives the same ids; it is a check only).
 
     The model file's pieces, scores, normaliser, space mark and byte fallback
     are rebuilt in the tokenizers library, whose batches run on ``threads``
-    threads.  If no piece crosses a stretch (a word with its spaces, a line
+    threads, as many as a task has cores (``spark.task.cpus``) if not given.  If no piece crosses a stretch (a word with its spaces, a line
     end), a batch's distinct stretches are encoded and checked once each.
     Input columns of the new names are replaced.
 
@@ -263,6 +296,7 @@ def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", threads: in
                          F.col(text).alias("text"))
     schema = StructType([*packed.schema.fields, *new])
     arrow, sent = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
+    threads = _threads(docs, threads)
 
     def run(frames):
         codec = Codec(sent.value, threads)  # one a task, so that its memory doesn't outlive it
@@ -281,6 +315,35 @@ def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", threads: in
         "ids", "round_trip", "parity")
 
 
+def decode_pieces(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "text", threads: int | None = None) -> DataFrame:
+    """``docs`` with the texts that a column of ids stands for, decoded in batches by the rebuilt tokenizer.
+
+    Control pieces have no text; an unknown piece reads as its name.  NULL ids
+    give NULL, no ids the empty text; an id outside the model, or NULL among
+    ids, is an error.  An input column named like the new one is replaced.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("_")).alias("rest")
+    packed = docs.select(rest, F.col(f"`{ids}`").cast("array<int>").alias("ids"))
+    schema = StructType([packed.schema["rest"], StructField("text", StringType())])
+    arrow, sent = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
+    threads = _threads(docs, threads)
+
+    def run(frames):
+        os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
+        parsed = Model.parse(sent.value)
+        made, silent = parsed.tokenizer(), {i for i, p in enumerate(parsed.pieces) if p[2] == CONTROL}
+        for f in frames:
+            rows = f.column("ids").to_pylist()
+            if any(i is None or not 0 <= i < len(parsed.pieces) for row in rows for i in row or ()):
+                raise ValueError("an id is not one of the model's")
+            texts = made.decode_batch([[i for i in row or () if i not in silent] for row in rows], skip_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([f.column("rest"), pa.array(
+                [None if row is None else t for row, t in zip(rows, texts, strict=True)], pa.string())], schema=arrow)
+
+    return packed.mapInArrow(run, schema).select(
+        *[F.col("rest").getField(c).alias(c) for c in docs.columns if c != text], F.col("text").alias(text))
+
+
 MODEL_PATH = os.environ.get("PACELINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 

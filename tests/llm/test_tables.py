@@ -186,6 +186,42 @@ def test_pieces_equal_the_own_library(spark, data):
     assert pieces.encode_pieces(df.limit(0), data).count() == 0
 
 
+@pytest.mark.parametrize("data", [pieces.load_model(pieces.MODEL_PATH), unigram_model()], ids=["bpe", "unigram"])
+def test_ids_are_the_rebuilt_tokenizers_own(spark, data):
+    import sentencepiece
+
+    texts = [*TEXTS, "<s>", "a <s>ab<0x41> b", "<unk> é<unk>", "q<s"]
+    codec = pieces.Codec(data)
+    codec.own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    ids, back, same = codec.run(texts)
+    assert [i.tolist() for i in ids] == [codec.own.encode(t or "") for t in texts] and back.all() and same.all()
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[0] for _ in texts]
+
+    codec = pieces.Codec(data)
+    codec.own, codec.line = Other(), 0
+    others, _, same = codec.run(texts)
+    assert [i.tolist() for i in others] == [i.tolist() for i in ids] and not same[4:].any()
+
+
+@pytest.mark.parametrize("data", [pieces.load_model(pieces.MODEL_PATH), unigram_model()], ids=["bpe", "unigram"])
+def test_decoding_a_column(spark, data):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [t for t in TEXTS if t is not None]
+    rows = [*enumerate(own.encode(t) for t in texts), (90, None), (91, [1, *own.encode("a b")] if own.is_control(1) else own.encode("a b"))]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumns({"text": F.lit("x"), "rest": F.lit(2)})
+    out = {r.doc_id: r for r in pieces.decode_pieces(df, data).collect()}
+    assert [out[i].text for i in range(len(texts))] == [own.decode(i) for _, i in rows[: len(texts)]]
+    assert out[90].text is None and out[91].text == "a b" and out[0].rest == 2
+    with pytest.raises(Exception, match="not one of the model"):
+        pieces.decode_pieces(spark.createDataFrame([(1, [10**7])], "doc_id long, ids array<int>"), data).collect()
+    assert pieces.decode_pieces(df.limit(0), data).count() == 0
+
+
 def test_model_parsing():
     model = pieces.Model.parse(unigram_model())
     assert (model.kind, model.byte_fallback, model.unknown, model.trim_spaces) == (pieces.UNIGRAM, True, 0, False)
