@@ -74,13 +74,15 @@ def spans_text(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
-                 repository: Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+                 repository: Column | None = None, copied_owners: int = COPIED_OWNERS,
+                 copied_repos: int | None = None) -> DataFrame:
     """Secrets of every text, each with the number of repositories and owners that hold its value.
 
     Returns one row per input row: doc_id, base (spans of the three base
     kinds), spans (base and added spans with value hash, n_repos, n_owners,
     live).  A value held by fewer than ``copied_owners`` owners looks live,
-    others are copied examples.  The method adds bare tokens (kind ``token``)
+    others are copied examples; with ``copied_repos``, so is a value in that
+    many repositories, however few their owners.  The method adds bare tokens (kind ``token``)
     that no base span covers, if they look live.
 
     A repository defaults to owner and language.  NULL text is empty; a NULL
@@ -110,7 +112,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
         F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_seen"))
 
     spans = found.filter(F.size("base") + F.size("bare") > 0).select("row", F.explode(F.concat("base", "bare")).alias("s"))
-    judged = spans.select("row", "s.*").join(spread, "hash").withColumn("live", F.col("n_owners") < copied_owners)
+    few = (F.col("n_owners") < copied_owners) & (F.lit(True) if copied_repos is None else F.col("n_repos") < copied_repos)
+    judged = spans.select("row", "s.*").join(spread, "hash").withColumn("live", few)
     judged = judged.filter((F.col("rank") < 3) | F.col("live"))
     shown = F.struct("start", "rank", "stop", "kind", "hash", "n_repos", "n_owners", "n_seen", "live")
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(shown)).alias("spans"))

@@ -86,6 +86,14 @@ def test_ownership_splits_copied_from_live(spark):
     assert all(r.spans == [] for r in secrets.scan_secrets(wide).collect())
 
 
+def test_repositories_split_copied_from_live(spark):
+    rows = [(i, f"token={HEX}", "hot", f"l{i}") for i in range(5)] + [(9, "secret=mine-only", "hot", "l0")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
+    for most, live in ((None, True), (6, True), (5, False)):
+        out = {r.doc_id: r.spans for r in secrets.scan_secrets(df, copied_repos=most).collect()}
+        assert [(s.n_repos, s.n_owners, s.live) for s in out[0]] == [(5, 1, live)] * 2 and out[9][0].live
+
+
 def test_masking(spark):
     bare = "Zz9" * 12
     texts = [None, "", f"a token = {HEX}, b {HEX} c", f"say {bare} é"]
