@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import keeping, query, table
 
+#: A number in groups must not go on as another number, name or address before or behind it.
+_ALONE, _ENDS = r"(?<![0-9A-Za-z_])(?<![0-9A-Za-z][./-])", r"(?![0-9A-Za-z_@%+]|[./-][0-9A-Za-z@])"
+#: Cards in groups of digits with single spaces or hyphens, and phone numbers without a country.
+CARD = "|".join(rf"[0-9]{{4}}{s}(?:[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}|[0-9]{{6}}{s}[0-9]{{4,5}})" for s in " -")
+NATIONAL = r"(?:1[ -])?(?:\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})|[0-9]{3}\.[0-9]{3}\.[0-9]{4}"
 #: What is looked at, first alternative first; each match is then validated whole.
 CANDIDATE = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
     r"|\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}"
+    rf"|{_ALONE}(?:{CARD}|{NATIONAL}){_ENDS}"
     r"|[0-9]+(?:\.[0-9]+)+|[0-9]+(?:-[0-9]+)+|[0-9]+(?:/[0-9]+)+|[0-9]+"
 )
 KINDS = ("email", "phone", "ip", "iso_date", "day_date", "ssn", "card")
@@ -88,13 +94,13 @@ def kind_of(value: Column) -> Column:
     days = lambda d: d.isNotNull() & F.year(d).between(1800, 2199)
     return (
         F.when(value.contains("@"), "email")
-        .when(value.startswith("+") & F.length(digits).between(8, 15), "phone")
+        .when(value.startswith("+") & F.length(digits).between(8, 15) | value.rlike(f"^(?:{NATIONAL})$"), "phone")
         .when(value.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$")
               & F.forall(octets, lambda o: o.try_cast("int") <= 255), "ip")
         .when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & days(value.try_cast("date")), "iso_date")
         .when(value.rlike(r"^[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}$") & days(_day_first(value)), "day_date")
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~value.rlike(r"^(000|666|9)|-00-|-0000$"), "ssn")
-        .when(value.rlike(r"^[0-9]{13,19}$") & (F.pmod(luhn_sum(value, 1), F.lit(10)) == 0), "card")
+        .when(value.rlike(rf"^(?:[0-9]{{13,19}}|{CARD})$") & (F.pmod(luhn_sum(digits, 1), F.lit(10)) == 0), "card")
     )
 
 
@@ -125,14 +131,25 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     ssn = F.aggregate(
         F.array(permute_number((area * 99 + part(5, 2) - 1) * SSN_LOW + part(8, 4) - 1, SSN_HIGH, SSN_LOW, key, "ssn")),
         F.lit(""), lambda _, n: _ssn_text(n))
+    digits = F.regexp_replace(value, "[ -]", "")
     card = F.aggregate(
-        F.array(permute_text(F.substr(value, F.lit(1), F.length(value) - 1), key, "card")), F.lit(""),
-        lambda _, n: F.concat(n, F.pmod(-luhn_sum(n, 0), F.lit(10)).cast("string")))
+        F.array(permute_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")), F.lit(""),
+        lambda _, n: _spaced_like(value, F.concat(n, F.pmod(-luhn_sum(n, 0), F.lit(10)).cast("string"))))
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip)
             .when(kind == "iso_date", iso).when(kind == "day_date", day_first).when(kind == "ssn", ssn)
             .when(kind == "card", card))
 
 
+def _spaced_like(value: Column, digits: Column) -> Column:
+    """``digits`` with the separators of ``value`` in their places."""
+    groups = F.split(value, "[ -]")
+    start = F.struct(digits.alias("rest"), F.array().cast("array<string>").alias("parts"))
+    parts = F.aggregate(groups, start, lambda s, g: F.struct(
+        F.substr(s["rest"], F.length(g) + 1).alias("rest"),
+        F.concat(s["parts"], F.array(F.substr(s["rest"], F.lit(1), F.length(g)))).alias("parts")), lambda s: s["parts"])
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i > 0, F.regexp_extract(value, "[ -]", 0)).otherwise(""), p)), "")
+
+
 def _ssn_text(n: Column) -> Column:
     high, serial = (n / F.lit(SSN_LOW)).cast("long"), F.pmod(n, F.lit(SSN_LOW)) + 1
     area = (high / F.lit(99)).cast("long") + 1
@@ -148,7 +165,12 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     stop in the input text, pseudonym).  A value keeps its format (card numbers
     their check digit, addresses their range, dates their notation) and is
     permuted by a keyed Feistel network, so that equal values stay equal across
-    documents and different ones differ.  Candidates that fail validation stay
+    documents and different ones differ.  Cards are 13 to 19 digits, or groups
+    of 4-4-4-4, 4-6-5 or 4-6-4 with one kind of separator (the pseudonym is that
+    of the digits alone); phones have a leading + or are like (555) 123-4567,
+    555-123-4567 or 555.123.4567, the first two with or without a 1 before.  Other groupings
+    and national numbers without brackets, hyphens or points are not known:
+    they can't be told from other numbers.  Candidates that fail validation stay
     as they are.  No row meets another: nothing is shuffled.
 
     NULL text stays NULL and has no finds; empty input gives no rows; repeated

@@ -144,6 +144,23 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
+def test_cards_in_groups_and_national_phones(spark):
+    texts = ["4111111111111111", "a 4111 1111 1111 1111, 4111-1111-1111-1111.", "3782 822463 10005 and 3056-930902-5904", "4111 1111 1111 1111 123",
+             "(555) 123-4567 555-123-4567 1-555-123-4567 555.123.4567", "4111 1111 1111 1112 4111-1111 1111-1111",
+             "4111 1111 1111 1111 10.0.0.1 4111 1111 1111 2020-02-29 1-4111-1111-1111-1111", "id-555-123-4567 555-123-4567-8 12555-123-4567"]
+    out = _apply(spark, texts)
+    kinds = [[f.kind for f in r.found] for r in out]
+    assert kinds == [["card"], ["card"] * 2, ["card"] * 2, ["card"], ["phone"] * 4, [], ["card", "ip", "iso_date"], ["phone"]]  # "id-" before a number is no reason to leave it
+    plain = out[0].text
+    grouped = lambda s: s.join(plain[i : i + 4] for i in range(0, 16, 4))
+    assert out[1].text == f"a {grouped(' ')}, {grouped('-')}." and out[3].text == f"{grouped(' ')} 123" and plain != texts[0]
+    assert re.fullmatch(r"\d{4} \d{6} \d{5} and \d{4}-\d{6}-\d{4}", out[2].text) and out[2].text != texts[2]
+    assert all(_luhn(re.sub("[ -]", "", f.pseudonym)) for r in out for f in r.found if f.kind == "card")
+    assert re.fullmatch(r"\(\d{3}\) \d{3}-\d{4} \d{3}-\d{3}-\d{4} \d-\d{3}-\d{3}-\d{4} \d{3}\.\d{3}\.\d{4}", out[4].text)
+    for text, r in zip(texts, out, strict=True):
+        assert all(text[f.start : f.stop] != f.pseudonym == r.text[f.start : f.stop] for f in r.found if f.kind in ("card", "phone"))
+
+
 def test_permutations_are_bijections(spark):
     n = spark.range(30 * 7).select("id", pseudonyms.permute_number(F.col("id"), 30, 7, "k", "x").alias("to"))
     assert sorted(r.to for r in n.collect()) == list(range(210))
