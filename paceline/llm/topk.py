@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,8 @@ from paceline.llm.common import Staged, keeping, query, table
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Rotated components that are summed before a bound is tried.
 HEAD = 16
-#: Quantised components are held to this range, so that sums of products fit a long.
-MOST = 1 << 28
+#: Scores may come up to this, by the lengths of vectors; a little below what a long holds, as lengths are rounded.
+LARGEST = float(1 << 63) * (1 - 1e-9)
 #: Relative slack of bounds for rounding in floating point.
 SLACK = 1e-6
 
@@ -25,8 +27,7 @@ PACKED = "part int, n int, top double, ids binary, data binary"
 def quantised(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component, as longs; NULL if the vector or a component is NULL or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(vector, lambda x: F.greatest(
-        F.lit(-MOST), F.least(F.lit(MOST), F.floor(F.lit(scale) * x.cast("double")))).cast("long"))
+    whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     return F.when(~bad, whole)
 
 
@@ -50,7 +51,7 @@ def _gram(width: int):
     return run
 
 
-def _pack(width: int, most: int):
+def _pack(width: int, most: int, kind):
     """Rows of one partition, in order, as blocks of at most ``most`` vectors."""
 
     def run(frames):
@@ -62,7 +63,7 @@ def _pack(width: int, most: int):
             top = float(np.sqrt((v.astype(float) ** 2).sum(1).max()))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([len(i)], pa.int32()), pa.array([top]), pa.array([i.tobytes()], pa.binary()),
-                 pa.array([v.astype(np.int32).tobytes()], pa.binary())], names=["part", "n", "top", "ids", "data"])
+                 pa.array([v.astype(kind).tobytes()], pa.binary())], names=["part", "n", "top", "ids", "data"])
 
         for f in frames:
             if not f.num_rows:
@@ -106,7 +107,7 @@ def _matrix(cell: pa.Scalar, n: int, kind) -> np.ndarray:
     return np.frombuffer(cell.as_py(), kind).reshape(n, -1)
 
 
-def _seed(turn: np.ndarray, k: int, tops: np.ndarray):
+def _seed(turn: np.ndarray, k: int, tops: np.ndarray, kind):
     """The score each query of a block must reach, and how many parts of the vectors can hold it."""
 
     def run(frames):
@@ -114,8 +115,8 @@ def _seed(turn: np.ndarray, k: int, tops: np.ndarray):
             out = []
             for r in range(f.num_rows):
                 n, m = f.column("qn")[r].as_py(), f.column("n")[r].as_py()
-                q_ids, q = _matrix(f.column("qids")[r], n, np.int64)[:, 0], _matrix(f.column("qdata")[r], n, np.int32).astype(np.int64)
-                v_ids, v = _matrix(f.column("ids")[r], m, np.int64)[:, 0], _matrix(f.column("data")[r], m, np.int32).astype(np.int64)
+                q_ids, q = _matrix(f.column("qids")[r], n, np.int64)[:, 0], _matrix(f.column("qdata")[r], n, kind).astype(np.int64)
+                v_ids, v = _matrix(f.column("ids")[r], m, np.int64)[:, 0], _matrix(f.column("data")[r], m, kind).astype(np.int64)
                 at, _, score = _best(q_ids, q, v_ids, v, turn, k, np.full(n, -np.inf))
                 count = np.bincount(at, minlength=n)
                 last = np.cumsum(count) - 1
@@ -131,15 +132,15 @@ def _seed(turn: np.ndarray, k: int, tops: np.ndarray):
     return run
 
 
-def _meet(turn: np.ndarray, k: int):
+def _meet(turn: np.ndarray, k: int, kind):
     """The best pairs of each block of queries and block of vectors."""
 
     def run(frames):
         for f in frames:
             for r in range(f.num_rows):
                 n, m = f.column("qn")[r].as_py(), f.column("n")[r].as_py()
-                q_ids, q = _matrix(f.column("qids")[r], n, np.int64)[:, 0], _matrix(f.column("qdata")[r], n, np.int32).astype(np.int64)
-                v_ids, v = _matrix(f.column("ids")[r], m, np.int64)[:, 0], _matrix(f.column("data")[r], m, np.int32).astype(np.int64)
+                q_ids, q = _matrix(f.column("qids")[r], n, np.int64)[:, 0], _matrix(f.column("qdata")[r], n, kind).astype(np.int64)
+                v_ids, v = _matrix(f.column("ids")[r], m, np.int64)[:, 0], _matrix(f.column("data")[r], m, kind).astype(np.int64)
                 at, to, score = _best(q_ids, q, v_ids, v, turn, k, _matrix(f.column("least")[r], n, np.float64)[:, 0])
                 row = (f.column("q")[r].as_py() << 16) + at  # a query row, also where ids repeat
                 yield pa.RecordBatch.from_arrays(
@@ -168,7 +169,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
 
     Vectors that are NULL or hold NULL or non-finite components take no part,
     nor do NULL ids; shorter vectors count as filled up with zeros; components
-    are held to +-2^28 after scaling; repeated ids are rows of their own (a query
+    keep their values, and where a query and a vector are so long that a score
+    might not fit a long, an error is raised; repeated ids are rows of their own (a query
     leaves out all rows of its id); empty input gives no rows.
     """
     staged = Staged(vectors.sparkSession, "topk")
@@ -176,8 +178,13 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = staged.put("rows", rows.withColumn("norm", norm))
-    count, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    zero = lambda x: F.coalesce(F.max(x), F.lit(0))
+    count, width, top, top_asked = rows.agg(
+        F.count(F.lit(1)), zero(F.size("v")), zero("norm"), zero(F.when(F.col("ask"), F.col("norm")))).first()
     width = max(int(width), 1)
+    if math.sqrt(top) * math.sqrt(top_asked) >= LARGEST:
+        raise ValueError("the vectors are too long for whole-number scores of 64 bits")
+    kind = np.int32 if top < 1 << 60 else np.int64
     sums = rows.select("v").mapInArrow(_gram(width), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
     gram = np.zeros(width * width)
     gram[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
@@ -186,20 +193,20 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, vec_id:
     # Sorting by id too splits runs of equal length.
     parts = max(1, -(-int(count) // block))
     numbered = rows.repartitionByRange(parts, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
-    packed = staged.put("blocks", numbered.select(F.spark_partition_id().alias("part"), "id", "v").mapInArrow(_pack(width, block), PACKED))
+    packed = staged.put("blocks", numbered.select(F.spark_partition_id().alias("part"), "id", "v").mapInArrow(_pack(width, block, kind), PACKED))
     longest = {r["part"]: r["top"] for r in packed.groupBy("part").agg(F.max("top").alias("top")).toLocalIterator()}
     tops = np.array([longest.get(p, 0.0) for p in range(max(longest, default=-1) + 1)])
 
     asking = rows.filter("ask").withColumn("part", F.spark_partition_id()).select("part", "id", "v")
-    queries = staged.put("queries", asking.mapInArrow(_pack(width, query_block), PACKED).select(
+    queries = staged.put("queries", asking.mapInArrow(_pack(width, query_block, kind), PACKED).select(
         F.monotonically_increasing_id().alias("q"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata")))
     block_one = packed.orderBy(F.desc("top"), "part").limit(1).select("n", "ids", "data")
     seeds = queries.withColumn("one", F.lit(1)).join(
         F.broadcast(block_one.withColumn("one", F.lit(1))), "one")
-    seeds = seeds.mapInArrow(_seed(turn, k, tops), "q long, last int, least binary")
+    seeds = seeds.mapInArrow(_seed(turn, k, tops, kind), "q long, last int, least binary")
     visits = queries.join(seeds.filter("last >= 0"), "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
     met = visits.drop("last").join(packed.select("part", "n", "ids", "data"), "part").mapInArrow(
-        _meet(turn, k), "row long, query_id long, vec_id long, score long")
+        _meet(turn, k, kind), "row long, query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -59,6 +59,23 @@ def test_topk(spark, block):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in one) == [(1, 1, 2), (2, 1, 1)]
 
 
+@pytest.mark.parametrize("size", [1e6, 3e6])
+def test_topk_of_extreme_vectors(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) * (size if i % 3 else 1)).tolist()) for i in range(40)] + [(50, [-size, size, 0.5, 0.0]), (51, [size, -size, 0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.top_inner_products(df, F.col("vec_id") % 10 == 0, 5, block=7).collect()
+    whole, want = [(i, [math.floor(256 * x) for x in v]) for i, v in rows], []
+    for i, q in whole:
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:5]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(want)
+    wide = spark.createDataFrame([(0, [size] * 4), (1, [1e9] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too long"):
+        topk.top_inner_products(wide.union(wide.filter("vec_id = 1").withColumn("vec_id", F.lit(10))), F.col("vec_id") % 10 == 0)
+
+
 # -- tool calls ------------------------------------------------------------
 
 CALLS = "conv_id long, seq long, call_id string, parent_id string, name string, arguments string, level string"
