@@ -99,7 +99,7 @@ def call_levels(calls: DataFrame, staged: Staged) -> DataFrame:
     return steps.select("conv_id", "key", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every: bool = False) -> DataFrame:
     """Every call with its result.
 
     calls: conv_id, seq, call_id, parent_id (the call whose result it builds
@@ -116,16 +116,23 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     come from pointer doubling: no conversation is gathered anywhere.
 
     Of several calls or results with one identifier the first by seq counts
-    (n_results tells how many there were); a NULL identifier is its own, never
+    (n_results tells how many there were).  With ``every``, the others are rows
+    of their own, without a level: duplicate_call (with its arguments and
+    errors) and extra_result (with its content).  A NULL identifier is its own, never
     linked; a NULL conversation is one conversation; NULL arguments are
     not_json, a NULL name is an unknown_tool; empty tables are fine.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("call_id")), F.concat(F.lit("#"), F.coalesce(F.col("seq").cast("string"), F.lit(""))))
     conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("#"))
     staged = Staged(calls.sparkSession, "toolcalls")
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        """Rows with numbers that stay, to find those that don't come first; NULL numbers if nobody asks for them."""
+        return staged.put(name, rows.withColumn("row", F.monotonically_increasing_id())) if every else rows.withColumn("row", F.lit(None).cast("long"))
+
     c = keeping(calls, {n: F.col(n) for n in ("conv_id", "seq", "call_id", "parent_id", "name", "arguments")})
-    c = c.withColumns({"conv": conv, "key": F.concat(F.lit("c"), key)}).groupBy("conv", "key").agg(
-        F.min(F.struct("seq", "name", "arguments", "parent_id", "call_id", "conv_id")).alias("c"))
+    all_calls = numbered(c.withColumns({"conv": conv, "key": F.concat(F.lit("c"), key)}), "all_calls")
+    c = all_calls.groupBy("conv", "key").agg(F.min(F.struct("seq", "name", "arguments", "parent_id", "call_id", "conv_id", "row")).alias("c"))
     c = staged.put("calls", c.select("conv", "key", "c.*"))
     ids = c.select(F.col("conv").alias("conv_id"), F.col("key").alias("parent"))
     asked = c.select(F.col("conv").alias("conv_id"), "key", F.concat(F.lit("c="), F.col("parent_id")).alias("parent"))
@@ -136,8 +143,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         known.select(F.col("conv_id").alias("conv"), "key", F.col("parent").isNull().alias("rootless")), ["conv", "key"])
 
     r = keeping(results, {n: F.col(n) for n in ("conv_id", "seq", "call_id", "content")})
-    r = r.withColumns({"conv": conv, "key": F.concat(F.when(F.col("call_id").isNull(), "r").otherwise("c"), key)}).groupBy("conv", "key").agg(
-        F.min(F.struct("seq", "content", "call_id", "conv_id")).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    all_results = numbered(r.withColumns({"conv": conv, "key": F.concat(F.when(F.col("call_id").isNull(), "r").otherwise("c"), key)}), "all_results")
+    r = all_results.groupBy("conv", "key").agg(
+        F.min(F.struct("seq", "content", "call_id", "conv_id", "row")).alias("r"), F.count(F.lit(1)).alias("n_results"))
     both = c.withColumn("has_call", F.lit(True)).join(r, ["conv", "key"], "full_outer")
     has_call, has_result = F.coalesce("has_call", F.lit(False)), F.col("r").isNotNull()
     status = (F.when(~has_call, "orphan").when(F.col("level").isNull(), "ring")
@@ -147,6 +155,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         F.coalesce("conv_id", "r.conv_id").alias("conv_id"), "level", F.coalesce("seq", "r.seq").alias("seq"),
         F.coalesce("call_id", "r.call_id").alias("call_id"), "name", "arguments", F.col("r.content").alias("content"),
         status.alias("status"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), has_call.alias("has_call"))
+    if every:  # the rest meets the first ones by row number, so that no identifier is a hot key
+        none = F.lit(None)
+        again = all_calls.join(c.select("row"), "row", "left_anti").select(
+            "conv_id", none.cast("int").alias("level"), "seq", "call_id", "name", "arguments", none.cast("string").alias("content"),
+            F.lit("duplicate_call").alias("status"), F.lit(0).cast("long").alias("n_results"), F.lit(True).alias("has_call"))
+        extra = all_results.join(r.select("r.row"), "row", "left_anti").select(
+            "conv_id", none.cast("int").alias("level"), "seq", "call_id", none.cast("string").alias("name"), none.cast("string").alias("arguments"),
+            "content", F.lit("extra_result").alias("status"), F.lit(0).cast("long").alias("n_results"), F.lit(False).alias("has_call"))
+        rows = rows.unionByName(again).unionByName(extra)
     schema = StructType([*rows.schema.fields, StructField("errors", ArrayType(StringType())), StructField("json", StringType())])
     return rows.mapInArrow(_write(schemas, to_arrow_schema(schema)), schema).select(
         "conv_id", "level", "seq", "call_id", "name", "status", "n_results", "errors", "json")
@@ -199,5 +216,5 @@ SELECT conv_id, level, seq, call_id, name, status, n_results, errors, '{"argumen
 
 @query("op6_tool_calls", TOOL_CALLS_SQL)
 def op6_tool_calls(spark, sf_dir):
-    out = link_tool_calls(*calls_of_turns(table(spark, sf_dir, "conversations")), SCHEMAS)
+    out = link_tool_calls(*calls_of_turns(table(spark, sf_dir, "conversations")), SCHEMAS, every=True)
     return out.withColumn("errors", F.array_join("errors", ","))

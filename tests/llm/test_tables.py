@@ -110,6 +110,22 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+def test_no_repeated_call_or_result_is_lost(spark):
+    calls = [(1, 2, "a", None, "get", '{"n": 1}', "x"), (1, 4, "a", None, "get", '{"n": 12}', "x"), (1, 4, "a", None, "get", '{"n": 12}', "x"),
+             (1, 5, None, None, "get", "{}", "x"), (1, 5, None, None, "get", "[]", "x"), (None, 1, "a", "b", "get", '{"n": 2}', "x")]
+    results = [(1, 3, "a", "first"), (1, 6, "a", "second"), (1, 7, "a", None), (2, 1, "lost", "one"), (2, 2, "lost", "two")]
+    made = spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS)
+    out = toolcalls.link_tool_calls(*made, TOOL, every=True).collect()
+    told = lambda status: sorted((r.conv_id or 0, r.seq, json.loads(r.json)["arguments"], json.loads(r.json)["result"], r.level)
+                                 for r in out if r.status == status)
+    assert told("linked") == [(1, 2, {"n": 1}, "first", 0)] and told("orphan") == [(2, 1, None, "one", None)]
+    assert told("duplicate_call")[:2] == [(1, 4, {"n": 12}, None, None)] * 2 and len(told("duplicate_call")) == 3
+    assert told("extra_result") == [(1, 6, None, "second", None), (1, 7, None, None, None), (2, 2, None, "two", None)]
+    assert [r.errors for r in out if r.status == "duplicate_call" and r.call_id] == [["range:n"]] * 2
+    assert len(out) == len(calls) + len(results) - 1
+    assert len(toolcalls.link_tool_calls(*made, TOOL).collect()) == 4
+
+
 def test_turns_as_calls(spark):
     turns = duckdb.sql("SELECT conv_id, turn, role, text FROM '/root/testdata/sf0.001/conversations.parquet'").fetchall()
     df = spark.createDataFrame([*turns, (-1, 1, "assistant", None), (-1, 2, "user", "")], "conv_id long, turn long, role string, text string")
