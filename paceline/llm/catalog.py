@@ -4,6 +4,7 @@ import corpus_pipeline
 from paceline.llm import (  # noqa: F401  (register queries)
     ctw,
     decontaminate,
+    lines,
     neardup,
     pieces,
     pseudonyms,
