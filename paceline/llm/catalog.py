@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from paceline.llm import (  # noqa: F401  (register queries)
+    codes,
     ctw,
     decontaminate,
     lines,
@@ -9,6 +10,7 @@ from paceline.llm import (  # noqa: F401  (register queries)
     pieces,
     pseudonyms,
     quality,
+    resampling,
     secrets,
     sharding,
     toolcalls,
