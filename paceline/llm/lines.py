@@ -57,7 +57,8 @@ def dropped_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     own = Window.partitionBy("key", "id").orderBy("version", "pos")
     firsts = ranged.withColumn("first", (F.row_number().over(own) == 1).cast("long"))
     shared = firsts.groupBy("key").agg(F.sum("first").alias("documents"), F.max("id").alias("last"))
-    shared = shared.filter(F.col("documents") >= least_documents).select("key", "last")
+    # Stored, so that the join below deals both sides anew and Spark can split the places of a common key.
+    shared = staged.put("shared", shared.filter(F.col("documents") >= least_documents).select("key", "last"))
     lost = places.join(shared, "key").filter(~F.col("id").eqNullSafe(F.col("last")))
     lost = lost.groupBy("id", "version").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     lost = staged.put("lost", lost)
