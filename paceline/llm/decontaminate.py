@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from paceline.llm.common import Staged, keeping, query, table
 from paceline.llm.lookup import Lookup
-from paceline.llm.words import PLAIN, Words, batches, texts_of
+from paceline.llm.words import PLAIN, Words, batches, range_hashes, same_ranges, texts_of
 
 WINDOW = 10
 #: Words of test items in one automaton (some 150 MB); more items take further passes over the texts.
@@ -27,12 +27,19 @@ class Automaton:
     occurs in some item.  ``ended`` names the windows that end there.
     """
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        known = np.unique(np.concatenate([w for _, w in items])) if items else np.empty(0, np.uint64)
-        self.vocabulary = Lookup(known)
+        number = {w: n for n, w in enumerate(sorted({w for _, words in items for w in words}))}
+        self.data = np.frombuffer(b"".join(number), np.uint8)
+        self.stop = np.cumsum([len(w) for w in number], dtype=np.int64)
+        self.start = np.concatenate(([0], self.stop[:-1])).astype(np.int64)[: len(self.stop)]
+        hashes, self.salt = range_hashes(self.data, self.start, self.stop), 0
+        while len(np.unique(hashes)) < len(hashes):
+            self.salt += 1
+            hashes = range_hashes(self.data, self.start, self.stop, self.salt)
+        self.vocabulary = Lookup(hashes)
         self.next, self.link, self.length = [{}], [-1], [0]
-        coded = [(i, self.vocabulary.find(w).tolist()) for i, w in items]
+        coded = [(i, [number[w] for w in words]) for i, words in items]
         for _, codes in coded:
             last = 0
             for c in codes:
@@ -48,6 +55,15 @@ class Automaton:
                 if run >= size:
                     self.windows.setdefault(self._holder(state, size), {}).setdefault(size, set()).add(item)
 
+    def numbers(self, words: Words) -> np.ndarray:
+        """The number of each word, -1 if no item has it: found by hash, then compared byte by byte."""
+        codes = self.vocabulary.find(words.hashes(self.salt))
+        known = np.flatnonzero(codes >= 0)
+        to = codes[known]
+        same = same_ranges(words.data, words.start[known], words.stop[known], self.data, self.start[to], self.stop[to])
+        codes[known[~same]] = -1
+        return codes
+
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if c in nxt[last]:
@@ -131,18 +147,21 @@ class Automaton:
         return found
 
 
-def _chunks(items: DataFrame, most: int) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """Test items with their words' hashes, in lists of bounded size; an item of more words is alone."""
-    held, size = [], 0
+def _chunks(items: DataFrame, most: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Test items with their words, in lists of at most ``most`` words; a longer item comes in stretches that share all but one
+    word of a window, so that each of its windows is whole in one of them."""
+    held, size, most = [], 0, max(most, window)
     for row in items.toLocalIterator():
-        words = Words([row[1]], PLAIN).hashes()
-        if not len(words):
-            continue
-        if held and size + len(words) > most:
-            yield held
-            held, size = [], 0
-        held.append(("" if row[0] is None else row[0], words))
-        size += len(words)
+        found = Words([row[1]], PLAIN)
+        data, name = found.data.tobytes(), "" if row[0] is None else row[0]
+        words = [data[b:e] for b, e in zip(found.start.tolist(), found.stop.tolist(), strict=True)]
+        for low in range(0, max(len(words) - window + 1, min(len(words), 1)), most - window + 1):
+            part = words[low : low + most]
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            held.append((name, part))
+            size += len(part)
     yield held
 
 
@@ -161,7 +180,7 @@ def _pass(automaton, schema: pa.Schema):
         a: Automaton = automaton.value
         for frame in batches(frames):
             words = Words(texts_of(frame), PLAIN)
-            found = a.scan(a.vocabulary.find(words.hashes()), words.first)
+            found = a.scan(a.numbers(words), words.first)
             marks, items = frame.column("marks").to_pylist(), frame.column("items").to_pylist()
             for t, (mark, names) in found.items():
                 for b, e in zip(marks[t][::2], marks[t][1::2], strict=True):
@@ -186,9 +205,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str | list[str] = "doc
     marks (flat [begin, end) word ranges covered by occurring windows) and
     items (ids, as strings, of items with an occurring window).
 
-    Items are read in chunks of at most ``automaton_words`` words; only one
-    chunk's automaton is on the driver or in a worker at a time, whatever the
-    number of items, and every chunk sees every text.
+    Items are read in chunks of at most ``automaton_words`` words, long items
+    cut with an overlap; only one chunk's automaton is on the driver or in a
+    worker at a time, whatever the number and length of items, and every chunk
+    sees every text.  Words are looked up by hash and compared in full.
 
     NULL and empty texts have no words; NULL or empty items none to find; a
     NULL item id counts as the empty string; repeated items count once; no
@@ -202,7 +222,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str | list[str] = "doc
     arrow = to_arrow_schema(schema)
     wanted = items.select(F.col(item_id).cast("string"), F.col(item_text))
     staged, spark = Staged(docs.sparkSession, "leaks"), docs.sparkSession
-    for n, chunk in enumerate(_chunks(wanted, automaton_words)):
+    for n, chunk in enumerate(_chunks(wanted, automaton_words, window)):
         if n:  # the pass before ends first, so that two automata never share a worker
             rows = staged.put(f"pass{n}", rows)
         rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(Automaton(chunk, window)), arrow), schema)

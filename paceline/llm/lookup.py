@@ -42,11 +42,12 @@ class Lookup:
 
 
 class Memo:
-    """Grows by batches of new keys, each with a run of int32 values; a find looks through a few tables."""
+    """Grows by batches of new keys, each with its spelling and a run of int32 values; a find looks through a few tables."""
 
     def __init__(self, most: int):
         self.most, self.tables, self.size = most, [], 0
         self.first, self.pool = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.edge, self.data = np.zeros(1, np.int64), np.empty(0, np.uint8)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key, -1 where it is new."""
@@ -57,10 +58,12 @@ class Memo:
             out[todo] = np.where(got < 0, -1, got.astype(np.int64) + base)
         return out
 
-    def add(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
+    def add(self, keys: np.ndarray, spelled: list[bytes], values: list[np.ndarray]) -> None:
         self.tables.append((Lookup(keys), self.size))
         self.size += len(keys)
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(v) for v in values])))
         self.pool = np.concatenate((self.pool, *values))
+        self.edge = np.concatenate((self.edge, self.edge[-1] + np.cumsum([len(s) for s in spelled])))
+        self.data = np.concatenate((self.data, np.frombuffer(b"".join(spelled), np.uint8)))
         if len(self.tables) > 4:
             self.tables = [(Lookup(np.concatenate([t.keys for t, _ in self.tables])), 0)]

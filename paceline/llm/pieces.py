@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from paceline.llm.common import query, table
 from paceline.llm.lookup import Memo
-from paceline.llm.words import batches, give_back, range_hashes, texts_of
+from paceline.llm.words import batches, give_back, range_hashes, same_ranges, texts_of
 
 #: A model larger than this is refused, as it is sent to every executor.
 MOST_MODEL_BYTES = 64 << 20
@@ -184,8 +184,8 @@ class Codec:
         texts = [t or "" for t in texts]
         if not self.splits:
             return self._run(self._whole(), texts)
-        ids, back, same = self._stretches(texts)
-        odd = [i for i, t in enumerate(texts) if MARK in t]  # their marks can't be told from spaces
+        ids, back, same, other = self._stretches(texts)
+        odd = sorted({*other, *(i for i, t in enumerate(texts) if MARK in t)})  # marks can't be told from spaces
         if odd:
             some = [texts[i] for i in odd]
             for i, *got in zip(odd, *self._run(self._whole(), some), strict=True):
@@ -211,6 +211,7 @@ class Codec:
                 np.array([a == b.replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)], bool), same)
 
     def _stretches(self, texts: list[str]):
+        """Ids and checks of each text, and the texts with a stretch that only its hash has in common with one in the memo."""
         lead = b" " if self.model.dummy_prefix else b""
         encoded = [lead + t.encode() if t else b"" for t in texts]
         sizes = np.fromiter((len(e) for e in encoded), np.int64, len(encoded))
@@ -224,7 +225,9 @@ class Codec:
         start = np.flatnonzero(begin)
         stop = np.append(start[1:], len(data)) if len(start) else start
         hashes = range_hashes(data, start, stop)
-        number = self._known(hashes, lambda n: joined[start[n] : stop[n]].decode(), space[start])
+        number = self._known(hashes, lambda n: joined[start[n] : stop[n]], space[start])
+        same = same_ranges(data, start, stop, self.memo.data, self.memo.edge[number], self.memo.edge[number + 1])
+        other = np.unique(np.searchsorted(np.cumsum(sizes), start[~same], "right")).tolist()
         first, size = self.memo.first[number], np.diff(self.memo.first)[number]
         ends = np.cumsum(size - 2)  # the first two values are the checks
         flat = self.memo.pool[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - first, size - 2)]
@@ -233,7 +236,7 @@ class Codec:
         for k in (0, 1):
             bad = np.concatenate(([0], np.cumsum(self.memo.pool[first + k] == 0))) if len(size) else np.zeros(1, int)
             fine.append(bad[edges[1:]] == bad[edges[:-1]])
-        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], *fine
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], *fine, other
 
     def _known(self, hashes: np.ndarray, part, spaced: np.ndarray) -> np.ndarray:
         """Number of each stretch in the memo; new ones are encoded and checked first."""
@@ -250,7 +253,7 @@ class Codec:
             every = np.flatnonzero(spaced[where] == with_space).tolist()
             for low in range(0, len(every), AT_ONCE):
                 some = every[low : low + AT_ONCE]
-                parts = [part(where[n]) for n in some]
+                parts = [part(where[n]).decode() for n in some]
                 # The own library sets a mark before a text: so one leading space less, or a line end before that doesn't count.
                 if with_space and self.model.dummy_prefix:
                     got = self._run(self.bare, parts, [p[1:] + "\n" for p in parts], 0, self.line - 1)
@@ -258,7 +261,7 @@ class Codec:
                     got = self._run(self.bare, parts, ["\n" + p for p in parts], self.line)
                 for n, ids, back, same in zip(some, *got, strict=True):
                     values[n] = np.array([back, same, *ids], np.int32)
-        self.memo.add(kinds, values)
+        self.memo.add(kinds, [part(n) for n in where], values)
         return self.memo.find(hashes)
 
 

@@ -1,37 +1,24 @@
 """Words of many texts at once, as 64-bit hashes in flat arrays.
 
-All texts of a batch lie in one byte buffer.  A word's hash is a difference of
-running sums of byte times power, scaled to the word's start, then mixed with
-its length; no Python code runs for a single word.
+All texts of a batch lie in one byte buffer.  Words are hashed eight bytes at a
+time, all words of the batch together; no Python code runs for a single word
+but very long ones.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-PIECE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POW = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW.get("up", ())) < n:
-        _POW["up"], _POW["down"] = _powers(_BASE, n), _powers(_BACK, n)
-    return _POW["up"], _POW["down"]
+#: Words of more bytes are hashed one by one, by a digest.
+LONG_WORD = 512
+#: The low 0, 1, .. 8 bytes of 64 bits.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,27 +72,69 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return range_hashes(self.data, self.start, self.stop)
-
-
-def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range [start, stop); ranges are in order and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(out):
-        low = start[i]
-        j = max(int(np.searchsorted(stop, low + PIECE, "right")), i + 1)
-        high = stop[j - 1]
-        up, down = _tables(max(PIECE, int(high - low)) + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-        a, b = start[i:j] - low, stop[i:j] - low
-        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return range_hashes(self.data, self.start, self.stop, salt)
+
+
+def _words_of_eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros behind the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _eight(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return eights[at] & _MASK[np.minimum(left, 8)]
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range [start, stop).
+
+    Ranges of one length up to eight bytes never collide.  Longer ones run
+    eight bytes at a time through two chains of their own constants, very long
+    ones through a digest; with ``salt`` all hashes are other ones.
+    """
+    size = stop - start
+    eights = _words_of_eight(data)
+    key = np.uint64((salt * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93) % (1 << 64))
+    seed = mix(size.astype(np.uint64) ^ key)
+    first = _eight(eights, start, size)
+    out = mix(seed ^ first)
+    order = np.flatnonzero(size > 8)
+    order = order[np.argsort(-np.minimum(size[order], LONG_WORD + 1).astype(np.int16), kind="stable")]  # a radix sort
+    n_long = int((size > LONG_WORD).sum())
+    for i in order[:n_long].tolist():
+        digest = hashlib.blake2b(data[start[i] : stop[i]], digest_size=8, salt=salt.to_bytes(16, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    order = order[n_long:]
+    at, left = start[order], size[order]
+    a, b = out[order], mix(first[order] + seed[order] * np.uint64(0xC2B2AE3D27D4EB4F))
+    for k in range(8, int(left[0]) if len(left) else 0, 8):
+        m = int(np.searchsorted(-left, -k))
+        piece = _eight(eights, at[:m] + k, left[:m] - k)
+        a[:m] = mix(a[:m] ^ piece)
+        b[:m] = mix(b[:m] * np.uint64(0xC2B2AE3D27D4EB4F) + (piece >> np.uint64(29) | piece << np.uint64(35)))
+    out[order] = mix(a ^ (b >> np.uint64(31) | b << np.uint64(33)))
     return out
 
 
+def same_ranges(data: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each range of ``data`` holds the same bytes as the range of ``other`` beside it."""
+    size = stop - start
+    same = size == end - begin
+    one, two = _words_of_eight(data), _words_of_eight(other)
+    long = same & (size > LONG_WORD)
+    for i in np.flatnonzero(long).tolist():
+        same[i] = np.array_equal(data[start[i] : stop[i]], other[begin[i] : end[i]])
+    short = np.flatnonzero(same & ~long)
+    at, to, left = start[short], begin[short], size[short]
+    while len(short):
+        differs = _eight(one, at, left) != _eight(two, to, left)
+        same[short[differs]] = False
+        on = ~differs & (left > 8)
+        short, at, to, left = short[on], at[on] + 8, to[on] + 8, left[on] - 8
+    return same
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words; a shorter text is one shingle, an empty one has none."""
     if len(words) == 0:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paceline.llm import pieces, pseudonyms, quality, sharding, toolcalls, topk
-from paceline.llm.words import Words
+from paceline.llm.words import Words, range_hashes
 
 from . import brute
 
@@ -223,6 +223,18 @@ def unigram_model() -> bytes:
     return m.SerializeToString()
 
 
+def test_memo_hits_are_compared_byte_by_byte(monkeypatch):
+    """With a hash of eight values nearly every stretch meets another one's entry."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "range_hashes", lambda *a: range_hashes(*a) % np.uint64(8))
+    data = pieces.load_model(pieces.MODEL_PATH)
+    texts = ["the quick brown fox jumps over the lazy dog", "a b c d e f g\nh i j", None, "", "dog lazy the", " the  fox"] * 2
+    ids, back, same = pieces.Codec(data).run(texts)
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert [i.tolist() for i in ids] == [own.encode(t or "") for t in texts] and all(same)
+
+
 @pytest.mark.parametrize("data", [pieces.load_model(pieces.MODEL_PATH), unigram_model()], ids=["bpe", "unigram"])
 def test_pieces_equal_the_own_library(spark, data):
     import sentencepiece

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from paceline.llm import ctw, decontaminate, neardup, quality, secrets
 from paceline.llm.lookup import Lookup, Memo
-from paceline.llm.words import PLAIN, SPACED, Words
+from paceline.llm.words import PLAIN, SPACED, Words, range_hashes, same_ranges
 
 from . import brute
 
@@ -45,6 +45,54 @@ def test_words_equal_a_plain_split():
         assert len(set(flat)) == len(set(hashes)) == len(set(zip(flat, hashes, strict=True)))
 
 
+def mirrored(n):
+    """Two different self-similar words of 2**n letters, which sums of powers modulo 2**64 can't tell apart from n = 10 on."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_self_similar_words_apart():
+    for n in range(1, 14):
+        a, b = mirrored(n)
+        w = Words([f"{a} {b} {a} {a}x"])
+        h = w.hashes()
+        assert len({*h.tolist()}) == 3 and h[0] == h[2] and (w.hashes(1) != h).all()
+    texts = ["12345678 1234567 123456789 12345678 123456789 123456780 " + "z" * 600 + " " + "z" * 599 + "y " + "z" * 600]
+    w = Words(texts)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(9), np.arange(9)))
+    same = same_ranges(w.data, w.start[i], w.stop[i], w.data, w.start[j], w.stop[j])
+    spelled = [bytes(w.data[a:b]) for a, b in zip(w.start, w.stop, strict=True)]
+    assert same.tolist() == [spelled[x] == spelled[y] for x, y in zip(i, j, strict=True)]
+
+
+def test_items_are_found_by_their_words_even_if_hashes_collide(monkeypatch):
+    weak = lambda *a: range_hashes(*a) % np.uint64(97)
+    monkeypatch.setattr("paceline.llm.words.range_hashes", weak)
+    monkeypatch.setattr(decontaminate, "range_hashes", weak)
+    items = [("1", [b"alpha", b"beta", b"gamma"]), ("2", [b"beta", b"delta"])]
+    a = decontaminate.Automaton(items, 3)
+    text = " ".join(f"w{i}" for i in range(500)) + " Alpha beta gamma w1 beta DELTA"
+    words = Words([text], PLAIN)
+    codes = a.numbers(words)
+    assert (codes >= 0).sum() == 5
+    marks, found = a.scan(codes, words.first)[0]
+    assert found == {"1", "2"} and np.flatnonzero(marks).tolist() == [500, 501, 502, 504, 505]
+
+
+def test_self_similar_words_in_every_operator(spark):
+    a, b = mirrored(10)
+    rest = " one two three four five six seven eight nine"
+    items = spark.createDataFrame([(1, a + rest)], "item_id long, text string")
+    out = {r.doc_id: r.n_hit for r in decontaminate.leak_report(decontaminate.find_leaks(docs(spark, [a + rest, b + rest]), items)).collect()}
+    assert out == {0: 10, 1: 0}
+    pair = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(pair).collect()} == {1: 1, 2: 2, 3: 1}
+    known = ctw.ctw_scores(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), F.col("doc_id") == 1).collect()
+    assert {r.doc_id: r.n_known for r in known} == {1: 2, 2: 1}
+
+
 def test_lookups():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 62, 3000, dtype=np.uint64))
@@ -52,8 +100,10 @@ def test_lookups():
     assert (Lookup(keys[:10]).find(keys[10:]) < 0).all() and (Lookup(keys[:0]).find(keys) < 0).all()
     memo = Memo(100)
     for part in np.array_split(keys[:700], 7):
-        memo.add(part, [np.array([int(k % np.uint64(97))], np.int32) for k in part])
+        memo.add(part, [str(k).encode() for k in part], [np.array([int(k % np.uint64(97))], np.int32) for k in part])
     at = memo.find(keys[:700])
+    data = memo.data.tobytes()
+    assert [data[memo.edge[i] : memo.edge[i + 1]] for i in at[:9]] == [str(k).encode() for k in keys[:9]]
     assert memo.pool[memo.first[at]].tolist() == (keys[:700] % np.uint64(97)).tolist() and (memo.find(keys[700:]) < 0).all()
 
 
@@ -188,7 +238,7 @@ LEAKY = [*ODD, "x alpha BETA gamma delta epsilon zeta eta theta iota kappa y", "
          "say short, item short item twice Solo", "z " + "a " * 25 + "b", "gamma delta epsilon zeta eta theta iota kappa lambda nu alpha beta gamma"]
 
 
-@pytest.mark.parametrize("chunk", [200_000, 5])
+@pytest.mark.parametrize("chunk", [200_000, 12, 5])
 def test_leaks(spark, chunk):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = decontaminate.find_leaks(clashing(docs(spark, LEAKY)), items, automaton_words=chunk).collect()
