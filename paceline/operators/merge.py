@@ -18,7 +18,7 @@ from paceline.functions import parse as P
 from paceline.functions.text import is_blank, null_if_empty
 from paceline.operators.ordering import numbered_within, spread_null_key
 from paceline.operators.resolve import exact_groups, group_ids, with_group_key
-from paceline.session import cut, stage
+from paceline.session import stage
 
 
 # --- Reducers: Column aggregates over an order column ------------------------
@@ -61,8 +61,8 @@ def merge_distances(entries: DataFrame, keys: list[str]) -> DataFrame:
     distinct km values, not the rows behind them.
     """
     better = F.struct((-F.length("label")).alias("size"), F.col("label_pos").alias("label_pos"), F.col("label").alias("label"))
-    distinct = (
-        entries.groupBy(*keys, "km").agg(F.min("pos").alias("pos"), F.min(better).alias("best"))
+    distinct = (  # all steps below work within a key: one shuffle serves them
+        entries.repartition(*keys).groupBy(*keys, "km").agg(F.min("pos").alias("pos"), F.min(better).alias("best"))
         .select(*keys, "km", "pos", F.col("best.label").alias("label"), F.col("best.label_pos").alias("label_pos"))
     )
     along = Window.partitionBy(*keys).orderBy("km")
@@ -121,10 +121,11 @@ def summarize(keyed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def combine(summaries: DataFrame, keys: list[str]) -> DataFrame:
-    """Step two: summaries of several exact groups into one."""
+def combine(summaries: DataFrame, keys: list[str], *same: Column) -> DataFrame:
+    """Step two: summaries of several exact groups into one; ``same``: further aggregates, of what all have in common."""
     ord_ = F.col("first_ord")
     return summaries.groupBy(*keys).agg(
+        *same,
         F.min("first_ord").alias("first_ord"),
         F.sum("n_rows").alias("n_rows"),
         pick_longest(F.col("name"), ord_).alias("name"),
@@ -145,14 +146,14 @@ def combine(summaries: DataFrame, keys: list[str]) -> DataFrame:
 def resolve_items(items: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """Keyed rows, and ``(group_key, phase, date, first_ord, n_rows, group_id)``."""
     keyed = stage(with_group_key(items), "listings")
-    return keyed, cut(group_ids(cut(exact_groups(keyed)), **limits))
+    return keyed, stage(group_ids(stage(exact_groups(keyed), "groups"), **limits), "ids")
 
 
 def merge_scalars(keyed: DataFrame, ids: DataFrame) -> DataFrame:
     """One row per group: all fields but the distances."""
-    summaries = summarize(keyed, ["group_key", "date"])
-    led = summaries.join(ids.select("group_key", "phase", "group_id"), "group_key")
-    return combine(led, ["group_id", "phase", "date"])
+    summaries = summarize(keyed, ["group_key"])
+    led = summaries.join(ids.select("group_key", "phase", "date", "group_id"), "group_key")
+    return combine(led, ["group_id"], F.min("phase").alias("phase"), F.min("date").alias("date"))
 
 
 def distance_entries(keyed: DataFrame, ids: DataFrame) -> DataFrame:

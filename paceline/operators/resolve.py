@@ -4,25 +4,33 @@ Exact groups need no shuffle of their own: rows carry a group key.  Near
 duplicates follow a greedy rule -- groups in order, each unabsorbed group is a
 leader and absorbs every later match -- which is the lexicographically first
 maximal independent set of the match graph.  It is computed in parallel and
-exactly: see ``leader_links``.
+exactly.  Dates are independent: one of few groups is a task's work
+(``lead_date``); a larger one is solved over its match graph, cut into
+connected components that are dealt over tasks (``leader_links``).
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paceline import fixed_values as V
 from paceline.functions import text as T
 from paceline.functions.parse import url_dedup_key
+from paceline.operators.components import component_labels
 from paceline.session import stage
 
-PAIR_BUDGET = 50_000_000
+#: Composite groups of a date, and match edges, that are one task's work; candidate comparisons of a date at once.
+#: They choose the path only; results are the same.
+LOCAL_NODES = 5_000
 LOCAL_EDGES = 200_000
+PAIR_BUDGET = 50_000_000
 HOT_TOKENS = 1000
 
 
@@ -146,8 +154,8 @@ def _dense_dates(nodes: DataFrame, budget: float) -> DataFrame:
     return sizes.select("date", F.greatest("first", F.element_at("cuts", at)).alias("head_end"))
 
 
-def _greedy_by_date(edges: pd.DataFrame) -> pd.DataFrame:
-    """Sequential rule over one date's edges: (b, a) for each absorbed b."""
+def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
+    """Sequential rule over whole components: (b, a) for each absorbed b."""
     absorbed: dict[int, int] = {}
     done = None
     for a, b in edges.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):
@@ -161,37 +169,50 @@ def _anti(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return df.join(keys.select(F.col("b").alias(column)), column, "left_anti")
 
 
-def solve_edges(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Absorbed nodes and their leaders ``(b, a)`` from materialised match edges.
+def _by_rounds(edges: DataFrame, local_edges: int) -> list[DataFrame]:
+    """Tables of absorbed nodes ``b`` of components too large for one task.
 
-    A date with at most ``local_edges`` edges is one task's work.  Only larger
-    dates go by rounds, all of them at once: nodes without an open earlier
-    neighbour lead, their neighbours drop out, until what is left is small.
+    All of them go by rounds together: nodes without an open earlier neighbour
+    lead, their neighbours drop out, until what is left of a component is small.
     """
-    def large(df):
-        return stage(df.groupBy("date").count().filter(F.col("count") > local_edges).select("date"), "large-dates")
-
-    def alone(df):
-        return df.groupBy("date").applyInPandas(_greedy_by_date, "b long, a long")
-
-    big = large(edges)
-    small = alone(edges.join(big, "date", "left_anti"))
-    if big.isEmpty():
-        return small
-    hard = stage(edges.join(big, "date", "left_semi"), "hard-edges")
-    open_edges, solved = hard, []
+    open_edges, solved = edges, []
     while True:
-        big = large(open_edges)
-        solved.append(alone(open_edges.join(big, "date", "left_anti")).select("b"))
+        big = stage(open_edges.groupBy("comp").count().filter(F.col("count") > local_edges).select("comp"), "large-comps")
+        rest = open_edges.join(big, "comp", "left_anti")
+        solved.append(rest.groupBy("comp").applyInPandas(_greedy, "b long, a long").select("b"))
         if big.isEmpty():
-            break
-        open_edges = open_edges.join(big, "date", "left_semi")
+            return solved
+        open_edges = open_edges.join(big, "comp", "left_semi")
         later = open_edges.select("b").distinct()
         roots = open_edges.select("a").distinct().join(later.select(F.col("b").alias("a")), "a", "left_anti")
         hit = stage(open_edges.join(roots, "a", "left_semi").select("b").distinct(), "hit")
         solved.append(hit)
         open_edges = stage(_anti(_anti(open_edges, hit, "a"), hit, "b"), "open-edges")
-    gone = stage(reduce(DataFrame.unionAll, solved), "gone")
+
+
+def solve_edges(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Absorbed nodes and their leaders ``(b, a)`` from materialised match edges.
+
+    A date with at most ``local_edges`` edges is one task's work.  The graph of
+    a larger date is cut into its connected components, which don't depend on
+    each other: they are packed by edges into bins of about ``local_edges``,
+    one task each.  Only a component that is itself larger goes by rounds.
+    """
+    sizes = stage(edges.groupBy("date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_edges), "large-dates")
+    small = edges.join(sizes, "date", "left_anti").groupBy("date").applyInPandas(_greedy, "b long, a long")
+    if sizes.isEmpty():
+        return small
+    many = edges.join(sizes, "date")
+    comps = component_labels(many).select(F.col("node").alias("b"), "comp")
+    many = stage(many.join(comps, "b"), "many")
+    own = many.groupBy("comp").agg(F.count(F.lit(1)).alias("own")).filter(F.col("own") > local_edges).select("comp")
+    hard = stage(many.join(own, "comp", "left_semi"), "hard-edges")
+    bins = F.ceil(F.col("n") / max(local_edges, 1)).cast("int")
+    packed = many.join(own, "comp", "left_anti").withColumn("bin", F.pmod(F.xxhash64("comp"), bins))
+    small = small.unionByName(packed.groupBy("date", "bin").applyInPandas(_greedy, "b long, a long"))
+    if hard.isEmpty():
+        return small
+    gone = stage(reduce(DataFrame.unionAll, _by_rounds(hard, local_edges)), "gone")
     return small.unionByName(_anti(hard.select("a", "b"), gone, "a").groupBy("b").agg(F.min("a").alias("a")))
 
 
@@ -241,17 +262,62 @@ def fuzzy_pairs(groups: DataFrame, threshold: float = V.NAME_JACCARD) -> DataFra
     return matching_pairs(nodes, nodes, threshold)
 
 
-def group_ids(groups: DataFrame, **limits) -> DataFrame:
-    """Exact groups with their final ``group_id``: the first row's order of the leading group."""
-    nodes = stage(fuzzy_nodes(groups), "nodes")
-    links = leader_links(nodes, **limits)
-    led = nodes.join(links.select(F.col("b").alias("ord"), F.col("a").alias("leader")), "ord", "left").select(
-        "date", "names", "cities", F.coalesce("leader", "ord").alias("group_id")
-    )
-    composite = (
-        _signature(groups.filter(F.col("phase") == 2))
-        .join(led, ["date", "names", "cities"])
-        .select(*groups.columns, "group_id")
-    )
+def lead_date(names: list[frozenset], cities: list[frozenset], threshold: float) -> list[int]:
+    """For each group of one date, in order, the place of its leader (its own if it leads).
+
+    Only leaders that share one of the rarest name tokens are compared: two
+    sets with Jaccard >= t share a token among the first ``n - ceil(t*n) + 1``
+    of each, whatever common order is used.
+    """
+    often = Counter(t for n in names for t in n)
+    known: dict[tuple, int] = {}
+    led: dict[str, list[int]] = {}
+    out = []
+    for i, (name, city) in enumerate(zip(names, cities, strict=True)):
+        if (leader := known.get((name, city))) is None:
+            ranked = sorted(name, key=lambda t: (often[t], t))
+            prefix = ranked[: len(name) - math.ceil(len(name) * threshold - 1e-9) + 1]
+            leader = i
+            for j in sorted({j for t in prefix for j in led.get(t, ())}):
+                shared = len(name & names[j])
+                if shared / (len(name) + len(names[j]) - shared) >= threshold and not (city and cities[j] and city.isdisjoint(cities[j])):
+                    leader = j
+                    break
+            if leader == i:
+                for t in prefix:
+                    led.setdefault(t, []).append(i)
+            known[name, city] = leader
+        out.append(leader)
+    return out
+
+
+def _lead_date(threshold: float):
+    def run(groups: pd.DataFrame) -> pd.DataFrame:
+        groups = groups.sort_values("first_ord", ignore_index=True)
+        at = lead_date(list(map(frozenset, groups["names"])), list(map(frozenset, groups["cities"])), threshold)
+        return groups.drop(columns=["names", "cities"]).assign(group_id=groups["first_ord"].to_numpy()[at])
+
+    return run
+
+
+def _led(signed: DataFrame, columns: list[str], threshold: float, **limits) -> DataFrame:
+    """``group_id`` of the groups of large dates, over their match graph."""
+    nodes = stage(signed.groupBy("date", "names", "cities").agg(F.min("first_ord").alias("ord")), "nodes")
+    links = leader_links(nodes, threshold, **limits).select(F.col("b").alias("ord"), F.col("a").alias("leader"))
+    led = nodes.join(links, "ord", "left").select("date", "names", "cities", F.coalesce("leader", "ord").alias("group_id"))
+    return signed.join(led, ["date", "names", "cities"]).select(*columns, "group_id")
+
+
+def group_ids(groups: DataFrame, threshold: float = V.NAME_JACCARD, local_nodes: int = LOCAL_NODES, **limits) -> DataFrame:
+    """Exact groups (a stored table) with their final ``group_id``: the first row's order of the leading group."""
+    composite = groups.filter(F.col("phase") == 2)
     exact = groups.filter(F.col("phase") == 1).withColumn("group_id", F.col("first_ord"))
-    return exact.unionByName(composite)
+    signed = _signature(composite)
+    large = composite.groupBy("date").count().filter(F.col("count") > local_nodes).select("date")
+    if not large.isEmpty():
+        large = stage(large, "large-dates")
+        exact = exact.unionByName(_led(signed.join(large, "date", "left_semi"), groups.columns, threshold, **limits))
+        signed = signed.join(large, "date", "left_anti")
+    schema = StructType([*groups.schema.fields, StructField("group_id", LongType())])
+    alone = signed.groupBy("date").applyInPandas(_lead_date(threshold), schema)
+    return exact.unionByName(alone)

@@ -10,6 +10,7 @@ from paceline import fixed_values as V
 from paceline.operators import merge as M
 from paceline.operators import normalize as N
 from paceline.operators import resolve as R
+from paceline.operators.components import component_labels
 from paceline.operators.ordering import numbered_within
 from paceline.plans.integrate import integrate, stage_counters
 
@@ -64,8 +65,8 @@ def expected(items):
 
 
 @pytest.mark.parametrize("limits", [
-    {}, {"pair_budget": 50, "local_edges": 1_000_000}, {"pair_budget": 1e12, "local_edges": 3},
-    {"pair_budget": 400, "local_edges": 5},
+    {}, {"local_nodes": 0, "pair_budget": 50, "local_edges": 1_000_000}, {"local_nodes": 0, "pair_budget": 1e12, "local_edges": 3},
+    {"local_nodes": 30, "pair_budget": 400, "local_edges": 5},
 ])
 def test_integrate_equals_row_at_a_time(spark, limits):
     raw = spark.createDataFrame(raw_rows(200, 11), RAW)
@@ -111,6 +112,48 @@ def test_long_dependency_chain(spark):
         assert links == {i: i - 1 for i in range(1, n, 2)}, limits
 
 
+def greedy(edges):
+    """The sequential rule: {absorbed node: leader}."""
+    absorbed = {}
+    for b in sorted({b for _, b in edges}):
+        free = [a for a, x in edges if x == b and a not in absorbed]
+        if free:
+            absorbed[b] = min(free)
+    return absorbed
+
+
+@pytest.mark.parametrize("local_edges", [0, 4, 30, 10_000])
+def test_many_components_on_one_date(spark, monkeypatch, local_edges):
+    """Small components share tasks, packed by edges; rounds see only those that are too large themselves."""
+    rng, edges, base = random.Random(4), set(), 0
+    for size in [2] * 40 + [5] * 12 + [9, 30, 60]:
+        for b in range(1, size):
+            for a in {rng.randrange(b) for _ in range(2)}:
+                edges.add((base + a, base + b))
+        base += size
+    date = {e: "one" if e[0] < base - 99 or local_edges < 30 else "two" for e in edges}
+    df = spark.createDataFrame([(date[e], *e) for e in edges], "date string, a long, b long").repartition(5)
+    hard, rounds = [], R._by_rounds
+    monkeypatch.setattr(R, "_by_rounds", lambda e, n: hard.append(e.count()) or rounds(e, n))
+    got = {r.b: r.a for r in R.solve_edges(df, local_edges).collect()}
+    assert got == greedy(edges)
+    sizes = {}
+    for r in component_labels(df).collect():
+        sizes.setdefault(r.comp, set()).add(r.node)
+    own = [sum(a in nodes for a, _ in edges) for nodes in sizes.values()]
+    large = sum(n for n in own if n > local_edges)
+    assert len(sizes) == 55 and hard == ([large] if large else [])
+
+
+def test_few_jobs_while_building(spark):
+    """A date that fits a task needs no match graph: few jobs run before the result is asked for."""
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    raw = spark.createDataFrame(raw_rows(100, 3), RAW)
+    before = scheduler.numTotalJobs()
+    M.resolve_items(N.accepted(N.normalize_items(raw)))
+    assert scheduler.numTotalJobs() - before <= 8
+
+
 def test_numbering_survives_a_hot_key(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 5}", i % 2) for i in range(2000)]
     df = spark.createDataFrame(rows, "o long, k string, p int").repartition(7)
