@@ -13,6 +13,7 @@ from paceline.operators import filters as P
 from paceline.operators import quality as Q
 from paceline.operators import upsert as U
 from paceline.operators.throttle import throttle
+from paceline.session import scratch_path
 from paceline.sources import listings as S
 from paceline.sources import pages as G
 from paceline.streaming import flows as W
@@ -335,19 +336,41 @@ def label_pivot(spark, sf):
 
 # --- Streams -----------------------------------------------------------------
 
+MICRO_BATCHES = 3
+
+
+def _stream_of(spark, rows, order):
+    """The rows as a stream of three files, each the next stretch of ``order``, read one a micro-batch."""
+    path = scratch_path(spark, "arrivals")
+    cuts = rows.select(F.percentile_approx(order, [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)], 10_000)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.filter(F.col(order) > F.lit(low))
+        part = part if high is None else part.filter((F.col(order) <= F.lit(high)) | F.col(order).isNull())
+        part.coalesce(1).write.mode("append").parquet(path)
+    return W.folder_stream(spark, rows.schema, path, maxFilesPerTrigger=1)
+
+
 def _events_stream(spark, sf, sql):
-    """The event file as a stream, in the shape of one of the views."""
-    schema = load(spark, sf, "events").schema
-    stream = W.folder_stream(spark, schema, sf, pathGlobFilter="events.parquet", maxFilesPerTrigger=1)
-    return spark.sql(sql, events=stream)
+    """The events as they arrive, in the shape of one of the views."""
+    return spark.sql(sql, events=_stream_of(spark, load(spark, sf, "events"), "ts"))
+
+
+@query("stream_upsert", _UPSERT + " SELECT slug, name, cover_url, race_no, city, official_url FROM step2")
+def stream_upsert(spark, sf):
+    """The batch of the upsert in three micro-batches, onto a table kept in buckets."""
+    old = T.view(spark, sf, OLD)
+    table = W.RaceTable(spark, scratch_path(spark, "races"), old.schema, buckets=8)
+    table.create(old)
+    new = T.view(spark, sf, NEW).withColumn("arrival", F.pmod(F.xxhash64("slug"), F.lit(1000)))
+    out, checkpoint = W.stream_paths(spark, "upsert")
+    W.drain_batches(_stream_of(spark, new, "arrival").drop("arrival"), lambda batch, n: table.upsert(batch, n, T.AS_OF), checkpoint)
+    return table.read(MICRO_BATCHES - 1).select("slug", "name", "cover_url", "race_no", "city", "official_url")
 
 
 @query("stream_ingest", D.from_items("SELECT source, terrain, count(*) AS n, CAST(sum(len(distances)) AS BIGINT) AS distances, CAST(sum(priceFrom) AS BIGINT) AS fees FROM items GROUP BY 1, 2"))
 def stream_ingest(spark, sf):
     """Listings written to the dataset folders, read back as a file stream and normalised."""
     from paceline import fixed_values as V
-    from paceline.session import scratch_path
-
     root = scratch_path(spark, "datasets")
     raw = T.raw_listings(spark, sf)
     for folder, source in V.SOURCE_DIRS.items():
@@ -362,13 +385,12 @@ _THROTTLED = f"""WITH RECURSIVE {REPORTS},
 t AS (SELECT race_id, id, created_at FROM reports),
 w AS (SELECT race_id, min(created_at) AS t0 FROM t GROUP BY 1
   UNION ALL SELECT race_id, nxt FROM (SELECT w.race_id, (SELECT min(t.created_at) FROM t WHERE t.race_id = w.race_id AND t.created_at >= w.t0 + INTERVAL 60 SECONDS) AS nxt FROM w) q WHERE nxt IS NOT NULL)
-SELECT race_id AS key, count(*) AS accepted, CAST(sum(minute(t0) * 60 + second(t0)) AS BIGINT) AS checksum FROM w GROUP BY 1"""
+SELECT race_id AS key, min(id) AS id FROM w JOIN t USING (race_id) WHERE t.created_at = w.t0 GROUP BY race_id, t0"""
 
 
 def _accepted(rows):
-    """Accepted reports per key, with a checksum of their times."""
-    return rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("accepted"), F.sum(F.minute("created_at") * 60 + F.second("created_at")).alias("checksum"))
+    """Accepted reports by key and id; of several at one time the smallest id."""
+    return rows.select("key", "id")
 
 
 @query("throttle_reports", _THROTTLED)
@@ -408,7 +430,7 @@ def stream_interest_counts(spark, sf):
 
 @query("stream_unique_interest", f"WITH {INTEREST}, {_ONCE} SELECT user_id, race_id, count(*) AS n FROM once GROUP BY 1, 2")
 def stream_unique_interest(spark, sf):
+    W.keep_state_by_key(spark)
     out, checkpoint = W.stream_paths(spark, "unique")
-    stream = _events_stream(spark, sf, T.INTEREST_NARROW)
-    W.drain_batches(stream, W.exact_unique_flow(spark, out, stream.schema), checkpoint)
-    return spark.read.parquet(out).groupBy("user_id", "race_id").agg(F.count(F.lit(1)).alias("n"))
+    once = W.drain(W.unique_interest_stream(_events_stream(spark, sf, T.INTEREST_NARROW), None), out, checkpoint)
+    return once.groupBy("user_id", "race_id").agg(F.count(F.lit(1)).alias("n"))

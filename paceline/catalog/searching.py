@@ -14,6 +14,7 @@ from paceline.operators import filters as P
 from paceline.operators import places
 from paceline.operators import quality as Q
 from paceline.plans import search as S
+from paceline.plans.query_table import search_by_queries
 from paceline.sources.cities import city_dim
 
 AS_OF = T.AS_OF
@@ -318,6 +319,46 @@ def choose_parse(spark, sf):
     return S.choose_parse(_answers(spark, sf).drop("q"), "model").withColumn("proximity", F.col("proximity").cast("int"))
 
 
+def _queries_sql() -> str:
+    """Every query against every visible race; similarities are those of distinct texts and distinct names."""
+    q, g = duck_similarity("t", "folded")
+    safe = "replace(replace(f.city, '%', ''), '_', '')"
+    mention = lambda *cols: "(" + " OR ".join(f"coalesce(contains(lower(r.{c}), lower({safe})), false)" for c in cols) + ")"
+    same = "coalesce(r.region = c.region, false)"
+    near = (f"CASE WHEN c.lat IS NOT NULL THEN CASE WHEN r.lat IS NOT NULL AND r.lng IS NOT NULL THEN {_lambert('r.lat', 'r.lng', 'c.lat', 'c.lng')} <= 40000 "
+            f"ELSE {same} END WHEN c.region IS NOT NULL THEN {same} ELSE {mention('city', 'region')} END")
+    return f"""{PARSED}, {RACES}, {CITY}, f0 AS (SELECT query_id, terrain, city, month, NULLIF(km, 0) AS km, proximity,
+  CASE WHEN terrain IS NOT NULL OR month IS NOT NULL OR NULLIF(km, 0) IS NOT NULL OR city IS NOT NULL THEN coalesce(search_text, '') ELSE display_query END AS x FROM parsed),
+f AS (SELECT *, NULLIF({D.czech('x')}, '') AS folded, CASE WHEN month IS NULL THEN NULL WHEN last_day(make_date(1998, month, 1)) < DATE '{AS_OF}'
+  THEN make_date(1999, month, 1) ELSE make_date(1998, month, 1) END AS first_day FROM f0),
+named AS (SELECT DISTINCT city FROM f WHERE proximity = 1), {_NAMED.split(',', 1)[1]},
+seen AS (SELECT *, {D.czech('name')} AS cname, {D.czech('city')} AS ccity FROM races WHERE {VISIBLE}),
+texts AS (SELECT DISTINCT cname AS t FROM seen UNION SELECT DISTINCT ccity FROM seen),
+asked AS (SELECT DISTINCT folded FROM f WHERE folded IS NOT NULL),
+grams AS (SELECT t, folded, {q} AS q, {g} AS g FROM texts, asked),
+hits AS (SELECT *, list_filter(range(1, len(g) + 1), lambda i: list_contains(q, g[i])) AS spots FROM grams),
+starts AS (SELECT *, unnest(spots) AS i FROM hits WHERE len(spots) > 0),
+runs AS (SELECT *, unnest(list_filter(spots, lambda k: k >= i)) AS j FROM starts),
+sim AS (SELECT t, folded, max(len(list_intersect(q, list_distinct(g[i:j])))::DOUBLE / (len(q) + len(list_distinct(g[i:j])) - len(list_intersect(q, list_distinct(g[i:j])))))::FLOAT::DOUBLE AS s
+  FROM runs GROUP BY t, folded),
+met AS (SELECT f.query_id, r.race_id, r.slug, r.date_start, CASE WHEN f.folded IS NULL THEN 0 ELSE greatest(coalesce(a.s, 0), coalesce(b.s, 0)) END AS score, f.folded
+  FROM f JOIN seen r ON (f.terrain IS NULL OR r.terrain = f.terrain) AND (f.month IS NULL OR date_trunc('month', r.date_start) = f.first_day)
+    AND (f.km IS NULL OR len(list_filter(r.distances, lambda d: CASE WHEN f.km >= 50 THEN d.km >= 50 ELSE abs(d.km::DECIMAL(12,4) - f.km) <= f.km * 0.15 END)) > 0)
+  LEFT JOIN resolved c ON f.proximity = 1 AND c.city = f.city
+  LEFT JOIN sim a ON a.t = r.cname AND a.folded = f.folded LEFT JOIN sim b ON b.t = r.ccity AND b.folded = f.folded
+  WHERE f.city IS NULL OR CASE WHEN f.proximity = 1 THEN {near} ELSE {mention('name', 'city', 'region')} END),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date_start, slug) AS rank FROM met WHERE folded IS NULL OR score > 0.15)
+SELECT query_id, rank::INTEGER AS rank, race_id, round(score, 5) AS score FROM ranked WHERE rank <= 100"""
+
+
+@query("search_by_query", _queries_sql())
+def search_by_query(spark, sf):
+    """Every query text of the table, parsed and searched."""
+    wanted = S.choose_parse(S.parse_queries(T.searches(spark, sf)).withColumn("model", S.validate_filters(F.lit(None).cast("string"))).drop("q"), "model")
+    found = search_by_queries(wanted, T.races(spark, sf), city_dim(spark), AS_OF)
+    return found.select("query_id", "rank", "race_id", F.round("score", 5).alias("score"))
+
+
 # --- Labels ------------------------------------------------------------------
 
 _W = {"description": "NOT " + D.blank("description"), "time_start": "time_start IS NOT NULL", "distances": "len(distances) > 0",

@@ -102,22 +102,33 @@ def anti_recent(batch: DataFrame, history: DataFrame, key: str = "race_id") -> D
 FUNNEL = ("view", "signup", "click", "purchase")
 
 
-def funnel_rates(events: DataFrame, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
+#: Seconds of a slot in which a user's events are read in one piece.
+SLOT_SECONDS = 600
+
+
+def funnel_rates(events: DataFrame, steps: tuple[str, ...] = FUNNEL, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Users reaching each step after the one before, and the step's rate.
 
-    A step counts at its first time not before the previous step was reached;
-    steps beyond the first need one more pass each over events reduced to those
-    users' open steps.
+    A step counts at its first time not before the previous step was reached.
+    A user's events of one slot of time make a table: who enters the slot with
+    so many steps done leaves it with so many.  Tables are then applied in the
+    order of slots.  Events are read once, and a user of very many events is
+    many groups; what meets per user is one short table a slot.  Rows without
+    user or time don't count.
     """
-    reached = events.filter(F.col("event_type") == steps[0]).groupBy("user_id").agg(F.min("ts").alias("at"))
-    frames = [reached.agg(F.count(F.lit(1)).alias("users")).select(F.lit(0).alias("step"), F.lit(steps[0]).alias("name"), "users")]
-    for i, name in enumerate(steps[1:], 1):
-        later = events.filter(F.col("event_type") == name).select("user_id", "ts")
-        reached = later.join(reached, "user_id").filter(F.col("ts") >= F.col("at")).groupBy("user_id").agg(F.min("ts").alias("at"))
-        frames.append(reached.agg(F.count(F.lit(1)).alias("users")).select(F.lit(i).alias("step"), F.lit(name).alias("name"), "users"))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+    step = F.array_position(F.array(*[F.lit(n) for n in steps]), F.col("event_type")).cast("int") - 1
+    own = events.filter("user_id IS NOT NULL AND ts IS NOT NULL").select(
+        "user_id", "ts", step.alias("step"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slot_seconds * 1_000_000)).alias("slot")).filter("step >= 0")
+    done = F.array(*[F.lit(i) for i in range(len(steps) + 1)])
+    table = F.aggregate(F.sort_array(F.collect_list(F.struct("ts", "step"))), done, lambda at, e: F.transform(
+        at, lambda n: F.when(n == e["step"], n + 1).otherwise(n)))
+    tables = own.groupBy("user_id", "slot").agg(table.alias("leaves"))
+    reached = F.aggregate(F.sort_array(F.collect_list(F.struct("slot", "leaves"))), F.lit(0), lambda n, t: F.get(t["leaves"], n))
+    users = tables.groupBy("user_id").agg(reached.alias("n")).filter("n > 0").select(
+        F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("users"))
+    named = events.sparkSession.range(len(steps)).select(
+        F.col("id").cast("int").alias("step"), F.get(F.array(*[F.lit(n) for n in steps]), F.col("id").cast("int")).alias("name"))
+    out = named.join(users, "step", "left").select("step", "name", F.coalesce("users", F.lit(0)).alias("users"))
     before = F.lag("users").over(Window.orderBy("step"))  # one row per step
     return out.withColumn("rate", F.round(F.col("users") / F.nullif(before, F.lit(0)), 6))
 

@@ -11,6 +11,7 @@ from paceline.functions import text as T
 
 CELL = 0.5  # degrees
 COLUMNS = 720  # cells around the globe
+CELL_ROWS = 20_000  # races of a cell that are joined in one piece
 
 
 def _city_stats(races: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def near_points(points: DataFrame, races: DataFrame, radius_m: float = V.RADIUS_
 
     Points (``point_id, lat, lng``) are copied to the grid cells their box
     touches; races stay in one cell, so the join is an equi-join and the large
-    side is not multiplied.
+    side is not multiplied.  A crowded cell, even a single crowded spot, is cut
+    into parts of about ``CELL_ROWS`` races, and its points go to each part.
     """
     high, wide = geo.box_degrees(F.col("lat"), radius_m)
     boxed = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("*", high.alias("d_lat"), wide.alias("d_lng"))
@@ -68,5 +70,9 @@ def near_points(points: DataFrame, races: DataFrame, radius_m: float = V.RADIUS_
     around = F.pmod(F.col("r_lng") - F.col("lng") + 180, F.lit(360.0)) - 180
     inside = (F.abs(F.col("r_lat") - F.col("lat")) <= F.col("d_lat")) & (F.abs(around) <= F.col("d_lng"))
     distance = geo.distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
-    found = spread.join(placed, ["cy", "cx"]).filter(inside).select(*points.columns, "race_id", distance.alias("dist_m"))
+    crowded = placed.groupBy("cy", "cx").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    placed = placed.join(crowded, ["cy", "cx"], "left").withColumn("part", F.pmod(F.xxhash64("race_id"), parts).cast("int")).drop("parts")
+    spread = spread.join(crowded, ["cy", "cx"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    found = spread.join(placed, ["cy", "cx", "part"]).filter(inside).select(*points.columns, "race_id", distance.alias("dist_m"))
     return found.filter(F.col("dist_m") <= radius_m)

@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
@@ -19,10 +19,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from paceline import fixed_values as V
 from paceline.functions.text import is_blank
 from paceline.operators import normalize as N
-from paceline.operators.engage import append_interest
 from paceline.operators.upsert import upsert_races
 from paceline.plans.integrate import integrate
-from paceline.session import scratch_path
+from paceline.session import scratch_path, stage
 from paceline.sources.listings import CORRUPT, RAW_SCHEMA, dataset_glob, require_fields, with_order, with_provenance
 
 
@@ -91,28 +90,88 @@ def ingest_flow(out: str, quarantine: str):
 
 
 class RaceTable:
-    """Race table kept as one Parquet folder per version.
-
-    A micro-batch writes the next version whole and a repeated micro-batch
-    writes the same version again, so a lost executor or a restart does no harm.
+    """Race table in buckets of its slug, with an index from addresses to slugs in buckets of the address.
+
+    A micro-batch reads the buckets that its rows' addresses and slugs lead to,
+    and writes new versions of those that change; a version's list says which
+    folder holds each bucket now.  A micro-batch always starts from the version
+    before its own, so a repeated one writes the same again, and until its list
+    is there nothing of it is seen: a lost executor or a restart does no harm.
+    ``create`` gives a table its first rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def version(self, number: int) -> str:
-        return os.path.join(self.path, f"v{number:010d}")
+    def __init__(self, spark: SparkSession, path: str, schema, buckets: int = 64):
+        empty = spark.createDataFrame([], schema)
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.schema = empty.schema
+        self.pairs = StructType([StructField(c, StringType()) for c in ("official_url", "slug")])
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def _list(self, number: int) -> dict[tuple[str, int], int]:
+        """Version of each bucket that has rows, as of a version; nothing before the first one."""
+        path = os.path.join(self.path, "lists", f"v{number}")
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if number < 0 and not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+            return {}
+        return {(r.kind, r.bucket): r.version for r in self.spark.read.schema(LIST).parquet(path).collect()}
+
+    def _open(self, kind: str, listed: dict, buckets: set[int] | None = None) -> DataFrame:
+        schema = self.schema if kind == "slug" else self.pairs
+        paths = [os.path.join(self.path, kind, f"v{v}", f"bucket={b}") for (k, b), v in sorted(listed.items())
+                 if k == kind and (buckets is None or b in buckets)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, kind: str, key: str, rows: DataFrame, number: int) -> set[int]:
+        """Write rows by bucket; the buckets that have some."""
+        rows = rows.withColumn("bucket", self._bucket(key))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(self.path, kind, f"v{number}"))
+        return _numbers(rows.select("bucket"))
+
+    def _publish(self, listed: dict, number: int) -> None:
+        rows = self.spark.createDataFrame([(k, b, v) for (k, b), v in sorted(listed.items())], LIST)
+        rows.coalesce(1).write.mode("overwrite").parquet(os.path.join(self.path, "lists", f"v{number}"))
+
+    def create(self, races: DataFrame) -> None:
+        races = stage(races.select(*self.schema.names), "races")
+        listed = {("slug", b): -1 for b in self._write("slug", "slug", races, -1)}
+        listed |= {("url", b): -1 for b in self._write("url", "official_url", races.filter("official_url IS NOT NULL").select(*self.pairs.names), -1)}
+        self._publish(listed, -1)
 
     def read(self, number: int) -> DataFrame:
-        if number < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version(number))
+        return self._open("slug", self._list(number))
 
     def upsert(self, races: DataFrame, number: int, as_of: str) -> None:
         """Write the next version; rows that can't be written go to ``rejected/batch=<number>`` with their reason."""
-        after, rejected = upsert_races(self.read(number - 1), races, as_of)
-        after.write.mode("overwrite").parquet(self.version(number))
+        listed, batch = self._list(number - 1), stage(races, "batch")
+        urls = batch.filter("official_url IS NOT NULL").select("official_url")
+        index = self._open("url", listed, _numbers(urls.select(self._bucket("official_url"))))
+        known = index.join(urls.distinct(), "official_url", "left_semi").select("slug")
+        touched = _numbers(batch.select("slug").unionByName(known).select(self._bucket("slug")))
+        before = self._open("slug", listed, touched)
+        after, rejected = upsert_races(before, batch, as_of)
+        after = stage(after, "after")
         rejected.write.mode("overwrite").parquet(os.path.join(self.path, "rejected", f"batch={number}"))
+        now = {("slug", b): number for b in self._write("slug", "slug", after, number)}
+
+        pairs = lambda rows: rows.filter("official_url IS NOT NULL").select(*self.pairs.names)
+        gone, new = pairs(before).subtract(pairs(after)), pairs(after).subtract(pairs(before))
+        moved = stage(gone.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))), "moved")
+        redone = _numbers(moved.select(self._bucket("official_url")))
+        index = self._open("url", listed, redone).join(moved.filter("NOT new"), self.pairs.names, "left_anti")
+        index = index.unionByName(moved.filter("new").drop("new"))
+        now |= {("url", b): number for b in self._write("url", "official_url", index, number)}
+        kept = {k: v for k, v in listed.items() if not (k[0] == "slug" and k[1] in touched or k[0] == "url" and k[1] in redone)}
+        self._publish(kept | now, number)
+
+
+LIST = "kind string, bucket int, version int"
+
+
+def _numbers(rows: DataFrame) -> set[int]:
+    """Distinct bucket numbers: as many as there are buckets at most."""
+    return {r[0] for r in rows.distinct().collect()}
 
 
 def upsert_flow(table: RaceTable, as_of: str):
@@ -184,21 +243,25 @@ def latest_counts(stream: DataFrame, spark: SparkSession, path: str, checkpoint:
     return changes.groupBy("start", "race_id").agg(F.max_by("n", "batch").alias("n"))
 
 
-def unique_interest_stream(interest: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Drops repeats of (user, race) seen within the watermark; anonymous rows pass."""
-    key = F.when(F.col("user_id").isNull(), F.concat(F.lit("row-"), F.col("id").cast("string"))).otherwise(
-        F.concat_ws("|", F.col("user_id").cast("string"), F.col("race_id").cast("string")))
-    return interest.withColumn("_key", key).withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+def keep_state_by_key(spark: SparkSession) -> None:
+    """State of this session's streams in a store that looks keys up, so that a batch touches only its own keys."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def exact_unique_flow(spark: SparkSession, path: str, schema):
-    """Micro-batch handler that appends only pairs not stored yet, however old."""
-    def handle(batch: DataFrame, number: int) -> None:
-        earlier = [os.path.join(path, f"batch={n}") for n in range(number)]
-        stored = spark.read.schema(schema).parquet(*earlier) if earlier else spark.createDataFrame([], schema)
-        append_interest(stored, batch).write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
+def unique_interest_stream(interest: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
+    """Drops repeats of (user, race) seen within the watermark, or, without one, however old; anonymous rows pass.
 
-    return handle
+    State is one key a pair.  Without a watermark it is kept for good, as a
+    unique key would be: use ``keep_state_by_key``, so that a batch reads its
+    own pairs and not the history.  Which of a pair's rows of one micro-batch
+    stays is left open.
+    """
+    known, others = interest.filter(F.col("user_id").isNotNull()), interest.filter(F.col("user_id").isNull())
+    if watermark is None:
+        return known.dropDuplicates(["user_id", "race_id"]).unionByName(others)
+    known = known.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["user_id", "race_id"])
+    return known.unionByName(others.withWatermark("created_at", watermark))
 
 
 def stream_paths(spark: SparkSession, label: str) -> tuple[str, str]:

@@ -140,13 +140,66 @@ def test_unique_interest_stream_is_exact_over_batches(spark, tmp_path):
         spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = spark.createDataFrame(rows, SCHEMA).schema
     stream = W.folder_stream(spark, schema, str(tmp_path / "in"), maxFilesPerTrigger=1)
-    out = str(tmp_path / "out")
-    W.drain_batches(stream, W.exact_unique_flow(spark, out, schema), str(tmp_path / "c"))
-    assert spark.read.parquet(out).count() == 2
+    W.keep_state_by_key(spark)
+    once = W.drain(W.unique_interest_stream(stream, None), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert {r["id"] for r in once.collect()} == {1, 3}
     bounded = W.drain(W.unique_interest_stream(stream, "1 day"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert bounded.count() == 2
 
 
+def test_a_batch_of_unique_interest_reads_its_own_rows_only(spark, tmp_path):
+    """Thousands of pairs are known; a batch of one row reads one row and what it looks up, as it did at first."""
+    W.keep_state_by_key(spark)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    (tmp_path / "in").mkdir()
+    stream = W.folder_stream(spark, schema, str(tmp_path / "in"), maxFilesPerTrigger=1)
+    batches = [[(0, 0, 1, None, at(0))], [(i, i, 1, None, at(i)) for i in range(1, 8000)], [(9000, 5, 1, None, at(9000))], [(9001, 5, 2, None, at(9001))]]
+    read = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = W.unique_interest_stream(stream, None).writeStream.format("parquet").option("path", str(tmp_path / "o")).option(
+            "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        ran = [p for p in query.recentProgress if p["numInputRows"]]
+        read.append((sum(p["numInputRows"] for p in ran), sum(o["customMetrics"].get("rocksdbTotalBytesRead", 0) for p in ran for o in p["stateOperators"])))
+    # The two branches (known and anonymous users) may each read the batch's file, none reads an earlier one.
+    assert all(len(rows) <= n <= 2 * len(rows) for (n, _), rows in zip(read, batches, strict=True))
+    assert read[2][1] <= 4096 and read[3][1] <= 4096
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 8001
+
+
+RACES = "slug string, name string, official_url string, created_at timestamp, updated_at timestamp"
+
+
+def test_bucketed_table_rewrites_what_a_batch_touches(spark, tmp_path):
+    rows = [(f"s{i}", "old", f"https://r{i}.cz" if i % 2 else None, T0, T0) for i in range(60)]
+    table = W.RaceTable(spark, str(tmp_path / "t"), RACES, buckets=16)
+    table.create(spark.createDataFrame(rows, RACES))
+    want, batch_schema = spark.createDataFrame(rows, RACES), "slug string, name string, official_url string"
+
+    def written(kind, n):
+        folder = tmp_path / "t" / kind / f"v{n}"
+        return [p.name for p in folder.iterdir() if p.name.startswith("bucket=")] if folder.exists() else []
+
+    batches = [[("s4", "new", None)], [("s5", "new", "https://r5.cz")], [("moved", "new", "https://r7.cz"), ("s8", "x", "https://new.cz"), ("add", "new", "https://add.cz")],
+               [("s9", None, None), ("moved", "again", "https://r7.cz")]]
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, batch_schema)
+        want, bad = U.upsert_races(want, batch, "2026-02-01")
+        want = spark.createDataFrame(want.collect(), RACES)
+        table.upsert(batch, n, "2026-02-01")
+        once = sorted(map(tuple, table.read(n).collect()), key=str)
+        assert once == sorted(map(tuple, want.collect()), key=str)
+        table.upsert(batch, n, "2026-02-01")  # a repeated micro-batch
+        assert sorted(map(tuple, table.read(n).collect()), key=str) == once
+        refused = spark.read.parquet(str(tmp_path / "t" / "rejected" / f"batch={n}"))
+        assert sorted(r.slug for r in refused.collect()) == sorted(r.slug for r in bad.collect())
+    assert len(written("slug", 0)) == 1 and written("url", 0) == []
+    assert len(written("slug", 1)) == 1 and written("url", 1) == []
+    index = table._open("url", table._list(3))
+    assert sorted(map(tuple, index.collect())) == sorted((r.official_url, r.slug) for r in want.filter("official_url IS NOT NULL").collect())
+
+
 def test_upsert(spark):
     table = spark.createDataFrame(
         [("a", "old", "keep", "https://x.cz", T0, T0), ("b", "old", "keep", None, T0, T0), ("c", "old", "keep", None, T0, T0)],
@@ -205,6 +258,27 @@ def test_growth(spark):
     assert got == {"view": (2, None), "signup": (1, 0.5), "click": (0, 0.0), "purchase": (0, None)}
 
 
+def test_funnel_equals_row_at_a_time(spark):
+    import random
+
+    rng, steps = random.Random(2), ("view", "signup", "click", "purchase")
+    rows = [(rng.randrange(30), rng.choice([*steps, "other"]), at(rng.choice([0, 5, 5, 700, 1300]) * rng.randrange(9))) for _ in range(900)]
+    rows += [(99, steps[i % 4], at(i)) for i in range(3000)] + [(None, "view", at(0)), (98, "view", None)]
+    reached = {}
+    for user in {u for u, _, t in rows if u is not None and t is not None}:
+        own, since = [(t, e) for u, e, t in rows if u == user], dt.datetime.min
+        for i, name in enumerate(steps):
+            times = [t for t, e in own if e == name and t is not None and t >= since]
+            if not times:
+                break
+            since = min(times)
+            reached[i] = reached.get(i, 0) + 1
+    df = spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp")
+    for slot in (60, 600):
+        got = {r["step"]: r["users"] for r in E.funnel_rates(df, slot_seconds=slot).collect()}
+        assert got == {i: reached.get(i, 0) for i in range(4)}
+
+
 def test_throttle_state_ends_behind_the_watermark(spark, tmp_path):
     """Address keys; an old key's state goes once time has moved on, and its next report is accepted."""
     rows = [("a", 1, at(0)), ("a", 2, at(30)), ("b", 3, at(40)), ("b", 4, at(7200)), ("a", 5, at(7201)), ("a", 6, at(7230)), ("b", 7, at(14400))]

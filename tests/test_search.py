@@ -173,3 +173,50 @@ def test_near_points_meet_across_the_date_line(spark):
     got = {(r.point_id, r.race_id): r.dist_m for r in near_points(points, races).collect()}
     assert set(got) == {(1, 7), (1, 8), (2, 7), (2, 8)} and 10_000 < got[1, 7] < 12_000
     assert {(r.point_id, r.race_id) for r in near_points(points, races, 300_000).collect()} == {*got, (3, 6)}
+
+
+def test_a_crowded_spot_is_cut_into_parts(spark, monkeypatch):
+    from paceline.operators import places
+
+    races = spark.range(400).select(F.col("id").alias("race_id"), F.when(F.col("id") < 350, 49.2).otherwise(49.2 + F.col("id") / 500).alias("lat"),
+                                    F.lit(16.6).alias("lng"))
+    points = spark.createDataFrame([(i, 49.2 + i / 100, 16.6) for i in range(12)], "point_id long, lat double, lng double")
+    whole = sorted((r.point_id, r.race_id, round(r.dist_m, 3)) for r in places.near_points(points, races).collect())
+    monkeypatch.setattr(places, "CELL_ROWS", 25)
+    near = places.near_points(points, races)
+    assert sorted((r.point_id, r.race_id, round(r.dist_m, 3)) for r in near.collect()) == whole and len(whole) > 4000
+
+
+def test_search_by_queries_equals_one_search_each(spark):
+    import random
+
+    from paceline.plans.query_table import search_by_queries
+
+    rng = random.Random(5)
+    cities, names = ["Brno", "Praha", "Vesec", "Olomouc", "Nikde"], ["Noční trail", "Jarní běh", "Maraton", "Jizerská padesátka"]
+    regions = {"Brno": "Jihomoravský", "Praha": "Praha", "Vesec": "Liberecký", "Olomouc": "Olomoucký", "Nikde": None}
+    rows = []
+    for i in range(120):
+        city = rng.choice(cities)
+        placed = city in ("Brno", "Vesec") and rng.random() < 0.7
+        rows.append((i, f"z{i}", f"{rng.choice(names)} {rng.choice(['', city])}", city, regions[city], rng.choice(["trail", "road", None]),
+                     dt.date(2026, rng.randint(1, 12), 3), [(None, float(rng.choice([5, 10, 21, 55])))], 49.2 + rng.random() if placed else None,
+                     16.6 + rng.random() / 3 if placed else None, "confirmed" if i % 9 else "cancelled", "CZ", "extracted"))
+    races = spark.createDataFrame(rows, "race_id long, slug string, name string, city string, region string, terrain string, date_start date, "
+                                  "distances array<struct<label:string,km:double>>, lat double, lng double, status string, country string, extraction_status string")
+    asked = [{}, {"terrain": "trail"}, {"month": 5, "km": 10.0}, {"month": 13}, {"city": "brno"}, {"city": "B%"}, {"city": "%"}, {"region": "Liberecký"},
+             {"city": "Brno", "proximity": True, "terrain": "road"}, {"city": "Vesec", "proximity": True}, {"city": "morav", "proximity": True},
+             {"search_text": "nocni trial"}, {"search_text": "jizerska", "terrain": "trail", "city": "Brno"}, {"search_text": "!!"},
+             {"search_text": "beh", "city": "Vesec", "proximity": True}, {"km": 60.0, "search_text": ""}, {}]
+    schema = "query_id int, terrain string, region string, month int, km double, city string, proximity boolean, search_text string"
+    keys = [c.split()[0] for c in schema.split(", ")][1:]
+    queries = spark.createDataFrame([(i, *[q.get(k) for k in keys]) for i, q in enumerate(asked)], schema)
+    dim = city_dim(spark)
+    got = {}
+    for r in search_by_queries(queries, races, dim, "2026-04-10", limit=7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.race_id, round(r.score, 5))
+    for i, q in enumerate(asked):
+        found = S.search_races(races, dim, "2026-04-10", limit=7, **{k: v for k, v in q.items() if v is not None})
+        want = [(r.race_id, round(r.score, 5)) for r in found.collect()]
+        assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == want, q
+    assert search_by_queries(queries.limit(0), races, dim, "2026-04-10").count() == 0
