@@ -157,11 +157,27 @@ def _percent_encode(text: Column) -> Column:
     return F.array_join(coded, "")
 
 
+_DOT, _DOTS = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+
+def without_dot_segments(path: Column) -> Column:
+    """A rooted path with its ``.`` parts left out and ``..`` parts taken back, also where the dots are escaped."""
+    def fold(kept, part):
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part.rlike(_DOTS), up).when(part.rlike(_DOT), kept).otherwise(F.concat(kept, F.array(part)))
+
+    def resolved(parts):
+        ends = F.when(F.element_at(parts, -1).rlike(r"(?i)^(\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), fold), ends), "/"))
+
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), let(F.split(F.substring(path, 2, 1 << 30), "/", -1), resolved)).otherwise(path)
+
+
 def normalize_website(raw: Column) -> Column:
     """Clean absolute URL without trailing slashes; NULL when blank or not a URL.
 
-    Host names stay as written (lower-cased): non-ASCII ones are not put in
-    their ASCII form.
+    Dot parts of the path are resolved.  Host names stay as written
+    (lower-cased): non-ASCII ones are not put in their ASCII form.
     """
     shape = r"(?s)^([hH][tT][tT][pP][sS]?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -189,7 +205,7 @@ def normalize_website(raw: Column) -> Column:
             (u["scheme"] != "") & (h["host"] != "") & ~h["host"].rlike(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]")
             & ((h["port"] == "") | F.coalesce(number <= 65535, F.lit(False)))
         )
-        path = F.when(u["path"] == "", "/").otherwise(u["path"])
+        path = F.when(u["path"] == "", "/").otherwise(without_dot_segments(u["path"]))
         whole = F.concat(u["scheme"], F.lit("://"), u["login"], h["host"], port, _percent_encode(path), _percent_encode(u["rest"]))
         return F.when(valid, F.regexp_replace(whole, "/+$", ""))
 

@@ -138,17 +138,21 @@ def choose_parse(parsed: DataFrame, model: str) -> DataFrame:
 def _near_city(found: DataFrame, races: DataFrame, city: str, dim: DataFrame) -> DataFrame:
     """Rows of ``found`` around a city.
 
-    Without a dimension entry the city's point and region come from the races
-    themselves, as scalar subqueries: one row each, never collected.
+    The city is looked up first.  One that the dimension lists gives plain
+    numbers, so that the box around it is part of the scan's filter; only for
+    others are point and region derived from the races, as scalar subqueries:
+    one row each, never collected.
     """
-    same = races.filter(T.normalize_czech(F.col("city")) == T.normalize_czech(F.lit(city)))
-    listed = dim.filter(F.col("name") == city).select(F.struct(
-        F.min("lat").alias("lat"), F.min("lng").alias("lng"), F.min("region").alias("region"))).scalar()
-    derived = same.select(F.struct(
-        F.avg("lat").alias("lat"), F.avg(F.when(F.col("lat").isNotNull(), F.col("lng"))).alias("lng"),
-        F.min("region").alias("region"))).scalar()
-    centre = found.select("*", listed.alias("_a"), derived.alias("_b")).select(
-        *found.columns, *[F.coalesce(f"_a.{n}", f"_b.{n}").alias(f"_{n}") for n in ("lat", "lng", "region")])
+    listed = dim.filter(F.col("name") == city).agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"), F.min("region").alias("region")).first()
+    if None not in (listed.lat, listed.lng, listed.region):
+        centre = found.select("*", *[F.lit(listed[n]).alias(f"_{n}") for n in ("lat", "lng", "region")])
+    else:
+        same = races.filter(T.normalize_czech(F.col("city")) == T.normalize_czech(F.lit(city)))
+        derived = same.select(F.struct(
+            F.avg("lat").alias("lat"), F.avg(F.when(F.col("lat").isNotNull(), F.col("lng"))).alias("lng"),
+            F.min("region").alias("region"))).scalar()
+        centre = found.select("*", derived.alias("_b")).select(
+            *found.columns, *[F.coalesce(F.lit(listed[n]), F.col(f"_b.{n}")).alias(f"_{n}") for n in ("lat", "lng", "region")])
     lat, lng = F.col("_lat"), F.col("_lng")
     high, wide = geo.box_degrees(lat, V.RADIUS_M)
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()

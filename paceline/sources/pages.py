@@ -168,13 +168,22 @@ def glob_regex(glob: str) -> str:
     return "^" + out[: -len("[^/]*")] + "$"
 
 
-def pagination_expand(pages: DataFrame, shape: str, template: str, first: int) -> DataFrame:
+#: A linked number above this is no page number.
+MOST_PAGES = 100_000
+
+
+def _linked_numbers(shape: str) -> Column:
+    return F.transform(F.regexp_extract_all("html", F.lit(shape), F.lit(1)), lambda n: n.try_cast("decimal(38,0)"))
+
+
+def pagination_expand(pages: DataFrame, shape: str, template: str, first: int, most: int = MOST_PAGES) -> DataFrame:
     """List-page addresses from ``first`` up to the highest number linked on the page.
 
-    ``shape`` has the number as group 1; ``template`` holds ``{n}``.
+    ``shape`` has the number as group 1; ``template`` holds ``{n}``.  Numbers
+    above ``most`` don't count, as they can't be page numbers: those links are
+    listed by ``pagination_refused``.
     """
-    numbers = F.transform(F.regexp_extract_all("html", F.lit(shape), F.lit(1)), lambda n: n.try_cast("int"))
-    last = F.array_max(numbers)
+    last = F.array_max(F.filter(_linked_numbers(shape), lambda n: n <= most)).cast("int")
     rows = pages.select("page_id", last.alias("last")).filter(F.col("last") >= first)
     head, tail = template.split("{n}")
     return rows.select("page_id", F.explode(F.sequence(F.lit(first), "last")).alias("n")).select(
@@ -182,6 +191,12 @@ def pagination_expand(pages: DataFrame, shape: str, template: str, first: int) -
     )
 
 
+def pagination_refused(pages: DataFrame, shape: str, most: int = MOST_PAGES) -> DataFrame:
+    """``page_id, number``: distinct linked numbers that are too large for a page, as written."""
+    written = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(shape), F.lit(1))).alias("number"))
+    return written.filter(F.coalesce(F.col("number").try_cast("decimal(38,0)") > most, F.lit(True))).distinct()
+
+
 def _finish(step: DataFrame, source: str, values: dict[str, Column]) -> DataFrame:
     named = [values.get(f, F.lit("")).alias(f) for f in V.RAW_FIELDS]
     return step.select("page_id", F.lit(source).alias("source"), *named)

@@ -249,6 +249,10 @@ def test_pages(spark, evaluate):
     assert [r["target"] for r in links.collect()] == ["https://a.cz/list/beh/"]
     more = G.pagination_expand(page, r"/strana/(\d+)/", "https://a.cz/list/strana/{n}/", 2)
     assert [r["page_url"] for r in more.orderBy("n").collect()] == ["https://a.cz/list/strana/2/", "https://a.cz/list/strana/3/"]
+    huge = spark.createDataFrame([(1, "u", "/strana/2/ /strana/2147483000/ /strana/" + "9" * 60 + "/"), (2, "u", "/strana/2147483647/")], page.schema)
+    assert [r["n"] for r in G.pagination_expand(huge, r"/strana/(\d+)/", "x{n}", 1).orderBy("n").collect()] == [1, 2]
+    assert {(r.page_id, r.number) for r in G.pagination_refused(huge, r"/strana/(\d+)/").collect()} == {
+        (1, "2147483000"), (1, "9" * 60), (2, "2147483647")}
 
 
 def test_growth(spark):

@@ -121,6 +121,13 @@ def test_website(evaluate):
     ]
 
 
+def test_website_resolves_dot_parts(evaluate):
+    got = evaluate(P.normalize_website, "https://a.cz/a/../b", "a.cz/./a/%2E%2e/../../c/.", "https://a.cz/x/..", "a.cz/a..b/.c/...", "a.cz/a/b/../../?q=../x",
+                   "a.cz/%C5%BE/../%20y", "a.cz\\x\\..\\y", "a.cz/a//../b")
+    assert got == ["https://a.cz/b", "https://a.cz/c", "https://a.cz", "https://a.cz/a..b/.c/...", "https://a.cz/?q=../x", "https://a.cz/%20y",
+                   "https://a.cz/y", "https://a.cz/a/b"]
+
+
 def test_url_key(evaluate):
     assert evaluate(P.url_dedup_key, " HTTPS://WWW.a.cz/x// ", "a.cz") == ["a.cz/x", "a.cz"]
 
