@@ -282,10 +282,12 @@ DETAIL = f"""SELECT ord AS page_id, url, source, title, date, city, region, dist
     || '<tr><td> Den: </td><td>' || date || '</td></tr><tr><td>Místo:</td><td>' || city || ', okres Okres, kraj ' || region || '</td></tr>'
     || '<tr><td>Neznámé:</td><td>?</td></tr><tr><td>Povrch:</td><td></td></tr><tr><td>Povrch:</td><td><b>' || surface || '</b></td></tr>'
     || '<tr><td>Poháry</td><td>' || cup || '</td></tr><tr><td>Webové stránky:</td><td><a href="/go/1">web</a></td></tr></tbody></table></body></html>'
-  WHEN 'ceskybeh' THEN '<html><head><title>x</title></head><body><h3>' || title || '</h3><p><i class="fa fa-calendar"></i> ' || date || '</p>'
+  WHEN 'ceskybeh' THEN '<html><head><title>x</title></head><body><div class="col-md-12 text-muted"><p><i class="fa fa-road"></i> mimo</p></div><h3>' || title
+    || '</h3><div id="d" class="container race-detail"><div><p class="lead">popis</p></div><!-- </div> --><p><i class="fa fa-clock"></i> mimo</p>'
+    || '<div class="col-md-12 text-muted"><div class="row"><div><p><i class="fa fa-calendar"></i> ' || date || '</p></div></div>'
     || '<p><i class="fa fa-clock"></i> Start: ' || startTime || '</p><p><i class="fa fa-map-marker"></i> ' || city || ', hala, Kraj: ' || region || '</p>'
-    || '<p><i class="fa fa-arrows-h"></i> Délka tratí: ' || distance || '</p><p><i class="fa fa-road"></i> Typ závodu: ' || surface || '</p>'
-    || '<p><i class="fa fa-user-circle"></i> ' || contact || ' <a href="https://klub.cz/x">klub</a></p></body></html>'
+    || '<p> Délka tratí: <i class="fa fa-arrows-h"></i>' || distance || '</p></div><div class="text-muted col-md-12"><p><i class="fa fa-road"></i> Typ závodu: ' || surface || '</p>'
+    || '<p><i class="fa fa-user-circle"></i> ' || contact || ' <a href="https://klub.cz/x">klub</a></p></div></div><div class="col-md-12 text-muted"><p><i class="fa fa-calendar"></i> mimo</p></div></body></html>'
   ELSE '<html><head><title>' || title || '</title></head><body><h1></h1><div class="terms__item"><div class="terms__note">Datum konání</div> <div class="terms__text">' || date || '</div></div>'
     || '<div class="terms__item"><div class="terms__note">Místo a čas startu</div><div class="terms__text">' || startPlace || ', ' || startTime || '</div></div>'
     || '<div class="parameters__item"><span class="parameters__title">Startovné na místě</span><span class="parameters__value">' || feeOnSite || '</span></div>'

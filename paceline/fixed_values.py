@@ -78,6 +78,9 @@ ICON_FIELDS = {
     "fa-user-circle": "organizer",
     "fa-globe": "website",
 }
+# Classes of the detail block of that layout, and of the parts of it whose paragraphs are read.
+DETAIL_BLOCK = "race-detail"
+DETAIL_TEXT = ("col-md-12", "text-muted")
 
 # --- Distances --------------------------------------------------------------
 NOT_A_DISTANCE = r"minut|hodin|hod\b"

@@ -1,7 +1,9 @@
 """Stored web pages to raw listing rows.  ``pages`` has ``page_id, url, html``.
 
 Markup is read with JVM regular expressions, row by row: no shuffle and no
-Python.  Elements of one layout must not nest inside themselves.
+Python.  ``blocks`` finds where an element ends by counting its tags, so that
+elements of its kind may nest inside; the cells, terms and paragraphs read
+inside blocks must not nest inside themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +31,37 @@ def _element(html: Column, tag: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
 
 
+def blocks(html: Column, *classes: str, tag: str = "div") -> Column:
+    """The contents of every ``tag`` element that has all the classes, up to its own closing tag.
+
+    The text behind each opening tag is cut where as many ``tag`` elements have
+    closed as opened.  An element that never closes reaches to the next one
+    of its classes, or to the end.
+    """
+    has = "".join(rf'(?=[^>]*\sclass="(?:[^"]*\s)?{c}(?:\s[^"]*)?")' for c in classes)
+    pieces = F.split(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), rf"(?is)<{tag}{has}(?:\s[^>]*)?>", -1)
+    edge = rf"(?is)<{tag}(?:\s[^>]*)?>|</{tag}\s*>"
+
+    def closing(edges):
+        """How many tags lie before the one that closes the element; NULL if none does."""
+        def step(at, t):
+            depth = at["depth"] + F.when(t.startswith("</"), -1).otherwise(1)
+            return F.when(at["done"], at).otherwise(F.struct(depth.alias("depth"), (at["before"] + F.when(depth == 0, 0).otherwise(1)).alias("before"), (depth == 0).alias("done")))
+
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("before"), F.lit(False).alias("done"))
+        return F.aggregate(edges, start, step, lambda at: at["before"])
+
+    def content(piece):
+        def cut(gaps, edges):
+            return let(closing(edges), lambda n: F.array_join(F.transform(
+                F.slice(gaps, F.lit(1), n + 1), lambda g, i: F.concat(g, F.when(i < n, F.get(edges, i)).otherwise(F.lit("")))), ""))
+
+        return let(F.struct(F.split(piece, edge, -1).alias("g"), F.regexp_extract_all(piece, F.lit(edge), F.lit(0)).alias("e")),
+                   lambda p: cut(p["g"], p["e"]))
+
+    return F.transform(F.slice(pieces, 2, 1 << 30), content)
+
+
 def page_title(html: Column, heading: str = "h1", empty_counts: bool = False) -> Column:
     """First heading's text, else the page title.
 
@@ -99,30 +132,27 @@ def term_pairs(html: Column) -> Column:
 
 
 def icon_pairs(html: Column) -> Column:
-    """Paragraphs tagged by an icon: its field and the text; the web icon gives its link."""
+    """Paragraphs of the detail block tagged by an icon anywhere in them: its field and the text; the web icon gives its link."""
     def field(icon):
         chain = F.lit(None).cast("string")
         for mark, name in reversed(V.ICON_FIELDS.items()):
             chain = F.when(icon.contains(mark), name).otherwise(chain)
         return F.coalesce(chain, F.lit(""))
 
-    shape = r'(?is)<p(?:\s[^>]*)?>\s*<i\s[^>]*class="([^"]*)"[^>]*>(.*?)</p>'
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(shape), F.lit(1)).alias("icon"),
-        F.regexp_extract_all(html, F.lit(shape), F.lit(2)).alias("body"),
-    )
+    texts = F.flatten(F.transform(blocks(html, V.DETAIL_BLOCK), lambda d: blocks(d, *V.DETAIL_TEXT)))
+    paragraphs = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))))
 
-    def entries(z):
-        def made(name, body):
+    def entries(body):
+        def made(name):
             link = first_href(body)
             text = F.when(name == "website", link).otherwise(inner_text(body))
             own = F.struct(name.alias("label"), text.alias("value"))
             web = F.struct(F.lit("organizerWeb").alias("label"), F.when(name == "organizer", link).otherwise("").alias("value"))
             return F.array(own, web)
 
-        return let(field(z["icon"]), lambda n: made(n, z["body"]))
+        return let(field(F.regexp_extract(body, r'(?is)<i\s[^>]*?class="([^"]*)"', 1)), made)
 
-    flat = F.flatten(F.transform(zipped, entries))
+    flat = F.flatten(F.transform(paragraphs, entries))
     return F.filter(flat, lambda p: (p["label"] != "") & (p["value"] != "")).cast(PAIRS)
 
 
@@ -221,7 +251,8 @@ def listings_from_icon_pages(pages: DataFrame) -> DataFrame:
     found = pick_labels(F.col("pairs"), names)
     step = step.select("*", *[c.alias(f"f_{n}") for n, c in found.items()])
     step = step.withColumn("loc", P.parse_location_place(F.col("f_location")))
-    lead = F.regexp_extract("html", r'(?is)<p\s[^>]*?class="[^"]*\blead\b[^"]*"[^>]*>(.*?)</p>', 1)
+    detail = F.coalesce(F.get(blocks(F.col("html"), V.DETAIL_BLOCK), 0), F.lit(""))
+    lead = F.regexp_extract(detail, r'(?is)<p\s[^>]*?class="[^"]*\blead\b[^"]*"[^>]*>(.*?)</p>', 1)
     return _finish(step, "ceskybeh", {
         "url": F.col("url"), "title": page_title(F.col("html"), "h3"),
         "date": P.extractor_date(F.col("f_date"), F.lit("ceskybeh")),

@@ -255,6 +255,20 @@ def test_pages(spark, evaluate):
         (1, "2147483000"), (1, "9" * 60), (2, "2147483647")}
 
 
+def test_blocks_end_where_their_own_tag_closes(spark, evaluate):
+    found = evaluate(lambda h: G.blocks(h, "a", "b"), '<div class="b x a">1<div>2<DIV class="q">3</div></div>4</div>5<div class="a b"><!-- </div> -->6</div>',
+                     '<div class="ab a-b">no</div><div class="a b">open <div>x</div> end', "<p>none</p>", None, '<div class="a b">one<div class="b a">two</div>three</div>')
+    assert found == [['1<div>2<DIV class="q">3</div></div>4', "6"], ["open <div>x</div> end"], [], None, ["one", "two"]]
+
+
+def test_icons_count_inside_the_detail_block_only(spark):
+    html = ('<div class="col-md-12 text-muted"><p><i class="fa-road"></i>out</p></div><div class="race-detail"><p class="lead">Popis <b>trati</b></p>'
+            '<p><i class="fa-clock"></i>9:00</p><div class="col-md-12 text-muted"><div><p>10 km <i class="fa fa-arrows-h"></i></p></div><p>no icon</p></div></div>'
+            '<p class="lead">other</p>')
+    row = G.listings_from_icon_pages(spark.createDataFrame([(1, "https://c.cz/1", html)], "page_id long, url string, html string")).first()
+    assert (row.distance, row.surface, row.startTime, row.description) == ("10 km", "", "", "Popis trati")
+
+
 def test_growth(spark):
     events = spark.createDataFrame([(1, "view", at(0)), (1, "signup", at(1)), (2, "signup", at(0)), (2, "view", at(1)), (1, "click", at(0))],
                                    "user_id long, event_type string, ts timestamp")
