@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paceline import fixed_values as V
+from paceline.functions.hosts import ascii_host
 from paceline.functions.text import (
     BLANKS, NOT_WS, WS, drop_blanks, is_blank, let, like, null_if_empty, pattern, replace_first, trim_blanks,
 )
@@ -176,8 +177,8 @@ def without_dot_segments(path: Column) -> Column:
 def normalize_website(raw: Column) -> Column:
     """Clean absolute URL without trailing slashes; NULL when blank or not a URL.
 
-    Dot parts of the path are resolved.  Host names stay as written
-    (lower-cased): non-ASCII ones are not put in their ASCII form.
+    Dot parts of the path are resolved; host names are lower-cased and put in
+    their ASCII form.
     """
     shape = r"(?s)^([hH][tT][tT][pP][sS]?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -193,7 +194,7 @@ def normalize_website(raw: Column) -> Column:
             F.replace(part["path"], F.lit("\\"), F.lit("/")).alias("path"),
             F.concat(part["query"], part["mark"]).alias("rest"),
         ), lambda u: let(F.struct(
-            F.lower(F.regexp_replace(u["host_port"], r":\d*$", "")).alias("host"),
+            let(F.lower(F.regexp_replace(u["host_port"], r":\d*$", "")), ascii_host).alias("host"),
             F.regexp_extract(u["host_port"], r":(\d+)$", 1).alias("port"),
         ), lambda h: build(u, h)))
 

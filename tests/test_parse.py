@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import labels as L
 from paceline.functions import parse as P
+from paceline.functions.hosts import ascii_host
 from paceline.functions import text as T
 
 NBSP = "\u00a0"
@@ -128,6 +129,18 @@ def test_website_resolves_dot_parts(evaluate):
                    "https://a.cz/y", "https://a.cz/a/b"]
 
 
+def test_hosts_in_ascii(evaluate):
+    import random
+
+    rng, letters = random.Random(1), "abcxyz0-háčkyžřůßœ日本語\U0001f600éß"
+    hosts = ["háčky.cz", "www.ž.cz", "plain.cz", "BĚH.Praha.CZ", "日本語.jp", "a.b.c", "münchen-ost.de", "a..č", ""]
+    hosts += [".".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(2)) for _ in range(60)]
+    want = [".".join(p if p.isascii() else "xn--" + p.lower().encode("punycode").decode() for p in h.split(".")) for h in hosts]
+    assert evaluate(ascii_host, *hosts) == want
+    assert evaluate(P.normalize_website, "Háčky.cz/a/../b", "https://user@běh.cz:8080/ž/%2e%2e/x") == [
+        "https://xn--hky-ela4t.cz/b", "https://user@xn--bh-lna.cz:8080/x"]
+
+
 def test_url_key(evaluate):
     assert evaluate(P.url_dedup_key, " HTTPS://WWW.a.cz/x// ", "a.cz") == ["a.cz/x", "a.cz"]
 
