@@ -25,6 +25,11 @@ BLOCK = 1024
 #: Columns of a block's incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
+#: Lists of so many members or fewer count pairs instead of electing a leader.
+SHORT = 4
+#: A group's rows are dealt to so many join keys, and what is known of the group is copied to each.
+SALTS = 16
+
 SIGNS = "id long, n long, k1 long, k2 long, sketch array<long>"
 SETS = "node long, shingles array<long>"
 
@@ -104,8 +109,9 @@ def _prefix(k: int, percent: int) -> Column:
     """How many of its sketch values, rarest first, a set must publish.
 
     Two similar sets share at least t sketch values, so their first
-    ``size - t + 1`` in any common order meet.  For a set that its sketch holds
-    whole, t follows from the threshold; else it is a tail bound.
+    ``size - t + 1`` in any common order meet, and with one more they meet
+    twice if t is two or more.  For a set that its sketch holds whole, t
+    follows from the threshold; else it is a tail bound.
     """
     share, n, m = percent / 100, F.col("n"), F.size("sketch")
     whole = F.least(F.ceil(n * percent / 100), k - F.floor(n * (1 - share) / share + 1e-9))
@@ -125,9 +131,11 @@ def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
     return both >= need
 
 
-def _node(key: str) -> Column:
-    """The id, or, for a NULL one, a number behind all usual ids that stands for the text's set."""
-    return F.coalesce(key, F.lit(1 << 62) + F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 61)))
+def _salted(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``known`` (one row a ``key``), where a key may hold a large part of the rows."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(
+        known.withColumn("salt", salts), [key, "salt"], how).drop("salt")
 
 
 class NearDuplicates:
@@ -136,13 +144,15 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, width: int, percent: int, k: int):
         self.docs, self.width, self.percent, self.k = docs, width, percent, k
         self.staged = Staged(docs.sparkSession, "neardup")
-        self.signs = self.staged.put("signs", docs.mapInArrow(_sign(width, k), SIGNS).withColumn(
-            "node", _node("id")))
+        self.signs = self.staged.put("signs", docs.mapInArrow(_sign(width, k), SIGNS))
+        #: Ids of several rows; their texts are told apart by the keys of their sets.
+        self.several = self.staged.put("several", self.signs.filter("id IS NOT NULL").groupBy("id").agg(
+            F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"))
 
     def sketches(self) -> DataFrame:
-        """One sketch for each distinct set; equal sets are one node, the smallest id among them."""
-        some = self.signs.filter("n > 0")
-        return some.groupBy("k1", "k2", "n").agg(F.min("node").alias("node"), F.min_by("sketch", "node").alias("sketch"))
+        """One sketch for each distinct set, with the smallest id that has it; equal sets are one node."""
+        sets = self.signs.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+        return sets.select(F.monotonically_increasing_id().alias("node"), "*")
 
     def lists(self, sketches: DataFrame) -> DataFrame:
         """Inverted lists (value, size, node) of the published values that two nodes or more publish.
@@ -150,7 +160,8 @@ class NearDuplicates:
         Similar sets differ in size by the factor of the threshold at most, so
         they are in one size class or in neighbouring ones.  A node publishes
         under its class and the next, and a value that only sets of other sizes
-        share brings nobody together.
+        share brings nobody together.  One value more than needed is published,
+        so that similar sets share two.
         """
         step = max(math.log(100 / self.percent), 1e-6) * (1 + 1e-9)
         values = sketches.select("node", F.explode("sketch").alias("value"), F.size("sketch").alias("m"),
@@ -159,19 +170,19 @@ class NearDuplicates:
         own = Window.partitionBy("node")
         shared = values.join(often, "value").withColumns({
             "alone": F.col("m") - F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("df", "value"))})
-        published = shared.filter("alone + place <= prefix").select(
+        published = shared.filter("alone + place <= prefix + 1").select(
             "value", "node", "alone", F.explode(F.array("class", F.col("class") + 1)).alias("size"))
         published = self.staged.put("published", published)
         several = published.groupBy("value", "size").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         return published.join(several, ["value", "size"])
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
-        """The full shingle sets of some nodes."""
-        texts = self.docs.join(nodes.withColumn("id", F.col("node")), "id").select("node", "k1", "k2", "text")
-        named = texts.mapInArrow(_whole(self.width), SETS)
-        unnamed = self.docs.filter("id IS NULL").mapInArrow(_keyed(self.width), f"k1 long, k2 long, {SETS.split(', ')[1]}").join(
-            nodes, ["k1", "k2"]).select("node", "shingles").dropDuplicates(["node"])
-        return named.unionByName(unnamed)
+        """The full shingle sets of some nodes (node, id, k1, k2)."""
+        sole = nodes.join(self.several, "id", "left_anti").filter("id IS NOT NULL")
+        named = self.docs.join(sole, "id").select("node", "k1", "k2", "text").mapInArrow(_whole(self.width), SETS)
+        unclear = self.docs.filter("id IS NULL").unionByName(self.docs.join(self.several, "id", "left_semi"))
+        keyed = unclear.mapInArrow(_keyed(self.width), f"k1 long, k2 long, {SETS.split(', ')[1]}")
+        return named.unionByName(keyed.join(nodes, ["k1", "k2"]).select("node", "shingles").dropDuplicates(["node"]))
 
     @staticmethod
     def side(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -196,19 +207,35 @@ class NearDuplicates:
             "node", F.coalesce("root", "comp").alias("comp")))
 
     def groups(self, lists: DataFrame) -> DataFrame:
-        """(lead, node): all nodes that share an inverted list with the same leader, itself included.
+        """(lead, node): all nodes that share a long inverted list with the same leader, and pairs that share two short ones.
+
+        Similar sets share two published values.  Either they share a long list,
+        then they are in the group of its leader, or all lists they share are
+        short: these state their few pairs, and a pair that has only one value
+        in common, as strangers do, goes.
 
         A list's leader is the member with the fewest values of its own, so
         that the lists of one group of copies agree on the text the others were
         made from, and a pair of nodes meets once, not once for each list.
         """
-        leads = lists.groupBy("value", "size").agg(F.min(F.struct("alone", F.xxhash64("node").alias("draw"), F.col("node").alias("lead"))).alias("l"))
-        return lists.join(leads, ["value", "size"]).select(F.col("l.lead").alias("lead"), "node").distinct()
+        short = SHORT if self.percent > 50 else 1
+        member = F.struct("alone", F.xxhash64("node").alias("draw"), F.col("node").alias("lead"))
+        lists = self.staged.put("lists", lists.withColumn("member", member))
+        long = lists.filter(F.col("members") > short)
+        leads = long.groupBy("value", "size").agg(F.min("member").alias("l"))
+        stars = long.join(leads, ["value", "size"]).select(F.col("l.lead").alias("lead"), "node")
+        few = lists.filter(F.col("members") <= short).groupBy("value", "size").agg(F.array_sort(F.collect_list("member")).alias("m"))
+        last = F.size("m") - 1
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(
+            F.sequence(i + 1, last), lambda j: F.struct(F.get("m", i)["lead"].alias("lead"), F.get("m", j)["lead"].alias("node")))))
+        pairs = few.select("value", F.explode(pairs).alias("p")).groupBy("p.lead", "p.node").agg(
+            F.min("value").alias("low"), F.max("value").alias("high")).filter("low < high").select("lead", "node")
+        return stars.unionByName(pairs).unionByName(pairs.select("lead", F.col("lead").alias("node"))).distinct()
 
     def dealt(self, groups: DataFrame, columns: list[str]) -> DataFrame:
         """Members of groups, dealt to pairs of blocks of some ``BLOCK`` members each; a group's pairs are separate tasks' work."""
         sizes = groups.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        member = groups.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        member = _salted(groups, sizes, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         member = member.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                                (F.col("own") > F.col("other")).alias("late"), *columns)
@@ -218,7 +245,7 @@ class NearDuplicates:
         """Groups that hold more than one component, with the component of each member."""
         tagged = groups.join(labels, "node")
         open_ = tagged.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("lead")
-        return tagged.join(open_, "lead", "left_semi")
+        return _salted(tagged, open_, "lead", "left_semi")
 
     def likely_members(self, groups: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
         """Members (lead, node) of groups that by their sketch may be linked across components."""
@@ -237,7 +264,7 @@ class NearDuplicates:
         put = self.staged.put
         sketches = put("sketches", self.sketches())
         groups = put("groups", self.groups(self.lists(sketches)))
-        self.staged.drop("published")
+        self.staged.drop("published", "lists")
         self.staged.tidy()
         single = put("single", groups.select("node", F.col("node").alias("comp")).distinct())
 
@@ -250,23 +277,28 @@ class NearDuplicates:
         # Only these need their full sets.  A pair is in one assumed component, then both are in near pairs, or both are likely members.
         met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         active = put("active", groups.join(met, "node", "left_semi").select("lead", "node").unionByName(likely).distinct())
-        keys = sketches.join(active.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2")
+        keys = put("keys", sketches.join(active.select("node").distinct(), "node", "left_semi").select("node", "id", "k1", "k2"))
         sets = put("sets", self.whole_sets(keys))
         self.staged.tidy()
         labels = self.labels_after(single, put("star", self.linked_pairs(near, sets)), "starred")
         self.staged.tidy()
         labels = self.labels_after(labels, put("rest", self.rest_links(active, labels, sets)), "labels")
-        self.staged.drop("groups", "single", "near", "assumed", "likely", "active", "sets", "star", "starred", "rest")
+        self.staged.drop("groups", "single", "near", "assumed", "likely", "active", "keys", "sets", "star", "starred", "rest")
         self.staged.tidy()
         return self.members(sketches, labels)
 
     def members(self, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-        """Every row of ``signs`` with its component."""
-        classes = sketches.select("k1", "k2", "n", "node").join(labels, "node", "left").select(
-            "k1", "k2", "n", F.coalesce("comp", "node").alias("component"))
-        return self.signs.select("id", "n", "k1", "k2", "node").join(classes, ["k1", "k2", "n"], "left").select(
-            F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"),
-            "node")
+        """Every row of ``signs`` with its component, and whether its set and id are the ones its component is named after."""
+        named = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+        classes = sketches.select("node", "id", "k1", "k2", "n").join(labels, "node")
+        least = self.staged.put("least", classes.groupBy("comp").agg(F.min(named).alias("least")))
+        joined = _salted(classes, least, "comp").select("k1", "k2", "n", "least", F.col("comp").alias("of"))
+        alone = sketches.join(labels, "node", "left_anti").select("k1", "k2", "n", named.alias("least"), F.col("node").alias("of"))
+        rows = self.signs.select("id", "n", "k1", "k2").join(joined.unionByName(alone), ["k1", "k2", "n"], "left")
+        stands = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("least.id", F.lit(1 << 62) + F.col("of")))
+        first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))
+        return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), stands.alias("component_id"), "k1", "k2",
+                           F.coalesce(first, F.lit(False)).alias("first"))
 
 
 def _overlaps(items: pa.ListArray, rows: list[np.ndarray]) -> np.ndarray:
@@ -364,20 +396,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     set holds its distinct ``words``-word shingles, or the whole sequence if it
     is shorter.  Documents are linked if 100 * intersection >= ``percent`` *
     union, on full sets.  Returns one row per input row: doc_id, n_shingles,
-    component_id (smallest id reachable), node (the row's id, or what stands for
-    it).
+    component_id (smallest id reachable), k1 and k2 (128 bits that stand for
+    the set), first (whether the row has the set and id that its component is
+    named after).
 
     Equal sets collapse first.  Each remaining set keeps the ``sketch`` least
     hashes of its shingles; inverted lists of these values, rarest first, bring
     candidates together; the sketch of the union and then the full sets judge
     them.  Each group is linked through its leader first; what it then still
     holds across components is compared block by block.  A pair at the
-    threshold is overlooked with a chance below 1e-9.
+    threshold is overlooked with a chance below 1e-9; a ``sketch`` as large as
+    the largest set overlooks none.
 
     NULL and empty texts have an empty set and are linked with nothing.  Rows
-    with one id are one document, whatever their texts; a NULL id stands for a
-    hash of its text's set.  No rows give no rows.  Only the two named columns
-    are read.
+    are told apart by their sets, whatever their ids: rows of one id and unlike
+    sets are linked only through what they share.  A component without an id
+    gets a number behind all usual ids, an empty text without one none.  No
+    rows give no rows.  Ids are whole numbers.  Only the two named columns are
+    read.
     """
     rows = keeping(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)})
     return NearDuplicates(rows, words, percent, sketch).run()
@@ -386,29 +422,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _marked(width: int, arrow: pa.Schema):
     def run(frames):
         for f in batches(frames):
-            keys = [_keys(s) for s in sets_of(f, width)]
-            yield pa.RecordBatch.from_arrays([*f.columns, pa.array([a for a, _ in keys], pa.int64()),
-                                              pa.array([b for _, b in keys], pa.int64())], schema=arrow)
+            sets = list(sets_of(f, width))
+            keys = [_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*f.columns, pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()),
+                                              pa.array([len(s) for s in sets], pa.int64())], schema=arrow)
 
     return run
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id, one row of it.
+    """``docs`` with one document of each component: one row of the smallest id and the set it is named after.
 
-    Documents without words are linked with nothing and all stay, one row an
-    id.  Documents with a NULL id stay if their component has no id.
+    Rows of one id and unlike sets are documents of their own.  Documents
+    without words are linked with nothing and all stay, every row of them.
+    Documents with a NULL id stay if their component has no id.
     """
-    found = near_duplicates(docs, doc_id, text, words, percent).filter("node = component_id").select(F.col("node").alias("_node")).distinct()
+    rows = keeping(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)})
+    run = NearDuplicates(rows, words, percent, SKETCH)
+    found = run.run()
     rest = [c for c in docs.columns if c != text]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), F.col(text).alias("text"))
-    names = StructType([*packed.schema.fields, StructField("k1", LongType()), StructField("k2", LongType())])
-    unnamed = packed.filter(F.col("_rest").getField(doc_id).isNull()).mapInArrow(_marked(words, to_arrow_schema(names)), names)
-    named = packed.filter(F.col("_rest").getField(doc_id).isNotNull()).withColumn("_node", F.col("_rest").getField(doc_id).cast("long"))
-    both = named.unionByName(unnamed.withColumn("_node", _node("_rest." + doc_id).cast("long")).drop("k1", "k2"))
-    first = F.row_number().over(Window.partitionBy("_node").orderBy(F.xxhash64("text"), "text"))
-    kept = both.join(found, "_node").withColumn("_first", first).filter("_first = 1")
-    return kept.select(*[F.col("text").alias(text) if c == text else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("rest"), F.col(doc_id).cast("long").alias("id"),
+                         F.col(text).alias("text"))
+    # An id of one row says which row; else the row's set is needed too.
+    stay = found.filter("doc_id IS NOT NULL AND (first OR n_shingles = 0)").select(F.col("doc_id").alias("id"))
+    sole = packed.join(stay.join(run.several, "id", "left_anti"), "id").select("rest", "text")
+    unclear = packed.filter("id IS NULL").unionByName(packed.join(run.several, "id", "left_semi"))
+    schema = StructType([*unclear.schema.fields, *[StructField(c, LongType()) for c in ("k1", "k2", "n")]])
+    unclear = unclear.mapInArrow(_marked(words, to_arrow_schema(schema)), schema)
+    wanted = found.filter("first AND n_shingles > 0").select(F.col("doc_id").alias("id"), "k1", "k2").distinct()
+    same = Window.partitionBy("id", "k1", "k2").orderBy(F.xxhash64("text"), "text")
+    of = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2"))
+    chosen = unclear.filter("n > 0").alias("a").join(wanted.alias("b"), of, "left_semi").withColumn("at", F.row_number().over(same)).filter("at = 1")
+    kept = sole.unionByName(chosen.select("rest", "text")).unionByName(unclear.filter("n = 0").select("rest", "text"))
+    return kept.select(*[F.col("text").alias(text) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 NEARDUP_WORDS, NEARDUP_PERCENT = 2, 80

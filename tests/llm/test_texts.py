@@ -200,6 +200,36 @@ def test_keep_one_with_null_ids(spark):
     assert neardup.keep_one(empty).count() == 0 and neardup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_their_sets(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "uvw")
+    near = a + " end"
+    rows = [(5, a), (5, b), (5, a), (3, near), (7, b), (9, c), (9, c), (9, ""), (9, None), (None, c + " end")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = neardup.near_duplicates(df).collect()
+    assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in out)) == sorted(
+        [(5, 26, 3), (5, 26, 5), (5, 26, 3), (3, 27, 3), (7, 26, 5), (9, 26, 9), (9, 26, 9), (9, 0, 9), (9, 0, 9), (-1, 27, 9)])
+    kept = neardup.keep_one(df).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, b), (3, near), (9, c), (9, ""), (9, "")])
+
+
+def test_short_lists_lose_no_pair(spark, monkeypatch):
+    """Pairs, triples and strangers that share few words: every list is short, none, or all but the shortest are long."""
+    rng = np.random.default_rng(9)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for g in range(40):
+        base = list(rng.choice(words, 60))
+        for _ in range(1 + g % 3):
+            c = list(base)
+            c[rng.integers(60)] = "changed"
+            rows.append((len(rows), " ".join(c)))
+    want = brute.components(rows, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, words=2).collect()} == want
+    whole = neardup.near_duplicates(df, words=2, sketch=64)  # as large as the largest set: nothing is estimated
+    assert {r.doc_id: r.component_id for r in whole.collect()} == want
+
+
 # -- language model --------------------------------------------------------
 
 def test_context_tree_weighting(spark):
