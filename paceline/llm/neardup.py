@@ -27,6 +27,8 @@ COLUMNS = 4096
 
 #: Lists of so many members or fewer count pairs instead of electing a leader.
 SHORT = 4
+#: Bits of the marks (4 MB) that keep most unwanted texts from being moved.
+MARKS = 1 << 25
 #: A group's rows are dealt to so many join keys, and what is known of the group is copied to each.
 SALTS = 16
 
@@ -138,6 +140,20 @@ def _salted(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") ->
         known.withColumn("salt", salts), [key, "salt"], how).drop("salt")
 
 
+def _marked_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``id`` is not one of ``wanted``'s.
+
+    Wanted ids set bits at their hash; what is broadcast is the bits, whose
+    number is fixed.  More ids than bits only let more rows through.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    marks = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("place"))
+    marks = marks.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    held = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "place": F.bitmap_bit_position(place)}).join(F.broadcast(marks), "bucket")
+    byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
+    return held.filter(F.expr(f"(shiftright({byte}, cast(place % 8 as int)) & 1) = 1")).select(*rows.columns)
+
+
 class NearDuplicates:
     """One run of the operator; see ``near_duplicates``."""
 
@@ -179,7 +195,7 @@ class NearDuplicates:
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """The full shingle sets of some nodes (node, id, k1, k2)."""
         sole = nodes.join(self.several, "id", "left_anti").filter("id IS NOT NULL")
-        named = self.docs.join(sole, "id").select("node", "k1", "k2", "text").mapInArrow(_whole(self.width), SETS)
+        named = _marked_ids(self.docs, sole).join(sole, "id").select("node", "k1", "k2", "text").mapInArrow(_whole(self.width), SETS)
         unclear = self.docs.filter("id IS NULL").unionByName(self.docs.join(self.several, "id", "left_semi"))
         keyed = unclear.mapInArrow(_keyed(self.width), f"k1 long, k2 long, {SETS.split(', ')[1]}")
         return named.unionByName(keyed.join(nodes, ["k1", "k2"]).select("node", "shingles").dropDuplicates(["node"]))
