@@ -23,6 +23,8 @@ HIDDEN, EPOCHS, RATE, DECAY, SEED = 32, 40, 3e-3, 1e-4, 7
 KEEP = 0.7
 #: Words before that are searched for a repeat.
 REPEAT = 8
+#: Words whose vectors are in memory together.
+SLICE = 32_768
 
 
 def _classes() -> np.ndarray:
@@ -89,18 +91,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(words: Words, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of a text's word vectors, mean of its shape vectors, log of its length."""
+    """Mean and spread of a text's word vectors, mean of its shape vectors, log of its length.
+
+    Vectors are looked up for ``SLICE`` words at a time, so that a long text's
+    are never in memory together.
+    """
     form, shape = tokens(words)
     n = words.counts
+    text = np.repeat(np.arange(len(n)), n)
     out = np.zeros((len(n), 3 * DIM + 1))
+    for b in range(0, len(form), SLICE):
+        of = text[b : b + SLICE]
+        at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        own = vectors[form[b : b + SLICE]]
+        for low, part in ((0, own), (DIM, own * own), (2 * DIM, vectors[shape[b : b + SLICE]])):
+            out[of[at], low : low + DIM] += np.add.reduceat(part, at, dtype=np.float64)
     some = np.flatnonzero(n)
-    if len(some):
-        at, size = words.first[:-1][some], n[some][:, None]
-        a, b = vectors[form], vectors[shape]
-        mean = np.add.reduceat(a, at, dtype=np.float64) / size
-        out[some, :DIM] = mean
-        out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(a * a, at, dtype=np.float64) / size - mean**2, 0))
-        out[some, 2 * DIM : 3 * DIM] = np.add.reduceat(b, at, dtype=np.float64) / size
+    out[some, :-1] /= n[some][:, None]
+    out[:, DIM : 2 * DIM] = np.sqrt(np.maximum(out[:, DIM : 2 * DIM] - out[:, :DIM] ** 2, 0))
     out[:, -1] = np.log1p(n) / 5
     return out
 
