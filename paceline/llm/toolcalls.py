@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,43 +17,98 @@ from paceline.llm.common import Staged, keeping, query, table
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
-def _is(value, kind: str) -> bool:
+def _is(value, kind: str | list[str]) -> bool:
+    if isinstance(kind, list):
+        return any(_is(value, k) for k in kind)
     if kind == "number":
         return isinstance(value, int | float) and not isinstance(value, bool)
     if kind == "integer":
         return _is(value, "number") and value == int(value)
-    return isinstance(value, _TYPES[kind])
+    return kind not in _TYPES or isinstance(value, _TYPES[kind])
+
+
+def _same(a, b) -> bool:
+    return a == b and isinstance(a, bool) == isinstance(b, bool)
+
+
+def _value_problems(value, rule: dict, name: str) -> list[str]:
+    """The first that is wrong with a value itself, else all that is wrong inside it."""
+    if "type" in rule and not _is(value, rule["type"]):
+        return [f"type:{name}"]
+    if "enum" in rule and not any(_same(value, e) for e in rule["enum"]):
+        return [f"enum:{name}"]
+    if _is(value, "number") and not (rule.get("minimum", value) <= value <= rule.get("maximum", value)
+                                     and not value <= rule.get("exclusiveMinimum", value - 1) and not value >= rule.get("exclusiveMaximum", value + 1)):
+        return [f"range:{name}"]
+    if isinstance(value, str) and not rule.get("minLength", 0) <= len(value) <= rule.get("maxLength", len(value)):
+        return [f"length:{name}"]
+    if isinstance(value, str) and "pattern" in rule and not re.search(rule["pattern"], value):
+        return [f"pattern:{name}"]
+    if isinstance(value, list):
+        if not rule.get("minItems", 0) <= len(value) <= rule.get("maxItems", len(value)):
+            return [f"length:{name}"]
+        return [p for i, v in enumerate(value) for p in _value_problems(v, rule.get("items", {}), f"{name}[{i}]")]
+    return _object_problems(value, rule, f"{name}.") if isinstance(value, dict) else []
+
+
+def _object_problems(value: dict, schema: dict, at: str) -> list[str]:
+    known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+    out = [f"missing:{at}{p}" for p in sorted(schema.get("required", [])) if p not in value]
+    for name in sorted(value):
+        if name in known:
+            out += _value_problems(value[name], known[name], at + name)
+        elif isinstance(others, dict):
+            out += _value_problems(value[name], others, at + name)
+        elif not others:
+            out.append(f"extra:{at}{name}")
+    return out
 
 
 def problems(arguments, schema: dict | None) -> list[str]:
-    """What is wrong with parsed arguments, as ``problem:name``, in a fixed order."""
+    """What is wrong with parsed arguments, as ``problem:name``, in a fixed order; names of inner values are paths like ``a.b[0]``.
+
+    Looked at: type (one or several), enum, bounds, lengths and pattern, items,
+    properties, required and additional properties, at any depth.  Schemas
+    combined by anyOf and the like, and references, are not.
+    """
     if schema is None:
         return ["unknown_tool"]
     if not isinstance(arguments, dict):
         return ["not_object"]
-    known, out = schema.get("properties", {}), []
-    out += [f"missing:{p}" for p in sorted(schema.get("required", [])) if p not in arguments]
-    for name in sorted(arguments):
-        if name not in known:
-            if not schema.get("additionalProperties", True):
-                out.append(f"extra:{name}")
-            continue
-        rule, value = known[name], arguments[name]
-        if "type" in rule and not _is(value, rule["type"]):
-            out.append(f"type:{name}")
-        elif "enum" in rule and value not in rule["enum"]:
-            out.append(f"enum:{name}")
-        elif _is(value, "number") and not rule.get("minimum", value) <= value <= rule.get("maximum", value):
-            out.append(f"range:{name}")
-        elif isinstance(value, str) and len(value) > rule.get("maxLength", len(value)):
-            out.append(f"length:{name}")
-    return out
+    return _object_problems(arguments, schema, "")
 
 
 def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _number(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError(text)
+    return value
+
+
+def parse(text: str | None) -> tuple[object, list[str]]:
+    """JSON of a call, and the keys that an object of it repeats (the last one counts).
+
+    ValueError where it is no JSON, or holds numbers too large for it or halves
+    of characters, which could not be written again.
+    """
+    repeated = set()
+
+    def pairs(items: list[tuple]) -> dict:
+        out = dict(items)
+        if len(out) < len(items):
+            names = [n for n, _ in items]
+            repeated.update(n for n in out if names.count(n) > 1)
+        return out
+
+    value = json.loads(text or "", parse_constant=_no_constant, parse_float=_number, object_pairs_hook=pairs)
+    canonical(value).encode()
+    return value, [f"repeated:{n}" for n in sorted(repeated)]
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces and plain characters."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -65,8 +122,8 @@ def _write(schemas: dict, arrow: pa.Schema):
                 errors, arguments = [], None
                 if r["has_call"]:
                     try:
-                        arguments = json.loads(r["arguments"] or "", parse_constant=_no_constant)
-                        errors = problems(arguments, schemas.get(r["name"]))
+                        arguments, errors = parse(r["arguments"])
+                        errors = problems(arguments, schemas.get(r["name"])) + errors
                     except (ValueError, RecursionError):
                         arguments, errors = r["arguments"], ["not_json"]
                 found.append(errors)
@@ -196,18 +253,25 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 TOOL_CALLS_SQL = """
-WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'call_' || conv_id || '_' || turn AS call_id,
-       CASE WHEN turn > 1 THEN 'answer' ELSE 'greet' END AS name, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS words,
-       turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role = 'assistant'),
-l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1)::INTEGER AS level,
-       CASE WHEN name = 'greet' AND length(text) > 400 THEN 'length:text' WHEN name = 'answer' AND words NOT BETWEEN 1 AND 120
-       THEN 'range:words' ELSE '' END AS errors FROM c),
-r AS (SELECT conv_id, turn, text AS content, 'call_' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'user' AND turn > 0),
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'call_' || conv_id || '_' || turn AS call_id,
+       CASE WHEN turn > 1 THEN 'answer' ELSE 'greet' END AS name, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS words
+     FROM conversations WHERE role = 'assistant'),
+d AS (SELECT *, CASE WHEN name = 'greet' AND length(text) > 400 THEN 'length:text' WHEN name = 'answer' AND words NOT BETWEEN 1 AND 120
+       THEN 'range:words' ELSE '' END AS errors,
+       row_number() OVER (PARTITION BY conv_id, turn ORDER BY '{"words":' || words || ',"turn":' || turn || ',"text":' || to_json(text)::VARCHAR || '}') AS nth FROM t),
+c AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM d WHERE nth = 1),
+l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1)::INTEGER AS level FROM c),
+r0 AS (SELECT conv_id, turn, text AS content, 'call_' || conv_id || '_' || (turn - 1) AS call_id,
+       row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS nth, count(*) OVER (PARTITION BY conv_id, turn) AS n
+     FROM conversations WHERE role = 'user' AND turn > 0),
+r AS (SELECT * FROM r0 WHERE nth = 1),
 j AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, level, coalesce(l.turn, r.turn) AS seq, coalesce(l.call_id, r.call_id) AS call_id,
-       name, content, l.text, words, coalesce(errors, '') AS errors, (r.turn IS NOT NULL)::BIGINT AS n_results,
+       name, content, l.text, words, coalesce(errors, '') AS errors, coalesce(r.n, 0)::BIGINT AS n_results,
        CASE WHEN l.turn IS NULL THEN 'orphan' WHEN level = 0 AND l.turn > 1 THEN 'unknown_parent'
             WHEN r.turn IS NOT NULL THEN 'linked' ELSE 'unanswered' END AS status
-     FROM l FULL OUTER JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id)
+     FROM l FULL OUTER JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id
+     UNION ALL SELECT conv_id, NULL, turn, call_id, name, NULL, text, words, errors, 0, 'duplicate_call' FROM d WHERE nth > 1
+     UNION ALL SELECT conv_id, NULL, turn, call_id, NULL, content, NULL, NULL, '', 0, 'extra_result' FROM r0 WHERE nth > 1)
 SELECT conv_id, level, seq, call_id, name, status, n_results, errors, '{"arguments":' ||
   CASE WHEN name IS NULL THEN 'null' ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || seq || ',"words":' || words || '}' END ||
   ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') ||

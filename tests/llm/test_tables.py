@@ -110,6 +110,32 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+def test_arguments_that_are_no_json_or_odd_never_end_a_job(spark):
+    inner = {"properties": {"a": {"type": ["integer", "null"]}, "b": {"type": "array", "items": {"type": "object", "properties": {
+        "c": {"type": "string", "pattern": "^x"}}, "required": ["c"], "additionalProperties": False}, "maxItems": 2}, "n": {"exclusiveMinimum": 0}}}
+    cases = {'{"n":1e400}': ["not_json"], '{"a":"\\ud800"}': ["not_json"], "NaN": ["not_json"], "[" * 100_000: ["not_json"], '{"a":null,"n":1}': [],
+             '{"a":2.5}': ["type:a"], '{"a":1,"a":2}': ["repeated:a"], '{"b":[{"c":"x1"},{"c":"y"}]}': ["pattern:b[1].c"], '{"n":0}': ["range:n"],
+             '{"b":[{},{"c":"x","d":1}]}': ["missing:b[0].c", "extra:b[1].d"], '{"b":[1,2,3]}': ["length:b"], '{"n":' + "9" * 5000 + "}": ["not_json"],
+             '{"n":123456789012345678901234567890}': [], '"\\udc00\\ud800"': ["not_json"], "": ["not_json"], '{"n":true}': []}
+    calls = [(i, 1, "a", None, "get", text, "x") for i, text in enumerate(cases)]
+    out = toolcalls.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"get": inner}).collect()
+    assert {r.conv_id: r.errors for r in out} == dict(enumerate(cases.values()))
+    assert all(json.loads(r.json)["valid"] == (not r.errors) for r in out)
+
+
+def test_tool_call_sql_says_what_the_query_says_of_repeated_turns(spark, tmp_path):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "hello"), (1, 1, "assistant", "a hello"), (1, 2, "user", "one"), (1, 2, "user", None),
+             (1, 3, "assistant", "w " * 130), (1, 3, "assistant", ""), (2, 2, "user", "alone"), (2, 2, "user", "alone"), (2, 5, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(toolcalls.TOOL_CALLS_SQL)
+    names = [c[0] for c in want.description]
+    got = toolcalls.op6_tool_calls(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str) and len(got) == 8
+
+
 def test_no_repeated_call_or_result_is_lost(spark):
     calls = [(1, 2, "a", None, "get", '{"n": 1}', "x"), (1, 4, "a", None, "get", '{"n": 12}', "x"), (1, 4, "a", None, "get", '{"n": 12}', "x"),
              (1, 5, None, None, "get", "{}", "x"), (1, 5, None, None, "get", "[]", "x"), (None, 1, "a", "b", "get", '{"n": 2}', "x")]
