@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small tables."""
 
+import datetime
 import hashlib
 import math
 import re
@@ -129,5 +130,74 @@ class Ctw:
         return total
 
 
+# -- pseudonyms: two halves that take turns in being shifted by a digest of the other ---------
+
+def _half(key, kind, i, half):
+    return hashlib.sha256(f"{key}|{kind}|{i}|{half}".encode()).hexdigest()
+
+
+def permuted_number(value, high, low, key, kind):
+    a, b = divmod(value, low)
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + int(_half(key, kind, i, b)[:12], 16)) % high
+        else:
+            b = (b + int(_half(key, kind, i, a)[:12], 16)) % low
+    return a * low + b
+
+
+def permuted_text(value, key, kind):
+    def moved(half, digest):
+        out = ""
+        for p, c in enumerate(half):
+            k = int(digest[2 * (p % 32) : 2 * (p % 32) + 2], 16)
+            for first, size in (("0", 10), ("a", 26), ("A", 26)):
+                if c.isascii() and 0 <= ord(c) - ord(first) < size:
+                    c = chr(ord(first) + (ord(c) - ord(first) + k) % size)
+                    break
+            out += c
+        return out
+
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(8):
+        if i % 2 == 0:
+            a = moved(a, _half(key, kind, i, b))
+        else:
+            b = moved(b, _half(key, kind, i, a))
+    return a + b
+
+
+def pseudonym(value, kind, key):
+    if kind == "email":
+        name, _, host = value.partition("@")
+        return permuted_text(name, key, kind) + "@" + host
+    if kind == "phone":
+        country = re.match(r"(?:\+[0-9]{1,3}?(?=[ -]|\(|[0-9]{7}))?", value).group()
+        return country + permuted_text(value[len(country) :], key, kind)
+    if kind == "ip":
+        number = 0
+        for part in value.split("."):
+            number = number * 256 + int(part)
+        number = permuted_number(number, 65536, 65536, key, kind)
+        return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
+    if kind in ("iso_date", "day_date"):
+        sep = re.search("[-./]", value).group()
+        y, m, d = map(int, value.split(sep) if kind == "iso_date" else reversed(value.split(sep)))
+        first = datetime.date(1800, 1, 1)
+        to = first + datetime.timedelta(permuted_number((datetime.date(y, m, d) - first).days, 189, 773, key, "date"))
+        return to.isoformat() if kind == "iso_date" else f"{to.day:02}{sep}{to.month:02}{sep}{to.year:04}"
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        areas = [a for a in range(1, 900) if a != 666]
+        n = permuted_number((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, kind)
+        return f"{areas[n // 9999 // 99]:03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+    digits = permuted_text(re.sub("[ -]", "", value)[:-1], key, "card")
+    total = sum(int(c) if p % 2 else (int(c) * 2 - 9 if c > "4" else int(c) * 2) for p, c in enumerate(reversed(digits)))
+    digits, out = iter(digits + str(-total % 10)), ""
+    for c in value:
+        out += next(digits) if c.isdigit() else c
+    return out
+
+
 def stream(text):
     return b" ".join(words(text)) + b"\n"

@@ -230,6 +230,18 @@ def test_permutations_are_bijections(spark):
     assert len(moved) == 5000 and all(re.fullmatch(r"(1[89]|2[01])\d\d-\d\d-\d\d", d) for d in moved)
 
 
+def test_pseudonyms_equal_plain_python(spark):
+    values = [("email", "jan.Novak+1@mail.cz"), ("email", "x@a.b"), ("phone", "+420 777 123 456"), ("phone", "+1-555-123-4567"), ("phone", "(555) 123-4567"),
+              ("phone", "555.123.4567"), ("ip", "10.0.0.255"), ("ip", "0.0.0.0"), ("ip", "255.255.255.255"), ("iso_date", "1800-01-01"), ("iso_date", "2199-12-31"),
+              ("iso_date", "2020-02-29"), ("day_date", "01.02.2020"), ("day_date", "1/2/1999"), ("ssn", "001-01-0001"), ("ssn", "899-99-9999"),
+              ("ssn", "665-10-1234"), ("ssn", "667-10-1234"), ("card", "4111111111111111"), ("card", "4111 1111 1111 1111"), ("card", "3782-822463-10005")]
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(values)], "i int, kind string, v string")
+    for key in ("k", "another key"):
+        out = df.select("i", pseudonyms.kind_of(F.col("v")).alias("seen"), pseudonyms.pseudonym(F.col("v"), F.col("kind"), key).alias("to")).orderBy("i").collect()
+        assert [r.seen for r in out] == [k for k, _ in values]
+        assert [r.to for r in out] == [brute.pseudonym(v, k, key) for k, v in values]
+
+
 # -- SentencePiece ---------------------------------------------------------
 
 TEXTS = [None, "", " ", "  a  b ", "\n", "a\n\nb", "x\ty\r\n", "▁", "a▁b", "<s> <0x0A>", "日本語 \U0001f600 é", "a" * 50, "\n\n a", "word " * 3000]

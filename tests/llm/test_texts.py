@@ -321,6 +321,51 @@ def test_quality(spark):
     assert quality.fit_quality(both.limit(0), labels, lambda i: F.lit(True)).score(both.limit(0)).count() == 0
 
 
+def test_pooling_and_forward_pass_equal_plain_python(monkeypatch):
+    """Every word's form and shape, the means and spreads of their vectors and the network, one number at a time."""
+    texts = [*ODD, "Ab1 ab1 x9Z -- Ab1 éé", "word " * 20 + "Other"]
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(quality.FORMS + quality.SHAPES, quality.DIM)).astype(np.float32)
+    net = quality.Network(rng.normal(size=97), rng.uniform(0.5, 2, 97), rng.normal(size=(97, 5)), rng.normal(size=5), rng.normal(size=5), 0.3, 1.7)
+
+    def kind(byte):
+        for low, high, c in ((97, 122, 1), (65, 90, 2), (48, 57, 3), (128, 255, 4)):
+            if low <= byte <= high:
+                return c
+        return byte
+
+    def pooled(text):
+        raw = brute.SPACED.findall((text or "").encode())
+        forms, shapes = [], []
+        for i, w in enumerate(raw):
+            low = w.lower()
+            again = low in [x.lower() for x in raw[max(0, i - quality.REPEAT) : i]]
+            first, last = kind(w[0]), kind(w[-1])
+            second, before = (kind(w[1]), kind(w[-2])) if len(w) > 1 else (0, 0)
+            shape = (((first * 256 + second) * 256 + before) * 256 + last) * 2 + again
+            forms.append(vectors[int(range_hashes(np.frombuffer(low, np.uint8), np.array([0]), np.array([len(low)]))[0]) % quality.FORMS])
+            shapes.append(vectors[quality.FORMS + int(quality.mix(np.array([shape], np.uint64))[0]) % quality.SHAPES])
+        out, n = [0.0] * 97, len(raw)
+        for d in range(quality.DIM if n else 0):
+            mean = sum(float(v[d]) for v in forms) / n
+            out[d], out[64 + d] = mean, sum(float(v[d]) for v in shapes) / n
+            out[32 + d] = math.sqrt(max(sum(float(np.float32(v[d]) * np.float32(v[d])) for v in forms) / n - mean**2, 0))
+        out[96] = math.log1p(n) / 5
+        return out
+
+    def score(x):
+        z = [(a - m) / s for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+        h = [math.tanh(sum(a * net.w1[i, j] for i, a in enumerate(z)) + net.b1[j]) for j in range(5)]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(h, net.w2, strict=True)) + net.b2) / net.heat))
+
+    want = [pooled(t) for t in texts]
+    for size in (quality.SLICE, 7):
+        monkeypatch.setattr(quality, "SLICE", size)
+        got = quality.pooled(Words(texts), vectors)
+        assert np.allclose(got, want, atol=1e-6)
+        assert np.allclose(net.score(got), [score(x) for x in want], atol=1e-6)
+
+
 def test_calibration_lowers_the_loss():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
