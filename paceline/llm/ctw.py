@@ -7,9 +7,12 @@ from math import lgamma, log, pi
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paceline.llm.common import Staged, keeping, query, table
 from paceline.llm.lookup import Lookup
@@ -17,8 +20,8 @@ from paceline.llm.words import Words, batches, texts_of
 
 #: Bytes of context.
 DEPTH = 4
-#: Rows of the table that are counted and scored together.
-BLOCK_BITS = 13
+#: Rows of the table that are counted and scored together, and bytes of their texts.
+BLOCK_BITS, BLOCK_BYTES = 13, 32 << 20
 END, SPACE = 10, 32
 #: Stands for the end token among word hashes.
 END_KEY = np.uint64(0)
@@ -88,6 +91,23 @@ def _tokens(words: Words, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.concatenate((np.repeat(trained, words.counts), trained))
 
 
+def _numbered(most_rows: int, most_bytes: int, schema: pa.Schema):
+    """Rows with the block they are in: consecutive rows of a task, so many or of so many bytes at most; a longer text is alone."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+        for frame in frames:
+            own = []
+            for n in pa.compute.fill_null(pa.compute.binary_length(frame.column("text")), 0).to_pylist():
+                if rows and (rows == most_rows or size + n > most_bytes):
+                    block, rows, size = block + 1, 0, 0
+                rows, size = rows + 1, size + n
+                own.append(block)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(own, pa.int64())], schema=schema)
+
+    return run
+
+
 def _count(depth: int):
     """Distinct keys of each block: byte grams and words."""
 
@@ -249,8 +269,10 @@ def _score(depth: int, total: int, distinct: int):
     def run(texts: pa.Table, values: pa.Table) -> pa.Table:
         is_word = values.column("word").to_numpy().astype(bool)
         keys, got = values.column("key").to_numpy().view(np.uint64), values.column("value").to_numpy()
-        word_of, gram_of = Lookup(keys[is_word]), Lookup(keys[~is_word])
-        word_value, gram_value = got[is_word], got[~is_word]
+        # A key that two tasks counted in parts of one block comes twice, with one value.
+        (words_at, at), (grams_at, place) = (np.unique(keys[kind], return_index=True) for kind in (is_word, ~is_word))
+        word_of, gram_of = Lookup(words_at), Lookup(grams_at)
+        word_value, gram_value = got[is_word][at], got[~is_word][place]
         out = []
         for part in (p for b in texts.to_batches() for p in batches(iter([b]))):
             words = Words(texts_of(part))
@@ -259,7 +281,7 @@ def _score(depth: int, total: int, distinct: int):
             tokens = _tokens(words, np.zeros(n, bool))[0]
             at, place = word_of.find(tokens), gram_of.find(grams(stream, begin, depth))
             if (at < 0).any() or (place < 0).any():
-                raise RuntimeError("the documents changed while they were scored: store them first")
+                raise RuntimeError("a text has a key that was not counted")
             c = word_value[at]
             own = np.concatenate((np.repeat(np.arange(n), words.counts), np.arange(n)))
             base = np.bincount(own, np.log10((c + 1) / (total + distinct + 1)), n)
@@ -290,20 +312,20 @@ def ctw_scores(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text
     One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, bits_per_byte.
 
-    Rows are counted in blocks of consecutive rows of the input's partitions;
-    what is shuffled are each block's distinct byte grams and words, out for
-    their counts and back for the scores.  No table of the model is collected:
-    the driver holds the top two levels only, 65,535 nodes at most.  The input
-    must be stored (it is read twice and must not change between).
+    Rows are stored once, in blocks of consecutive rows of limited number and
+    bytes; what is shuffled are each block's distinct byte grams and words, out
+    for their counts and back for the scores.  No table of the model is
+    collected: the driver holds the top two levels only, 65,535 nodes at most.
 
     NULL and empty texts are an end; NULL conditions count as training; NULL
     ids and repeated rows are scored as they come; without training texts all
     bits have probability one half; no rows give no rows.
     """
     rows = keeping(docs, {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text),
-                          "train": F.coalesce(train, F.lit(True)),
-                          "block": F.shiftright(F.monotonically_increasing_id(), block_bits)})
+                          "train": F.coalesce(train, F.lit(True))})
     staged, floor = Staged(docs.sparkSession, "ctw"), 2
+    schema = StructType([*rows.schema.fields, StructField("block", LongType())])
+    rows = staged.put("rows", rows.mapInArrow(_numbered(1 << block_bits, BLOCK_BYTES, to_arrow_schema(schema)), schema))
     counted = staged.put("counted", rows.mapInArrow(_count(depth), "block long, word boolean, key long, n long"))
     # A key has one row a block at most, however often it occurs.
     same = Window.partitionBy("word", "key")

@@ -251,6 +251,19 @@ def test_context_tree_weighting(spark):
         assert math.isclose(r.score, model.score(brute.stream(texts[r.doc_id])), rel_tol=1e-9)
 
 
+def test_blocks_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    ctw.TaskContext, kept = type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 2})())}), ctw.TaskContext
+    try:
+        schema = pa.schema([("text", pa.string()), ("block", pa.int64())])
+        frames = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"]) for t in (["a", None, "b" * 50], ["c" * 9, "d", "e", "f", "g"])]
+        out = [b - (2 << 32) for f in ctw._numbered(3, 10, schema)(iter(frames)) for b in f.column("block").to_pylist()]
+    finally:
+        ctw.TaskContext = kept
+    assert out == [0, 0, 1, 2, 2, 3, 3, 3]
+
+
 def test_scores_without_training_or_rows(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = ctw.ctw_scores(df, F.lit(False)).first()
