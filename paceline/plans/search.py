@@ -15,9 +15,27 @@ from paceline.operators import filters as X
 
 # --- Query parsing -----------------------------------------------------------
 
+def _any_of(patterns) -> str:
+    """One pattern that matches where any of these does; whole words share their edges."""
+    texts = [p for p, _ in patterns]
+    if all(p.startswith(r"\b(?:") and p.endswith(r")\b") for p in texts):
+        return r"\b(?:" + "|".join(p[5:-3] for p in texts) + r")\b"
+    return "|".join(f"(?:{p})" for p in texts)
+
+
 def _first_of(text: Column, patterns, matches=T.like) -> Column:
-    """Value of the first pattern that matches; NULL if none does."""
-    return F.coalesce(*[F.when(matches(text, p), F.lit(value)) for p, value in patterns])
+    """Value of the first pattern that matches; NULL if none does.
+
+    Halves of the list are tried as one pattern each, so a text meets a few
+    patterns and not all before the first that matches.
+    """
+    def among(part):
+        half = len(part) // 2
+        if not half:
+            return F.lit(part[0][1])
+        return F.when(matches(text, _any_of(part[:half])), among(part[:half])).otherwise(among(part[half:]))
+
+    return F.when(matches(text, _any_of(patterns)), among(patterns))
 
 
 def _strip_chosen(folded: Column, chosen: Column, patterns) -> Column:
@@ -41,7 +59,7 @@ def parse_city(normalized: Column) -> Column:
 def parse_km(normalized: Column) -> Column:
     """Distance by number or word; a word for ultra is handled by the caller."""
     number = F.regexp_extract(normalized, V.QUERY_KM_NUMBER, 1)
-    return F.coalesce(number.try_cast("int"), _first_of(normalized, V.QUERY_KM_WORDS, T.like_folded))
+    return F.coalesce(T.null_if_empty(number).try_cast("int"), _first_of(normalized, V.QUERY_KM_WORDS, T.like_folded))
 
 
 def parse_queries(queries: DataFrame, column: str = "q", fold_accents: bool = False) -> DataFrame:

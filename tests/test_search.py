@@ -220,3 +220,16 @@ def test_search_by_queries_equals_one_search_each(spark):
         want = [(r.race_id, round(r.score, 5)) for r in found.collect()]
         assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == want, q
     assert search_by_queries(queries.limit(0), races, dim, "2026-04-10").count() == 0
+
+
+def test_patterns_are_tried_by_halves_and_the_first_wins(evaluate):
+    from paceline import fixed_values as V
+    from paceline.functions import text as T
+
+    def one_by_one(patterns, matches):
+        return lambda c: F.coalesce(*[F.when(matches(c, p), F.lit(v)) for p, v in patterns])
+
+    texts = ("", None, "maraton pulku", "březnu lednu", "xlednu", "trail cross", "praha 5 brno", "petku desitka", "Října říjnu", "městsk road", "a_lednu", "\u017fpartan")
+    for patterns, matches in ((V.QUERY_TERRAINS, T.like), (V.QUERY_MONTHS, T.like), (V.QUERY_CITIES, T.like_folded), (V.QUERY_KM_WORDS, T.like_folded)):
+        assert evaluate(lambda c: S._first_of(c, patterns, matches), *texts) == evaluate(one_by_one(patterns, matches), *texts)  # noqa: B023
+    assert S._any_of(V.QUERY_MONTHS[:2]) == r"\b(?:leden|lednu|ledna|unor|unora|únor|února)\b"
