@@ -206,6 +206,18 @@ def test_word_similarity(evaluate):
     assert [None if g is None else round(g, 6) for g in got] == [0.8, 1.0, 0.0, 0.0, None]
 
 
+def test_word_similarity_counts_repeated_trigrams_once_a_run(evaluate):
+    got = evaluate(T.word_similarity, ("ab", "ab ab"), ("ab cd", "ab ab xy cd"), ("aaaa", "aaaaaaa b"), ("ab cd", "xab ab ab cd"))
+    assert [round(g, 6) for g in got] == [1.0, 0.666667, 1.0, 1.0]
+    assert "array_intersect" not in str(T.word_similarity(F.col("a"), F.col("b")))  # runs are positions, not sets built for each
+
+
+def test_word_edges_are_those_of_folded_ranges(spark):
+    letters = spark.createDataFrame([(chr(c),) for c in range(1, 0x3000)], "c string")
+    assert letters.filter(F.col("c").rlike("(?iu)[A-Za-z0-9_]") != F.col("c").rlike("(?iu)" + T._WORD_ANY_CASE)).count() == 0
+    assert letters.filter(F.col("c").rlike("[A-Za-z0-9_]") != F.col("c").rlike(T._WORD)).count() == 0
+
+
 def test_word_similarity_equals_brute_force(evaluate):
     import itertools
     import random
