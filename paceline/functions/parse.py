@@ -87,7 +87,7 @@ def parse_distances(raw: Column) -> Column:
     value_shape = pattern(V.KM_VALUE, ignore_case=True)
 
     def entry(seg):
-        number = F.regexp_replace(F.regexp_extract(seg, value_shape, 1), ",", ".").try_cast("double")
+        number = null_if_empty(F.regexp_replace(F.regexp_extract(seg, value_shape, 1), ",", ".")).try_cast("double")
         miles = F.lower(F.regexp_extract(seg, value_shape, 2)).isin("míle", "mil")
         number = let(number, lambda n: F.when(miles, round_half_up(n * V.KM_PER_MILE, 1)).otherwise(n))
         label = trim_blanks(F.regexp_replace(seg, rf"{WS}*\+?{WS}*$", ""))
@@ -199,7 +199,7 @@ def normalize_website(raw: Column) -> Column:
         ), lambda h: build(u, h)))
 
     def build(u, h):
-        number = h["port"].try_cast("int")
+        number = null_if_empty(h["port"]).try_cast("int")
         usual = F.when(u["scheme"] == "http", 80).otherwise(443)
         port = F.when((h["port"] == "") | (number == usual), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
         valid = (
@@ -223,7 +223,7 @@ def parse_fee(raw: Column) -> Column:
     """Whole amount; free and voluntary words are 0; blank or no number is NULL."""
     free = F.lower(raw).rlike("|".join(V.FREE_WORDS))
     digits = F.regexp_extract(raw, rf"(\d[\d{BLANKS}]*\d|\d+)", 1)
-    return F.when(free, F.lit(0).cast("bigint")).otherwise(drop_blanks(digits).try_cast("bigint"))
+    return F.when(free, F.lit(0).cast("bigint")).otherwise(null_if_empty(drop_blanks(digits)).try_cast("bigint"))
 
 
 def price_bounds(pre: Column, on_site: Column) -> tuple[Column, Column]:
