@@ -306,3 +306,15 @@ def test_throttle_state_ends_behind_the_watermark(spark, tmp_path):
     stream = W.folder_stream(spark, spark.createDataFrame([], schema).schema, str(tmp_path / "in"), maxFilesPerTrigger=1)
     got = W.drain(W.throttle_stream(stream, "address", "1 minute"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert {(r["key"], r["id"]) for r in got.collect()} == {("a", 1), ("b", 3), ("b", 4), ("a", 5), ("b", 7)}
+
+
+def test_stretches_of_a_stream_are_computed_in_parallel(spark, tmp_path):
+    from paceline.catalog import engagement
+
+    rows = spark.range(0, 400, 1, 4).withColumn("part", F.spark_partition_id())
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    batches = []
+    W.drain_batches(engagement._stream_of(spark, rows, "id"), lambda b, n: batches.append(b.agg(F.count("id"), F.max("id")).first()), checkpoint)
+    assert len(batches) == 3 and sum(b[0] for b in batches) == 400 and [b[1] for b in batches] == sorted(b[1] for b in batches)
+    back = W.drain(engagement._stream_of(spark, rows, "id"), out, checkpoint + "-2")
+    assert back.select("part").distinct().count() == 4
