@@ -175,8 +175,12 @@ def _runs(marks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(padded[1:] != padded[:-1])
 
 
-def _pass(automaton, schema: pa.Schema):
+def _pass(automaton, schema: pa.Schema, then=None):
+    """Marks and items of a chunk added to each row; ``then`` takes the batches on in the same worker."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return marked(frames) if then is None else then(marked(frames))
+
+    def marked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Automaton = automaton.value
         for frame in batches(frames):
             words = Words(texts_of(frame), PLAIN)
@@ -214,6 +218,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str | list[str] = "doc
     NULL item id counts as the empty string; repeated items count once; no
     documents give no rows, no items no hits.
     """
+    return _leaks(docs, items, doc_id, text, item_id, item_text, window, automaton_words)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, doc_id: str | list[str], text: str, item_id: str = "item_id", item_text: str = "text",
+           window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS, then=None, returns: StructType | None = None) -> DataFrame:
+    """``find_leaks``, or what ``then`` makes of its batches: the last pass hands them on, without a second worker for each task."""
     ids = [doc_id] if isinstance(doc_id, str) else doc_id
     rows = keeping(docs, {**{c: F.col(c) for c in ids}, "text": F.col(text)})
     rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "marks": F.array().cast("array<int>"),
@@ -222,10 +232,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str | list[str] = "doc
     arrow = to_arrow_schema(schema)
     wanted = items.select(F.col(item_id).cast("string"), F.col(item_text))
     staged, spark = Staged(docs.sparkSession, "leaks"), docs.sparkSession
-    for n, chunk in enumerate(_chunks(wanted, automaton_words, window)):
+    chunks = _chunks(wanted, automaton_words, window)
+    chunk, n = next(chunks), 0
+    while chunk is not None:
         if n:  # the pass before ends first, so that two automata never share a worker
             rows = staged.put(f"pass{n}", rows)
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(Automaton(chunk, window)), arrow), schema)
+        automaton, chunk, n = spark.sparkContext.broadcast(Automaton(chunk, window)), next(chunks, None), n + 1
+        last = chunk is None and then is not None
+        rows = rows.mapInArrow(_pass(automaton, arrow, then if last else None), returns if last else schema)
     return rows
 
 
@@ -265,9 +279,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     """
     rest = [c for c in docs.columns if c != text]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("rest"), F.col(text).alias("text"))
-    found = find_leaks(packed, items, ["rest"], "text", window=window, **names).drop("items", "n_words")
-    schema = StructType([found.schema["rest"], found.schema["text"]])
-    kept = found.select("rest", "text", "marks").mapInArrow(_cut(to_arrow_schema(schema), max_words, max_cover), schema)
+    schema = StructType([packed.schema["rest"], packed.schema["text"]])
+    kept = _leaks(packed, items, ["rest"], "text", window=window, then=_cut(to_arrow_schema(schema), max_words, max_cover), returns=schema, **names)
     return kept.select(*[F.col("text").alias(text) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 

@@ -386,3 +386,10 @@ def test_calibration_lowers_the_loss():
     net = quality.fit_network(x, y)
     held = np.random.default_rng(quality.SEED).permutation(3000)[:600]
     assert quality._loss(net.logits(x[held]) / net.heat, y[held]) <= quality._loss(net.logits(x[held]), y[held]) + 1e-12
+
+
+def test_cutting_needs_no_second_worker(spark):
+    items = spark.createDataFrame([("i", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    out = decontaminate.decontaminate(docs(spark, ["a b c d e f g h i j k l one two three four five six seven eight nine ten", "x", None]), items)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["a b c d e f g h i j k l ", "x", None]
