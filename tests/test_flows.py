@@ -318,3 +318,14 @@ def test_stretches_of_a_stream_are_computed_in_parallel(spark, tmp_path):
     assert len(batches) == 3 and sum(b[0] for b in batches) == 400 and [b[1] for b in batches] == sorted(b[1] for b in batches)
     back = W.drain(engagement._stream_of(spark, rows, "id"), out, checkpoint + "-2")
     assert back.select("part").distinct().count() == 4
+
+
+def test_page_is_searched_once_for_its_pairs(spark):
+    term = '<div class="terms__note">A</div><div class="terms__text">1 <a>x</a></div><p>-</p><div class="terms__note">B</div> <div class="terms__text">2</div>'
+    table = '<table class="race"><tr><td>A:</td><td>1</td></tr><tr><td>B</td><td><a href="/z">2</a></td></tr></table>'
+    pages = spark.createDataFrame([(1, "https://a.cz/", term, table)], "page_id long, url string, term string, tab string")
+    found = pages.select(G.term_pairs(F.col("term")).alias("t"), G.table_pairs(F.col("tab"), F.col("url")).alias("r"))
+    row = found.first()
+    assert [tuple(p) for p in row.t] == [("a", "x"), ("b", "2")] and [tuple(p) for p in row.r] == [("a", "1"), ("b", "https://a.cz/z")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(term") == 2 and plan.count("regexp_extract(tab") == 1
