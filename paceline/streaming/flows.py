@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
 
 from paceline import fixed_values as V
-from paceline.functions.text import is_blank
+from paceline.functions.text import is_blank, trim_blanks
 from paceline.operators import normalize as N
 from paceline.operators.upsert import upsert_races
 from paceline.plans.integrate import integrate
@@ -81,10 +81,12 @@ def ingest_flow(out: str, quarantine: str):
         judged = batch.withColumn("reason", F.when(F.col(CORRUPT).isNotNull(), "unreadable").when(lacks, "incomplete"))
         items = N.normalize_items(judged.filter("reason IS NULL").withColumn("ord", F.lit(None).cast("bigint")))
         N.accepted(items).drop("ord").write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
-        early = judged.filter("reason IS NOT NULL").select("source", "url", "title", "reason", F.col(CORRUPT).alias("raw"))
-        late = N.rejected(items).select("source", F.col("sourceUrl").alias("url"), "title", F.col("reject_reason").alias("reason"),
-                                        F.lit(None).cast("string").alias("raw"))
-        early.unionByName(late).write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={number}"))
+        # All that is set aside in one pass over the files: rows with a reason as they are, the others with trimmed title and that of their values.
+        early = F.col("reason").isNotNull()
+        aside = judged.withColumn("why", F.coalesce(F.col("reason"), N.reject_reason())).filter("why IS NOT NULL").select(
+            "source", "url", F.when(early, F.col("title")).otherwise(trim_blanks(F.col("title"))).alias("title"),
+            F.col("why").alias("reason"), F.when(early, F.col(CORRUPT)).alias("raw"))
+        aside.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={number}"))
 
     return handle
 
