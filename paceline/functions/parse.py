@@ -47,12 +47,12 @@ def _worded_date(text: Column, shape: str) -> Column:
 def normalize_date(raw: Column) -> Column:
     """ISO start date of a listing, as text: an ISO input is not checked against the calendar."""
     def start_of(text):
-        first = F.get(F.split(text, rf"{WS}*[–—]{WS}*(?=\d)"), F.lit(0))
+        first = F.regexp_extract(text, rf"(?s)^(.*?)(?:{WS}*[–—]{WS}*(?=\d)|\z)", 1)
         return F.when(text.contains("–") | text.contains("—"), trim_blanks(first)).otherwise(text)
 
     return let(let(trim_blanks(raw), start_of), lambda s: F.coalesce(
         F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s),
-        _dotted_date(s),
+        F.when(s.contains("."), _dotted_date(s)),
         _worded_date(s, rf"^(\d{{1,2}})\.{WS}*({NOT_WS}+){WS}+(\d{{4}})$"),
     ))
 
@@ -82,7 +82,7 @@ def round_half_up(value: Column, digits: int) -> Column:
 
 def parse_distances(raw: Column) -> Column:
     """Array of ``{label, km}`` read from one text, longest first, near repeats dropped."""
-    parts = F.transform(F.split(raw, rf"{WS}*/{WS}*(?=\d)"), trim_blanks)
+    parts = F.when(raw.contains("/"), F.transform(F.split(raw, rf"{WS}*/{WS}*(?=\d)"), trim_blanks)).otherwise(F.array(trim_blanks(raw)))
     usable = F.filter(parts, lambda s: s.rlike(r"\d") & ~like(s, V.NOT_A_DISTANCE) & (~like(s, V.RELAY) | like(s, "km")))
     value_shape = pattern(V.KM_VALUE, ignore_case=True)
 
@@ -95,14 +95,17 @@ def parse_distances(raw: Column) -> Column:
 
     read = F.filter(F.transform(usable, entry), lambda d: d["raw"].isNotNull())
     rounded = F.transform(read, lambda d: F.struct(d["label"].alias("label"), round_half_up(d["raw"], 2).alias("km")))
-    kept = F.aggregate(
-        rounded,
-        F.array().cast(DISTANCES),
-        lambda acc, d: F.when(
-            F.exists(acc, lambda e: F.abs(e["km"] - d["km"]) < V.ROW_TOLERANCE_KM), acc
-        ).otherwise(F.concat(acc, F.array(d))),
-    )
-    several = let(kept, lambda k: F.when(F.size(k) > 1, _by_km_desc(k)).otherwise(k))
+
+    def apart(entries):
+        return F.aggregate(
+            entries,
+            F.array().cast(DISTANCES),
+            lambda acc, d: F.when(
+                F.exists(acc, lambda e: F.abs(e["km"] - d["km"]) < V.ROW_TOLERANCE_KM), acc
+            ).otherwise(F.concat(acc, F.array(d))),
+        )
+
+    several = let(rounded, lambda r: F.when(F.size(r) > 1, _by_km_desc(apart(r))).otherwise(r)).cast(DISTANCES)
     return F.coalesce(F.when(raw.rlike(r"\d"), several), F.array().cast(DISTANCES))
 
 
@@ -128,8 +131,9 @@ def normalize_city(raw: Column) -> Column:
 
     def start(city):
         stops = F.split(city, rf"{WS}*-{WS}*")
-        route = let(stops, lambda s: (F.size(s) >= 3) & F.forall(s, lambda p: F.length(p) < 20))
-        return F.when(city.contains("-") & route, F.get(stops, F.lit(0))).otherwise(city)
+        route = lambda s: (F.size(s) >= 3) & F.forall(s, lambda p: F.length(p) < 20)
+        first = let(stops, lambda s: F.when(route(s), F.get(s, F.lit(0))).otherwise(city))
+        return F.when(city.contains("-"), first).otherwise(city)
 
     def unnumbered(city):
         bare = F.regexp_replace(city, pattern(V.NUMBERED_CITY, ignore_case=True), "$1")

@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -243,3 +244,13 @@ def test_word_similarity_equals_brute_force(evaluate):
     rows = [(" ".join(rng.sample(words, 2)), " ".join(rng.choices(words, k=rng.randint(1, 5)))) for _ in range(40)]
     got = evaluate(T.word_similarity, *rows)
     assert all(abs(g - brute(*r)) < 1e-6 for g, r in zip(got, rows))
+
+
+def test_single_values_are_not_split(spark):
+    rows = spark.createDataFrame([("10 km",), ("5/12,05 km / 12 km",), ("a/b 3 km",), ("1. 5. 2025 – 2. 5. 2025",), (None,)], "v string")
+    found = rows.select(P.parse_distances(F.col("v")).alias("d"), P.normalize_date(F.col("v")).alias("day"))
+    got = found.collect()
+    assert [[tuple(x) for x in r.d] for r in got[:3]] == [[("10 km", 10.0)], [("12,05 km", 12.05), ("5", 5.0)], [("a/b 3 km", 3.0)]]
+    assert got[3].day == "2025-05-01" and got[4].day is None and got[4].d == []
+    plan = rows.select(P.normalize_date(F.col("v")).alias("day"))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"split\([^()]*\[–—\]", plan) is None
