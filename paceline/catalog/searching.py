@@ -355,8 +355,8 @@ SELECT query_id, rank::INTEGER AS rank, race_id, round(score, 5) AS score FROM r
 def search_by_query(spark, sf):
     """Every query text of the table, parsed and searched."""
     wanted = S.choose_parse(S.parse_queries(T.searches(spark, sf)).withColumn("model", S.validate_filters(F.lit(None).cast("string"))).drop("q"), "model")
-    found = search_by_queries(wanted, T.races(spark, sf), city_dim(spark), AS_OF)
-    return found.select("query_id", "rank", "race_id", F.round("score", 5).alias("score"))
+    found = search_by_queries(wanted, T.races(spark, sf), city_dim(spark), AS_OF, digits=5)
+    return found.select("query_id", "rank", "race_id", "score")
 
 
 # --- Labels ------------------------------------------------------------------

@@ -44,12 +44,12 @@ def _strip_chosen(folded: Column, chosen: Column, patterns) -> Column:
     return F.coalesce(*cut, folded)
 
 
-def parse_terrain(text: Column) -> Column:
-    return _first_of(text, V.QUERY_TERRAINS)
+def parse_terrain(text: Column, small: bool = False) -> Column:
+    return _first_of(text if small else T.small_letters(text), V.QUERY_TERRAINS, T.like_small)
 
 
-def parse_month(text: Column) -> Column:
-    return _first_of(text, V.QUERY_MONTHS)
+def parse_month(text: Column, small: bool = False) -> Column:
+    return _first_of(text if small else T.small_letters(text), V.QUERY_MONTHS, T.like_small)
 
 
 def parse_city(normalized: Column) -> Column:
@@ -71,12 +71,12 @@ def parse_queries(queries: DataFrame, column: str = "q", fold_accents: bool = Fa
     """
     step = queries.withColumn("display_query", F.substring(T.trim_blanks(F.col(column)), 1, V.MAX_QUERY_CHARS))
     step = step.withColumn("_n", T.normalize_text(F.col("display_query")))
-    typed = F.col("_n") if fold_accents else F.col("display_query")
+    step = step.withColumn("_typed", F.col("_n") if fold_accents else T.small_letters(F.col("display_query")))
     step = step.select(
         "*",
-        parse_terrain(typed).alias("terrain"),
-        T.like(typed, V.QUERY_ULTRA).alias("_ultra"),
-        parse_month(typed).alias("month"),
+        parse_terrain(F.col("_typed"), True).alias("terrain"),
+        T.like_small(F.col("_typed"), V.QUERY_ULTRA).alias("_ultra"),
+        parse_month(F.col("_typed"), True).alias("month"),
         parse_city(F.col("_n")).alias("city"),
         parse_km(F.col("_n")).alias("_km"),
         T.like_folded(F.col("_n"), V.QUERY_KM_NUMBER).alias("_by_number"),

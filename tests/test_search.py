@@ -233,3 +233,45 @@ def test_patterns_are_tried_by_halves_and_the_first_wins(evaluate):
     for patterns, matches in ((V.QUERY_TERRAINS, T.like), (V.QUERY_MONTHS, T.like), (V.QUERY_CITIES, T.like_folded), (V.QUERY_KM_WORDS, T.like_folded)):
         assert evaluate(lambda c: S._first_of(c, patterns, matches), *texts) == evaluate(one_by_one(patterns, matches), *texts)  # noqa: B023
     assert S._any_of(V.QUERY_MONTHS[:2]) == r"\b(?:leden|lednu|ledna|unor|unora|únor|února)\b"
+
+
+def test_search_by_queries_fetches_only_races_that_can_be_listed(spark, monkeypatch):
+    from paceline.plans import query_table
+
+    staged = {}
+
+    def counted(df, label="stage", stage=query_table.stage):
+        out = stage(df, label)
+        staged[label] = out.count()
+        return out
+
+    names = [f"Noční trail {i % 8}" for i in range(8)] + ["Maraton"]
+    rows = [(i, f"z{i:05d}", names[i % 9], "Brno" if i % 2 else "Vesec", "Jihomoravský" if i % 2 else None, "trail" if i % 3 else "road",
+             dt.date(2026, 4, 1) + dt.timedelta(days=i * 7 % 300), [(None, float(i % 4 * 5 + 5))], 49.2 + i / 9000 if i % 5 else None, 16.6 if i % 5 else None,
+             "confirmed", "CZ", "extracted") for i in range(4000)]
+    races = spark.createDataFrame(rows, "race_id long, slug string, name string, city string, region string, terrain string, date_start date, "
+                                  "distances array<struct<label:string,km:double>>, lat double, lng double, status string, country string, extraction_status string")
+    asked = [{"search_text": "nocni trail 3"}, {"search_text": "maraton", "km": 10.0, "terrain": "trail"}, {"terrain": "road", "month": 6},
+             {"city": "%", "proximity": True}, {"search_text": "trail", "city": "Brno", "proximity": True}]
+    keys = ["terrain", "month", "km", "city", "proximity", "search_text"]
+    queries = spark.createDataFrame([(i, *[q.get(k) for k in keys]) for i, q in enumerate(asked)],
+                                    "query_id int, terrain string, month int, km double, city string, proximity boolean, search_text string")
+    dim = city_dim(spark)
+    monkeypatch.setattr(query_table, "stage", counted)
+    got = {}
+    for r in query_table.search_by_queries(queries, races, dim, "2026-04-10", limit=6, digits=5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.race_id, r.score)
+    for i, q in enumerate(asked):
+        want = [(r.race_id, round(r.score, 5)) for r in S.search_races(races, dim, "2026-04-10", limit=6, **q).collect()]
+        assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == want and len(want) == 6, q
+    assert staged["visible"] > 3500 and staged["heads"] < 300  # thousands pass the filters of each text
+
+
+def test_small_letters_find_what_patterns_find_in_any_case(evaluate):
+    from paceline import fixed_values as V
+    from paceline.functions import text as T
+
+    texts = ("TRAIL", "PŘESPOLNÍ x", "přespolnía", "xZÁŘÍy", "v ÚNORU", "aÚnoru", "ſpartan", "TERİN", "İTRAIL", "Kros", "KŘÍJEN říjen", "bŘeZnuı", None, "")
+    for patterns in (V.QUERY_TERRAINS, V.QUERY_MONTHS, ((V.QUERY_ULTRA, 1),)):
+        small = lambda c: S._first_of(T.small_letters(c), patterns, T.like_small)  # noqa: B023, E731
+        assert evaluate(small, *texts) == evaluate(lambda c: S._first_of(c, patterns, T.like), *texts)  # noqa: B023
